@@ -30,7 +30,7 @@ _PARTS: dict[str, tuple[tuple[str, ...], str]] = {
                    lead(closing) OVER (ORDER BY ord) AS end_ts
             FROM (
                 SELECT CAST(ord AS INTEGER) AS ord, label,
-                       ((CAST(day AS TIMESTAMP) + INTERVAL '23:59:59' HOUR TO SECOND)
+                       ((CAST(day AS TIMESTAMP) + INTERVAL 86399 SECOND)
                         AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC' AS closing
                 FROM (VALUES {_MARKERS}) AS m(ord, label, day)
             ) AS closings

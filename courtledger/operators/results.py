@@ -95,14 +95,14 @@ def daily_results(
         )
         days = daily.sparkSession.createDataFrame(pa.table({"day": [wanted]}))
     asked = assign_period(
-        days.select(F.col("day").alias("_day"), start_of_day(F.col("day"), zone).alias("_midnight")),
+        days.select(F.col("day").alias("_asked"), start_of_day(F.col("day"), zone).alias("_midnight")),
         calendar, "_midnight", zone,
     ).where(F.col("period") != "unknown").select(
         "period",
-        F.year("_day").alias("year"),
-        F.month("_day").alias("month"),
-        F.dayofmonth("_day").alias("day"),
-        F.date_format("_day", "yyyy-MM-dd").alias("_shown"),
+        F.year("_asked").alias("year"),
+        F.month("_asked").alias("month"),
+        F.dayofmonth("_asked").alias("day"),
+        F.date_format("_asked", "yyyy-MM-dd").alias("_shown"),
     )
 
     parts = F.split("opponents", "-")

@@ -81,7 +81,7 @@ def decode(journal: DataFrame, payload: str = "event", payload_format: str = "js
         raise ValueError(f"unknown payload format {payload_format!r}")
 
     corrupt = "_corrupt"
-    schema = T.StructType(schemas.EVENT.fields).add(corrupt, T.StringType())
+    schema = T.StructType([*schemas.EVENT.fields, T.StructField(corrupt, T.StringType())])
     parsed = F.from_json(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt})
     event = F.col("_parsed")
     usable = event[corrupt].isNull() & _has_required_fields(event)
