@@ -81,10 +81,11 @@ def _decoded(spark, folder):
 
 def _numbered_events(spark, folder):
     """Events with their sequence number as appended by one batch."""
-    rows = running_sequence(
-        sample.events(spark, folder), "home_team", ["game_time", "game_id"]
-    ).withColumn("event_seq", F.col("seq_number")).withColumn("batch_id", F.lit(0).cast("bigint"))
-    return maps.event_frame(rows, MARKERS)
+    events = journal.valid_events(journal.decode(sample.journal(spark, folder)))
+    rows = running_sequence(events, "persistence_id", ["game_time", "game_id"])
+    return maps.event_frame(rows, MARKERS).withColumns(
+        {"event_seq": F.col("seq_number"), "batch_id": F.lit(0).cast("bigint")}
+    )
 
 
 def _instants(spark, folder):

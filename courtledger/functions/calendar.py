@@ -9,7 +9,8 @@ marker belongs to no period.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date
+from datetime import date, datetime, time
+from zoneinfo import ZoneInfo
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,28 +50,33 @@ def intervals(markers: Markers) -> list[tuple[str, date, date]]:
     return [(label, opens, closes) for (label, opens), (_, closes) in zip(days, days[1:])]
 
 
+def _bound(day: date, zone: str) -> Column:
+    """A marker day's 23:59:59 in ``zone`` as a constant."""
+    return F.lit(datetime.combine(day, time(23, 59, 59), ZoneInfo(zone)))
+
+
 def period_column(ts: Column, markers: Markers, zone: str = TIME_ZONE) -> Column:
     """The period of instant ``ts`` as one expression over a configured calendar.
 
-    Nothing is joined or shuffled; the bounds fold to constants.
+    Nothing is joined or shuffled: the bounds are constants, compared in order.
     """
     if len(markers) > MAX_INLINE_MARKERS:
         raise ValueError(f"{len(markers)} markers: use assign_period with a calendar table")
-    bounds = [
-        (label, end_of_day(F.lit(opens), zone), end_of_day(F.lit(closes), zone))
-        for label, opens, closes in intervals(markers)
-    ]
-    return F.coalesce(
-        *(F.when((ts > lower) & (ts < upper), F.lit(label)) for label, lower, upper in bounds),
-        F.lit(UNKNOWN),
-    )
+    spans = intervals(markers)
+    if not spans:
+        return F.lit(UNKNOWN)
+    bounds = [_bound(day, zone) for day in [spans[0][1], *(closes for _, _, closes in spans)]]
+    period = F.when((ts < bounds[0]) | ts.isin(bounds), UNKNOWN)
+    for (label, _, _), closing in zip(spans, bounds[1:]):
+        period = period.when(ts < closing, label)
+    return period.otherwise(UNKNOWN)
 
 
 def in_period(ts: Column, period: str, markers: Markers, zone: str = TIME_ZONE) -> Column:
     """Whether ``ts`` lies in ``period``, as range bounds a scan can push down."""
     for label, opens, closes in intervals(markers):
         if label == period:
-            return (ts > end_of_day(F.lit(opens), zone)) & (ts < end_of_day(F.lit(closes), zone))
+            return (ts > _bound(opens, zone)) & (ts < _bound(closes, zone))
     raise ValueError(f"Could not find period {period}")
 
 

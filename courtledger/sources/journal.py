@@ -83,20 +83,20 @@ def decode(journal: DataFrame, payload: str = "event", payload_format: str = "js
     corrupt = "_corrupt"
     schema = T.StructType([*schemas.EVENT.fields, T.StructField(corrupt, T.StringType())])
     parsed = F.from_json(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt})
-    event = F.col("_parsed")
-    usable = event[corrupt].isNull() & _has_required_fields(event)
-    return (
-        journal.withColumn("_parsed", parsed)
-        .withColumn("_usable", usable)
-        .withColumn(
-            payload,
-            F.struct(
-                F.when(F.col("_usable"), event["teamName"]).alias("teamName"),
-                F.when(F.col("_usable"), event["result"]).alias("result"),
-            ),
+
+    def usable_or_empty(event: Column) -> Column:
+        usable = event[corrupt].isNull() & _has_required_fields(event)
+        return F.struct(
+            F.when(usable, event["teamName"]).alias("teamName"),
+            F.when(usable, event["result"]).alias("result"),
         )
-        .drop("_parsed", "_usable")
-    )
+
+    # Later filters on event fields would be pushed below the projection and
+    # parse the payload again for every field they mention. The lambda names the
+    # parsed event once, and a generator is where filters stop.
+    event = F.transform(F.array(parsed), usable_or_empty)[0]
+    others = [c for c in journal.columns if c != payload]
+    return journal.select(*others, F.explode(F.array(event)).alias(payload))
 
 
 def _has_required_fields(event: Column) -> Column:

@@ -35,8 +35,23 @@ MARKERS = [
 PLACES = 7
 
 
+# Given so that opening a table needs no job to infer it.
+TABLES = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz",
+    "lineitem": (
+        "l_orderkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_tax double"
+    ),
+    "events": "event_id bigint, ts timestamp_ntz, event_type string, props string",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def teams(spark: SparkSession, folder: str) -> DataFrame:
@@ -159,94 +174,63 @@ def player_lines(spark: SparkSession, folder: str, period: str | None = None) ->
     return lines.withColumns(extra).select(*schemas.PLAYERS.columns)
 
 
-def events(spark: SparkSession, folder: str) -> DataFrame:
-    """Nested events (game_id, home_team, game_time, event), one per game.
+def journal(spark: SparkSession, folder: str, undecodable: bool = False) -> DataFrame:
+    """Journal rows (persistence_id, game_id, game_time, event), the event as JSON.
 
     Line items of a game share ``PLACES`` places in the box, so the box is built
     from plain sums per place in the same aggregate as the scores: partial sums
     before the shuffle, and no list that grows with the game.
+
+    ``undecodable`` adds a cut-off copy of every payload, and the rows of
+    ``events``, whose properties are JSON of another shape.
     """
-    place = F.pmod(F.col("l_linenumber") - 1, F.lit(PLACES)) + 1
-    pts = F.col("l_quantity").cast("bigint")
-    defreb = F.round(F.col("l_tax") * 100).cast("bigint")
-    sums = []
+    sums = ["sum(cast(l_quantity as bigint)) as home_score", "min(l_suppkey) as suppkey"]
     for n in range(1, PLACES + 1):
-        here = place == n
+        here = f"filter (where pmod(l_linenumber - 1, {PLACES}) + 1 = {n})"
         sums += [
-            F.min(F.when(here, F.col("l_suppkey"))).alias(f"_player{n}"),
-            F.sum(F.when(here, pts)).cast("int").alias(f"_pts{n}"),
-            F.sum(F.when(here, F.col("l_linenumber").cast("bigint"))).cast("int").alias(f"_off{n}"),
-            F.sum(F.when(here, defreb)).cast("int").alias(f"_def{n}"),
+            f"min(l_suppkey) {here} as player{n}",
+            f"sum(cast(l_quantity as bigint)) {here} as pts{n}",
+            f"sum(l_linenumber) {here} as off{n}",
+            f"sum(cast(round(l_tax * 100) as bigint)) {here} as def{n}",
         ]
     scores = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("game_id")).agg(
-        F.sum(pts).cast("int").alias("home_score"),
-        F.sum(_away_points(F.col("l_extendedprice"))).cast("int").alias("away_score"),
-        F.min("l_suppkey").alias("suppkey"),
-        *sums,
+        F.sum(_away_points(F.col("l_extendedprice"))).alias("away_score"), *map(F.expr, sums)
     )
     played = _with_sides(spark, folder, orders(spark, folder).join(scores, "game_id"))
-    home_places = [n for n in range(1, PLACES + 1) if n % 2]
-    away_places = [n for n in range(1, PLACES + 1) if not n % 2]
-    result = F.struct(
-        F.col("home_team").alias("homeTeam"), F.col("home_score").alias("homeScore"),
-        F.col("away_team").alias("awayTeam"), F.col("away_score").alias("awayScore"),
-        F.unix_millis("game_time").alias("time"),
-        F.col("home_score").cast("string").alias("homeScoreLine"),
-        F.col("away_score").cast("string").alias("awayScoreLine"),
-        _total("home_score").alias("homeTotal"), _total("away_score").alias("awayTotal"),
-        _box(home_places).alias("homeScoreBox"), _box(away_places).alias("awayScoreBox"),
-    )
-    event = F.struct(F.col("home_team").alias("teamName"), result.alias("result"))
-    return played.select("game_id", "home_team", "game_time", event.cast(schemas.EVENT).alias("event"))
-
-
-def _total(score: str) -> Column:
-    given = {"minutes": F.lit(240), "pts": F.col(score)}
-    return _filled(schemas.TOTAL, given)
-
-
-def _box(places: list[int]) -> Column:
-    entries = [F.when(F.col(f"_player{n}").isNotNull(), _line(n)) for n in places]
-    return F.filter(F.array(*entries), lambda line: line.isNotNull())
-
-
-def _line(n: int) -> Column:
-    given = {
-        "name": F.format_string("Supplier#%09d", F.col(f"_player{n}")),
-        "pos": F.lit("G"),
-        "pts": F.col(f"_pts{n}"),
-        "offReb": F.col(f"_off{n}"),
-        "defReb": F.col(f"_def{n}"),
-        "totalReb": F.col(f"_off{n}") + F.col(f"_def{n}"),
-    }
-    return _filled(schemas.LINE, given)
-
-
-def _filled(schema, given: dict[str, Column]) -> Column:
-    """A struct of ``schema``; fields not given are absent."""
-    return F.struct(
-        *(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields)
-    )
-
-
-def journal(spark: SparkSession, folder: str, undecodable: bool = False) -> DataFrame:
-    """Events as journal rows (persistence_id, game_id, game_time, event as JSON).
-
-    ``undecodable`` adds the rows of ``events``, whose properties are JSON of
-    another shape, and a cut-off copy of each payload.
-    """
-    rows = events(spark, folder).select(
-        F.col("home_team").alias("persistence_id"), "game_id", "game_time",
-        F.to_json("event").alias("event"),
-    )
+    event = F.expr(f"""named_struct(
+        'teamName', home_team,
+        'result', named_struct(
+            'homeTeam', home_team, 'homeScore', home_score,
+            'awayTeam', away_team, 'awayScore', away_score,
+            'time', unix_millis(game_time),
+            'homeScoreLine', string(home_score), 'awayScoreLine', string(away_score),
+            'homeTotal', named_struct('minutes', 240, 'pts', home_score),
+            'awayTotal', named_struct('minutes', 240, 'pts', away_score),
+            'homeScoreBox', {_box(first=1)}, 'awayScoreBox', {_box(first=2)}))""")
+    payload = F.to_json(event)
+    address = [F.col("home_team").alias("persistence_id"), "game_id", "game_time"]
     if not undecodable:
-        return rows
+        return played.select(*address, payload.alias("event"))
+    both = played.select(*address, payload.alias("whole")).select(
+        "persistence_id", "game_id", "game_time",
+        F.explode(F.expr("array(whole, left(whole, length(whole) - 9))")).alias("event"),
+    )
     props = table(spark, folder, "events").select(
         F.col("event_type").alias("persistence_id"), F.col("event_id").alias("game_id"),
         F.col("ts").cast("timestamp").alias("game_time"), F.col("props").alias("event"),
     )
-    cut = rows.withColumn("event", F.expr("left(event, length(event) - 9)"))
-    return rows.unionByName(props).unionByName(cut)
+    return both.unionByName(props)
+
+
+def _box(first: int) -> str:
+    """The lines of every other place from ``first``, as SQL."""
+    lines = [
+        f"""if(player{n} is null, null, named_struct(
+            'name', format_string('Supplier#%09d', player{n}), 'pos', 'G', 'pts', pts{n},
+            'offReb', off{n}, 'defReb', def{n}, 'totalReb', off{n} + def{n}))"""
+        for n in range(first, PLACES + 1, 2)
+    ]
+    return f"array_compact(array({', '.join(lines)}))"
 
 
 def game_events(played: DataFrame) -> DataFrame:
