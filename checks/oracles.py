@@ -115,9 +115,6 @@ def _with(needs: tuple[str, ...], body: str) -> str:
     return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body.strip()
 
 
-_CUT = "CAST({total} * 100 // {count} AS BIGINT) / 100.0"
-
-
 def _cut(total: str, count: str = "games") -> str:
     return f"CAST(CAST({total} * 100 // {count} AS BIGINT) / 100.0 AS DOUBLE)"
 
@@ -128,8 +125,6 @@ def _local(ts: str) -> str:
 
 def _standings(source: str, by: str = "") -> str:
     comma = f"{by}, " if by else ""
-    on = f"AND t.{by} = x.{by}" if by else ""
-    del on
     return f"""
         SELECT {comma}conference, x.team, hw, hl, aw, al, w, l FROM (
             SELECT {comma}team,
@@ -246,15 +241,20 @@ _LINE = """
     period, name, 'G' AS pos, '' AS min, '' AS fgma, '' AS threepma, '' AS ftma,
     '' AS minusslashplus, offreb, defreb, totalreb, 0 AS ast, 0 AS pf, 0 AS steel, 0 AS to0,
     0 AS blockshoot, 0 AS ba, pts, team, opponent, game_time AS time"""
-# Newest line of a key: by sequence, then by the remaining columns in the
-# tables' column order, as far as they differ.
+# Newest line of a key: by sequence, opponent and place in the box, home lines
+# counted 0, 1, ... and away lines -1, -2, ...
 _LATEST_LINE = f"""
     SELECT {_LINE} FROM (
         SELECT *, row_number() OVER (
             PARTITION BY period, game_time, name, team
-            ORDER BY seq_number DESC, offreb DESC, defreb DESC, totalreb DESC, pts DESC,
-                     opponent DESC) AS place_in_key
-        FROM box
+            ORDER BY seq_number DESC, opponent DESC, line_nr DESC) AS place_in_key
+        FROM (
+            SELECT *, CASE WHEN place % 2 = 1 THEN nth - 1 ELSE -nth END AS line_nr
+            FROM (
+                SELECT *, row_number() OVER (PARTITION BY game_id, place % 2 ORDER BY place) AS nth
+                FROM box
+            ) AS counted
+        ) AS lines
     ) AS versions WHERE place_in_key = 1"""
 _LATEST_RESULT = f"""
     SELECT {_RESULT.format(seq='seq_number')} FROM (

@@ -82,7 +82,9 @@ def _decoded(spark, folder):
 def _numbered_events(spark, folder):
     """Events with their sequence number as appended by one batch."""
     events = journal.valid_events(journal.decode(sample.journal(spark, folder)))
-    rows = running_sequence(events, "persistence_id", ["game_time", "game_id"])
+    rows = running_sequence(
+        events, "persistence_id", ["game_time", "game_id"], costly_input=True
+    )
     return maps.event_frame(rows, MARKERS).withColumns(
         {"event_seq": F.col("seq_number"), "batch_id": F.lit(0).cast("bigint")}
     )
@@ -491,8 +493,8 @@ def view_json_player(spark, folder):
 # --- sinks and the stream ---------------------------------------------------
 
 
-def _latest_of(spark, folder, table, to_rows):
-    rows = to_rows(_numbered_events(spark, folder), "event_seq", "batch_id")
+def _latest_of(spark, folder, table, to_rows, **options):
+    rows = to_rows(_numbered_events(spark, folder), "event_seq", "batch_id", **options)
     return latest_rows(rows, table)
 
 
@@ -503,12 +505,12 @@ def sink_results_latest(spark, folder):
 
 @register
 def sink_leaders_latest(spark, folder):
-    return _latest_of(spark, folder, schemas.LEADERS, maps.to_box_lines)
+    return _latest_of(spark, folder, schemas.LEADERS, maps.to_box_lines, numbered=True)
 
 
 @register
 def sink_players_latest(spark, folder):
-    return _latest_of(spark, folder, schemas.PLAYERS, maps.to_player_lines)
+    return _latest_of(spark, folder, schemas.PLAYERS, maps.to_player_lines, numbered=True)
 
 
 @register

@@ -4,6 +4,8 @@ per player of either side.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,12 +67,16 @@ def to_daily(events: DataFrame, *carried: str, zone: str = TIME_ZONE) -> DataFra
     )
 
 
-def to_box_lines(events: DataFrame, *carried: str) -> DataFrame:
-    """One row per player of either side, in the leader table's column order."""
+def to_box_lines(events: DataFrame, *carried: str, numbered: bool = False) -> DataFrame:
+    """One row per player of either side, in the leader table's column order.
+
+    ``numbered`` adds ``line_nr``: 0, 1, ... for the home box, -1, -2, ... for
+    the away box.
+    """
     r = F.col("event.result")
     sides = F.concat(
-        _side(r["homeScoreBox"], r["homeTeam"], r["awayTeam"]),
-        _side(r["awayScoreBox"], r["awayTeam"], r["homeTeam"]),
+        _side(r["homeScoreBox"], r["homeTeam"], r["awayTeam"], lambda i: i),
+        _side(r["awayScoreBox"], r["awayTeam"], r["homeTeam"], lambda i: -1 - i),
     )
     lines = events.select(
         "period", F.col("event_ts").alias("time"), *carried, F.explode(sides).alias("_line")
@@ -83,20 +89,28 @@ def to_box_lines(events: DataFrame, *carried: str) -> DataFrame:
         line["opponent"].alias("opponent"),
         "time",
         *carried,
+        *([line["line_nr"].alias("line_nr")] if numbered else []),
     )
 
 
-def to_player_lines(events: DataFrame, *carried: str) -> DataFrame:
+def to_player_lines(events: DataFrame, *carried: str, numbered: bool = False) -> DataFrame:
     """The same rows in the player table's column order."""
-    return to_box_lines(events, *carried).select(*schemas.PLAYERS.columns, *carried)
+    lines = to_box_lines(events, *carried, numbered=numbered)
+    extra = ["line_nr"] if numbered else []
+    return lines.select(*schemas.PLAYERS.columns, *carried, *extra)
 
 
-def _side(box: Column, team: Column, opponent: Column) -> Column:
-    """A side's lines with team and opponent; a missing list is an empty one."""
+def _side(
+    box: Column, team: Column, opponent: Column, number: Callable[[Column], Column]
+) -> Column:
+    """A side's lines with team, opponent and number; a missing list is an empty one."""
     empty = F.array().cast(T.ArrayType(schemas.LINE))
     return F.transform(
         F.coalesce(box, empty),
-        lambda line: F.struct(line.alias("box"), team.alias("team"), opponent.alias("opponent")),
+        lambda line, i: F.struct(
+            line.alias("box"), team.alias("team"), opponent.alias("opponent"),
+            number(i).alias("line_nr"),
+        ),
     )
 
 

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from courtledger.session import checkpointed
 
+# Offsets are broadcast up to this many rows (some tens of megabytes), else joined.
+MAX_BROADCAST_OFFSETS = 1_000_000
+
 # monotonically_increasing_id() keeps the row's place in its partition in the
 # low 33 bits and the partition's number above them.
 _ROW_BITS = 33
@@ -22,6 +26,7 @@ def running_sequence(
     positions: DataFrame | None = None,
     name: str = "seq_number",
     first: int = 1,
+    costly_input: bool = False,
 ) -> DataFrame:
     """Number the rows of each ``key`` consecutively in ``order``.
 
@@ -32,14 +37,25 @@ def running_sequence(
     are range-partitioned by key *and* order, so a hot key spans many
     partitions, and are written to the reliable checkpoint, which fixes their
     places. Per (key, partition) only a count and a first place are aggregated;
-    the counts of earlier partitions are the offset of the later ones.
+    the counts of earlier partitions are the offset of the later ones. These
+    offsets number at most partitions plus keys; they are counted before they
+    are broadcast.
+
+    Range partitioning looks at its input twice, once to find the ranges.
+    ``costly_input`` keeps the input on the executors in between, for input that
+    is expensive to compute (decoding) and not merely to read.
     """
+    keep = costly_input and not df.is_cached
+    if keep:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
     placed = checkpointed(
         df.repartitionByRange(key, *order)
         .sortWithinPartitions(key, *order)
         .withColumn("_slot", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_slot", _ROW_BITS))
     )
+    if keep:
+        df.unpersist()
     runs = placed.groupBy(key, "_part").agg(
         F.min("_slot").alias("_start"), F.count(F.lit(1)).alias("_rows")
     )
@@ -53,6 +69,9 @@ def running_sequence(
         offsets = offsets.join(known, key, "left").withColumn(
             "_before", F.col("_before") + F.coalesce("position", F.lit(0))
         ).drop("position")
+    offsets = checkpointed(offsets)
+    if offsets.count() <= MAX_BROADCAST_OFFSETS:
+        offsets = F.broadcast(offsets)
     return (
         placed.join(offsets, [key, "_part"])
         .withColumn(name, F.col("_slot") - F.col("_start") + F.col("_before") + F.lit(first))

@@ -13,25 +13,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from courtledger.schemas import CAMPAIGN, TABLES, TEAMS, VERSION, Table
+from courtledger.schemas import CAMPAIGN, TABLES, TEAMS, Table
 
 
 def latest(df: DataFrame, keys: Sequence[str], version: Sequence[str]) -> DataFrame:
     """The row with the largest ``version`` per key.
 
-    Remaining columns break ties, so the result does not depend on partitioning.
+    Rows of a key with equal versions must be equal (a batch appended twice).
     ``row_number = 1`` lets every task cut its keys to one row before the
-    shuffle, so a key written very often stays cheap.
+    shuffle, so a key written very often stays cheap; other columns take no
+    part, so those a query does not use are not read.
     """
-    rest = [c for c in df.columns if c not in (*keys, *version)]
-    newest_first = [F.desc(c) for c in (*version, *rest)]
+    newest_first = [F.desc(c) for c in version]
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*newest_first))
     return df.withColumn("_place", place).where(F.col("_place") == 1).drop("_place")
 
 
 def latest_rows(df: DataFrame, table: Table) -> DataFrame:
     """The latest view of appended rows of a table, without version columns."""
-    return latest(df, table.keys, VERSION.fieldNames()).select(*table.columns)
+    return latest(df, table.keys, table.version).select(*table.columns)
 
 
 def table_path(root: str, table: Table) -> str:
@@ -46,12 +46,15 @@ def install_tables(spark: SparkSession, root: str) -> None:
 
 
 def append_batch(rows: DataFrame, table: Table, root: str, batch_id: int) -> None:
-    """Append a batch, clustered like the table; needs ``event_seq``.
+    """Append a batch, clustered like the table; needs ``event_seq`` (and ``line_nr``).
 
     The rebalance hint makes files of even size: a period holding most of the
     rows is split, small ones are not scattered over many files.
     """
-    _write(rows.withColumn("batch_id", F.lit(batch_id).cast("bigint")), table, root, "append")
+    rows = rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+    if "line_nr" not in rows.columns:
+        rows = rows.withColumn("line_nr", F.lit(0))
+    _write(rows, table, root, "append")
 
 
 def read_table(spark: SparkSession, table: Table, root: str) -> DataFrame:
@@ -73,7 +76,7 @@ def compact(
     rows = read_table(spark, table, root)
     if periods is not None:
         rows = rows.where(F.col("period").isin(list(periods)))
-    _write(latest(rows, table.keys, VERSION.fieldNames()), table, root, "overwrite")
+    _write(latest(rows, table.keys, table.version), table, root, "overwrite")
 
 
 def _write(rows: DataFrame, table: Table, root: str, mode: str) -> None:

@@ -51,12 +51,16 @@ JOURNAL = _struct("persistence_id:s partition_nr:l sequence_nr:l event:s")
 
 @dataclass(frozen=True)
 class Table:
-    """A stored table: Parquet partitioned by period, upserted by key."""
+    """A stored table: Parquet partitioned by period, upserted by key.
+
+    ``version`` orders the rows of a key; no two differing rows share it.
+    """
 
     name: str
     schema: T.StructType
     keys: tuple[str, ...]
     clustering: tuple[str, ...]
+    version: tuple[str, ...] = ("batch_id", "event_seq")
 
     @property
     def columns(self) -> list[str]:
@@ -68,9 +72,11 @@ class Table:
         return T.StructType(self.schema.fields + VERSION.fields)
 
 
-# Appended with every row: the micro-batch and the event's place in its team's
-# journal. The newest version of a key wins.
-VERSION = _struct("batch_id:l event_seq:l")
+# Appended with every row: the micro-batch, the event's place in its team's
+# journal and the line's place in the event's boxes. The newest row of a key
+# wins.
+VERSION = _struct("batch_id:l event_seq:l line_nr:i")
+_LINE_VERSION = ("batch_id", "event_seq", "opponent", "line_nr")
 
 _MEASURES = (
     "pos:s min:s fgma:s threepma:s ftma:s minusslashplus:s offreb:i defreb:i totalreb:i "
@@ -93,12 +99,14 @@ LEADERS = Table(
     _struct(f"period:s name:s {_MEASURES} team:s opponent:s time:t"),
     keys=("period", "time", "name", "team"),
     clustering=("time", "name"),
+    version=_LINE_VERSION,
 )
 PLAYERS = Table(
     "player_by_period_team",
     _struct(f"name:s period:s team:s time:t {_MEASURES} opponent:s"),
     keys=("name", "period", "team", "time"),
     clustering=("name", "team", "time"),
+    version=_LINE_VERSION,
 )
 DAILY = Table(
     "daily_results",

@@ -95,17 +95,19 @@ class Ingestion:
             "event",
         )
         numbered = running_sequence(
-            events, "home_team", ["event_millis", *self.order], positions=before
+            events, "home_team", ["event_millis", *self.order], positions=before, costly_input=True
         )
         rows = maps.event_frame(numbered, self.markers, self.zone).withColumn(
             "event_seq", F.col("seq_number")
         )
-        append_batch(maps.to_results(rows, "event_seq"), schemas.RESULTS, self.root, batch_id)
-        append_batch(maps.to_box_lines(rows, "event_seq"), schemas.LEADERS, self.root, batch_id)
-        append_batch(maps.to_player_lines(rows, "event_seq"), schemas.PLAYERS, self.root, batch_id)
-        append_batch(
-            maps.to_daily(rows, "event_seq", zone=self.zone), schemas.DAILY, self.root, batch_id
+        outputs = (
+            (schemas.RESULTS, maps.to_results(rows, "event_seq")),
+            (schemas.LEADERS, maps.to_box_lines(rows, "event_seq", numbered=True)),
+            (schemas.PLAYERS, maps.to_player_lines(rows, "event_seq", numbered=True)),
+            (schemas.DAILY, maps.to_daily(rows, "event_seq", zone=self.zone)),
         )
+        for table, output in outputs:
+            append_batch(output, table, self.root, batch_id)
         self._store_positions(before, numbered, batch_id)
         if self.compact_every and (batch_id + 1) % self.compact_every == 0:
             for table in schemas.TABLES:
