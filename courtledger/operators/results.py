@@ -46,14 +46,15 @@ def team_results(
     places = arenas.select(F.col("team").alias("home_team"), "arena")
 
     sides = games.select(
-        *by, "home_team", "home_score", "away_team", "away_score", "game_time",
+        *by, "home_team", "home_score", "away_team", "away_score", "game_time", "game_id",
         F.explode(F.array_distinct(F.array("home_team", "away_team"))).alias("team"),
     )
     shown_time = report_time if long_dates else report_day
     return (
         sides.join(wanted.select("team"), "team")
         .join(places, "home_team")
-        .orderBy("game_time", "home_team", "away_team", "team")
+        # The last columns let a sort spread many games of one pair at one time.
+        .orderBy("game_time", "home_team", "away_team", "team", "game_id")
         .select(
             *by,
             lineup(F.col("away_team"), F.col("home_team")).alias("lineup"),
@@ -117,7 +118,7 @@ def daily_results(
         daily.join(asked, ["period", "year", "month", "day"])
         .withColumn("_home_key", F.trim(parts[0]))
         .join(places, "_home_key", "left")
-        .orderBy("_shown", "opponents")
+        .orderBy("_shown", "opponents", "score", "guest_score")
         .select(
             F.concat(F.lit(" "), lineup(away, home)).alias("lineup"),
             score.alias("score"),
@@ -147,6 +148,6 @@ def player_game_log(
     """A player's lines in a period, by time; parameters left out are shown."""
     rows = scan_game_log(lines, name, period, team)
     by = [c for c, v in (("name", name), ("period", period), ("team", team)) if v is None]
-    return rows.orderBy(*by, "time").select(
+    return rows.orderBy(*by, "time", "opponent", "pts").select(
         *by, *(F.col(column).alias(shown) for shown, column in GAME_LOG.items())
     )

@@ -9,10 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from courtledger.session import checkpointed
-
-# Offsets are broadcast up to this many rows (some tens of megabytes), else joined.
-MAX_BROADCAST_OFFSETS = 1_000_000
+from courtledger.session import broadcast_if_small, checkpointed
 
 # monotonically_increasing_id() keeps the row's place in its partition in the
 # low 33 bits and the partition's number above them.
@@ -69,11 +66,8 @@ def running_sequence(
         offsets = offsets.join(known, key, "left").withColumn(
             "_before", F.col("_before") + F.coalesce("position", F.lit(0))
         ).drop("position")
-    offsets = checkpointed(offsets)
-    if offsets.count() <= MAX_BROADCAST_OFFSETS:
-        offsets = F.broadcast(offsets)
     return (
-        placed.join(offsets, [key, "_part"])
+        placed.join(broadcast_if_small(offsets), [key, "_part"])
         .withColumn(name, F.col("_slot") - F.col("_start") + F.col("_before") + F.lit(first))
         .select(*df.columns, name)
     )

@@ -6,6 +6,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Rows of a derived table that are still broadcast (some tens of megabytes of
+# keys and numbers).
+MAX_BROADCAST_ROWS = 1_000_000
 
 
 def build_session(app: str = "courtledger", master: str | None = None, **conf: str) -> SparkSession:
@@ -19,6 +24,8 @@ def build_session(app: str = "courtledger", master: str | None = None, **conf: s
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Checkpoint files go once nothing refers to them any more.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
@@ -60,3 +67,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``df``, computed once and counted; marked for broadcast only if small.
+
+    For narrow tables that Spark cannot estimate (an aggregate of something
+    large): without it the large side of the join is shuffled first.
+    """
+    fixed = checkpointed(df)
+    return F.broadcast(fixed) if fixed.count() <= max_rows else fixed

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 from courtledger import schemas
 from courtledger.functions.calendar import in_interval
 from courtledger.functions.scalars import event_time
+from courtledger.session import broadcast_if_small
 
 # Fixed value: a batch scan reads journal partitions 0 to 10.
 LAST_PARTITION = 10
@@ -32,7 +34,7 @@ def filter_in_set(df: DataFrame, column: str, wanted: Iterable[str] | DataFrame)
         values = sorted(set(wanted))
         if len(values) <= MAX_IN_LIST:
             return df.where(F.col(column).isin(values))
-        wanted = df.sparkSession.createDataFrame([(v,) for v in values], f"{column} string")
+        wanted = df.sparkSession.createDataFrame(pa.table({column: pa.array(values, pa.string())}))
     members = wanted.select(F.col(wanted.columns[0]).alias(column))
     return df.join(members, column, "left_semi")
 
@@ -55,11 +57,12 @@ def scan_journal(
 def after_position(journal: DataFrame, positions: DataFrame) -> DataFrame:
     """Journal rows not yet consumed: ``sequence_nr >= position`` of their team.
 
-    ``positions`` is (team, position); a team without one starts at 0.
+    ``positions`` is (team, position), one row per team; a team without one
+    starts at 0.
     """
     known = positions.select(F.col("team").alias("persistence_id"), "position")
     return (
-        journal.join(known, "persistence_id", "left")
+        journal.join(broadcast_if_small(known), "persistence_id", "left")
         .where(F.col("sequence_nr") >= F.coalesce("position", F.lit(0).cast("bigint")))
         .drop("position")
     )
