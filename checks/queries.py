@@ -534,7 +534,7 @@ def _ingested(spark, folder, files=None, max_files=None) -> Ingestion:
 @register
 def stream_running_sequence(spark, folder):
     """Several micro-batches; every stored number of a team, from all versions."""
-    job = _ingested(spark, folder, files=3, max_files=1)
+    job = _ingested(spark, folder, files=24, max_files=8)
     rows = spark.read.schema(schemas.RESULTS.stored_schema).parquet(
         f"{job.root}/{schemas.RESULTS.name}"
     )

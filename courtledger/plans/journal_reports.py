@@ -45,7 +45,7 @@ def journal_season_standings(events: DataFrame, teams: DataFrame, **options) ->
 
 
 def journal_playoff_series(events: DataFrame, **options) -> DataFrame:
-    return playoff_series(games_of(events, **options), "interval")
+    return playoff_series(games_of(events, **options), "interval", costly_input=True)
 
 
 def journal_points_leaders(events: DataFrame, depth: int = DEFAULT_DEPTH) -> DataFrame:

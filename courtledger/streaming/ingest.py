@@ -12,8 +12,10 @@ to the tables: keep, move and delete them together.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,11 +90,13 @@ class Ingestion:
         """One micro-batch; running it again changes no latest view."""
         spark = batch.sparkSession
         before = self.positions_before(spark, batch_id)
+        result = F.col("event.result")
         events = valid_events(decode(batch, payload_format=self.payload_format)).select(
-            F.col("event.result.homeTeam").alias("home_team"),
-            F.col("event.result.time").alias("event_millis"),
+            result["homeTeam"].alias("home_team"),
+            result["time"].alias("event_millis"),
             *self.order,
-            "event",
+            # No table keeps the team totals.
+            F.struct(result.dropFields("homeTotal", "awayTotal").alias("result")).alias("event"),
         )
         numbered = running_sequence(
             events, "home_team", ["event_millis", *self.order], positions=before, costly_input=True
@@ -106,8 +110,15 @@ class Ingestion:
             (schemas.PLAYERS, maps.to_player_lines(rows, "event_seq", numbered=True)),
             (schemas.DAILY, maps.to_daily(rows, "event_seq", zone=self.zone)),
         )
-        for table, output in outputs:
-            append_batch(output, table, self.root, batch_id)
+        # Side by side: a write of few tasks leaves the rest of the cluster free.
+        append = inheritable_thread_target(spark)(append_batch)
+        with ThreadPoolExecutor(len(outputs)) as pool:
+            writes = [
+                pool.submit(append, output, table, self.root, batch_id)
+                for table, output in outputs
+            ]
+        for write in writes:
+            write.result()
         self._store_positions(before, numbered, batch_id)
         if self.compact_every and (batch_id + 1) % self.compact_every == 0:
             for table in schemas.TABLES:
