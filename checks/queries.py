@@ -395,12 +395,12 @@ def season_standings_every_period(spark, folder):
 @register
 def playoff_series(spark, folder):
     games = sample.games(spark, folder, PLAYOFF)
-    return standings.standings(games, sample.teams(spark, folder), PLAYOFF)
+    return standings.standings(games, sample.teams(spark, folder), PLAYOFF, costly_input=True)
 
 
 @register
 def playoff_series_every_period(spark, folder):
-    return standings.playoff_series(sample.games(spark, folder))
+    return standings.playoff_series(sample.games(spark, folder), costly_input=True)
 
 
 @register
@@ -480,7 +480,8 @@ def view_json_rebounds(spark, folder):
 
 @register
 def view_json_playoff(spark, folder):
-    return reports.to_json_rows(standings.playoff_series(sample.games(spark, folder)), "playoff")
+    series = standings.playoff_series(sample.games(spark, folder), costly_input=True)
+    return reports.to_json_rows(series, "playoff")
 
 
 @register
