@@ -281,7 +281,7 @@ _JOURNAL_ADDRESSES = """
     UNION ALL SELECT event_type, event_id FROM events"""
 
 ORACLES: dict[str, str] = {
-    "calendar_periods": _with(("games",), """
+    "calendar": _with(("games",), """
         SELECT ord, c.period, start_ts, end_ts, count(game_id) AS games
         FROM calendar c LEFT JOIN games g ON g.period = c.period
         GROUP BY ord, c.period, start_ts, end_ts"""),
@@ -324,7 +324,7 @@ ORACLES: dict[str, str] = {
                    || lpad(CAST((year(o_orderdate) + 1) % 100 AS VARCHAR), 2, '0') AS period
             FROM orders
         ) AS labels WHERE period NOT IN (SELECT period FROM calendar)"""),
-    "insert_if_absent_teams": """
+    "insert_if_absent": """
         SELECT n_name AS processor_id, min(c_mktsegment) AS description
         FROM customer JOIN nation ON n_nationkey = c_nationkey
         WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000)
@@ -359,7 +359,7 @@ ORACLES: dict[str, str] = {
     "journal_after_position": _with(("numbered",), f"""
         SELECT home_team AS persistence_id, game_id, seq_number - 1 AS sequence_nr
         FROM numbered WHERE game_time >= TIMESTAMP '{RESTART}'"""),
-    "resume_positions_by_team": _with(("numbered", "teams", "calendar"), f"""
+    "resume_positions": _with(("numbered", "teams", "calendar"), f"""
         SELECT t.team, CAST(coalesce(max(newest), 0) AS BIGINT) AS position
         FROM teams t LEFT JOIN (
             SELECT team, period, arg_max(seq_number, date) AS newest
@@ -367,7 +367,7 @@ ORACLES: dict[str, str] = {
             WHERE period IN (SELECT period FROM calendar)
             GROUP BY team, period
         ) r ON r.team = t.team GROUP BY t.team"""),
-    "running_sequence_by_team": _with(
+    "running_sequence": _with(
         ("numbered",), "SELECT home_team, game_id, seq_number FROM numbered"
     ),
     "event_to_result": _with(("games",), f"SELECT {_RESULT.format(seq='game_id')} FROM games"),
@@ -419,7 +419,7 @@ ORACLES: dict[str, str] = {
         SELECT CAST(json_object('team', team, 'hw', hw, 'hl', hl, 'aw', aw, 'al', al,
                                 'w', w, 'l', l) AS VARCHAR) AS json
         FROM ({_standings('games', 'period')}) AS view"""),
-    "view_json_results": _with(("games", "arenas", "teams"), f"""
+    "view_json": _with(("games", "arenas", "teams"), f"""
         SELECT CAST(json_object('lineup', lineup, 'score', score, 'time', time, 'arena', arena)
                     AS VARCHAR) AS json
         FROM ({_team_results('games', 'teams w', _REPORT_DAY)}) AS view"""),

@@ -33,7 +33,10 @@ REGISTRY: dict[str, Query] = {}
 
 
 def register(query: Query) -> Query:
-    """Add a query under its function's name, run in UTC, instants shown without zone."""
+    """Add a query under its function's name, less ``_query``.
+
+    It runs in UTC; instants are shown without zone.
+    """
 
     @functools.wraps(query)
     def run(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,7 +45,7 @@ def register(query: Query) -> Query:
         instants = [f.name for f in shown.schema if f.dataType.typeName() == "timestamp"]
         return shown.withColumns({c: F.col(c).cast("timestamp_ntz") for c in instants})
 
-    REGISTRY[query.__name__] = run
+    REGISTRY[query.__name__.removesuffix("_query")] = run
     return run
 
 
@@ -111,7 +114,7 @@ def _interval_events(spark, folder):
 
 
 @register
-def calendar_periods(spark, folder):
+def calendar_query(spark, folder):
     played = calendar.assign_period(sample.games(spark, folder).drop("period"), _calendar(spark), "game_time")
     counts = played.groupBy("period").agg(F.count(F.lit(1)).alias("games"))
     return _calendar(spark).join(counts, "period", "left").select(
@@ -226,7 +229,7 @@ def unknown_periods(spark, folder):
 
 
 @register
-def insert_if_absent_teams(spark, folder):
+def insert_if_absent_query(spark, folder):
     nation = sample.table(spark, folder, "nation")
     rich = sample.table(spark, folder, "supplier").where(F.col("s_acctbal") > 8000)
     existing = nation.join(rich, F.col("n_nationkey") == F.col("s_nationkey"), "left_semi").select(
@@ -311,14 +314,14 @@ def journal_after_position(spark, folder):
 
 
 @register
-def resume_positions_by_team(spark, folder):
+def resume_positions_query(spark, folder):
     events = sample.game_events(_numbered(spark, folder))
     rows = latest(maps.to_results(events), schemas.RESULTS.keys, ["seq_number"])
     return resume_positions(rows, sample.teams(spark, folder), _calendar(spark))
 
 
 @register
-def running_sequence_by_team(spark, folder):
+def running_sequence_query(spark, folder):
     return _numbered(spark, folder).select("home_team", "game_id", "seq_number")
 
 
@@ -465,7 +468,7 @@ def view_json_standing(spark, folder):
 
 
 @register
-def view_json_results(spark, folder):
+def view_json(spark, folder):
     games = sample.games(spark, folder)
     rows = results.team_results(games, sample.arenas(spark, folder), sample.teams(spark, folder))
     return reports.to_json_rows(rows, "results")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 # Rows of a derived table that are still broadcast (some tens of megabytes of
 # keys and numbers).
-MAX_BROADCAST_ROWS = 1_000_000
+MAX_BROADCAST_ROWS = 500_000
 
 
 def build_session(app: str = "courtledger", master: str | None = None, **conf: str) -> SparkSession:

@@ -6,6 +6,7 @@ the bytes become JSON text in Arrow batches and share the JSON decoder.
 
 from __future__ import annotations
 
+import functools
 import json
 
 import pandas as pd
@@ -24,6 +25,7 @@ _MESSAGES = {
 }
 
 
+@functools.cache
 def event_class():
     """The message class of an event, built from the schemas."""
     try:
