@@ -24,6 +24,7 @@ def running_sequence(
     name: str = "seq_number",
     first: int = 1,
     costly_input: bool = False,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Number the rows of each ``key`` consecutively in ``order``.
 
@@ -40,13 +41,15 @@ def running_sequence(
 
     Range partitioning looks at its input twice, once to find the ranges.
     ``costly_input`` keeps the input on the executors in between, for input that
-    is expensive to compute (decoding) and not merely to read.
+    is expensive to compute (decoding) and not merely to read. ``partitions``
+    replaces ``spark.sql.shuffle.partitions``, which AQE lowers for small input
+    but cannot raise for large.
     """
     keep = costly_input and not df.is_cached
     if keep:
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
     placed = checkpointed(
-        df.repartitionByRange(key, *order)
+        df.repartitionByRange(*([partitions] if partitions else []), key, *order)
         .sortWithinPartitions(key, *order)
         .withColumn("_slot", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_slot", _ROW_BITS))

@@ -50,7 +50,9 @@ class Ingestion:
 
     ``order`` names journal columns that, after the event's time, order the
     events of one team in a batch. ``compact_every`` rewrites the tables to
-    their latest rows after that many batches.
+    their latest rows after that many batches. ``partitions`` is the number of
+    range partitions a batch is numbered in, by default
+    ``spark.sql.shuffle.partitions``.
     """
 
     root: str
@@ -59,6 +61,7 @@ class Ingestion:
     order: tuple[str, ...] = ("sequence_nr",)
     zone: str = TIME_ZONE
     compact_every: int | None = None
+    partitions: int | None = None
 
     @property
     def positions_path(self) -> str:
@@ -99,7 +102,8 @@ class Ingestion:
             F.struct(result.dropFields("homeTotal", "awayTotal").alias("result")).alias("event"),
         )
         numbered = running_sequence(
-            events, "home_team", ["event_millis", *self.order], positions=before, costly_input=True
+            events, "home_team", ["event_millis", *self.order],
+            positions=before, costly_input=True, partitions=self.partitions,
         )
         rows = maps.event_frame(numbered, self.markers, self.zone).withColumn(
             "event_seq", F.col("seq_number")

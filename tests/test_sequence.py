@@ -2,6 +2,7 @@ from conftest import tuples, utc
 from pyspark.sql import functions as F
 
 from courtledger.operators.sequence import resume_positions, running_sequence
+from courtledger.session import broadcast_if_small
 from courtledger.sources.dimensions import teams_frame
 
 
@@ -52,6 +53,20 @@ def test_numbers_continue_from_positions(spark):
         assert firsts.pop("hot") == 101 and set(firsts.values()) == {1}
 
 
+def test_offsets_too_many_to_broadcast(spark, monkeypatch):
+    few = tuples(running_sequence(_rows(spark), "team", ["at", "id"]))
+    monkeypatch.setattr(
+        "courtledger.operators.sequence.broadcast_if_small", lambda df: broadcast_if_small(df, 0)
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = running_sequence(_rows(spark), "team", ["at", "id"], partitions=9)
+        assert "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString()
+        assert sorted(tuples(joined)) == sorted(few)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_other_names_and_starts(spark):
     got = running_sequence(_rows(spark, 30), "team", ["at", "id"], name="sequence_nr", first=0)
     assert got.agg(F.min("sequence_nr")).first()[0] == 0
