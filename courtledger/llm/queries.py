@@ -5,13 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from courtledger.llm.lsh_forest import near_duplicates
 from courtledger.llm.rans_tokens import token_file
 from courtledger.llm.resync_counts import token_counts
 from courtledger.llm.tree_bpe import encode_and_decode
+from courtledger.llm.workers import importable
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/documents.parquet")
+    return importable(spark).read.parquet(f"{folder}/documents.parquet")
 
 
 def op1_token_file(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,9 +28,14 @@ def op6_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return encode_and_decode(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_lsh_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(documents(spark, folder), size=4)
+
+
 QUERIES = {
     "op1_token_file": op1_token_file,
     "op5_token_counts": op5_token_counts,
     "op6_tree_bpe": op6_tree_bpe,
+    "op7_lsh_forest": op7_lsh_forest,
 }
 
