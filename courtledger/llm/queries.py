@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from courtledger.llm.lpf_dedup import repeat_digests
 from courtledger.llm.lsh_forest import near_duplicates
 from courtledger.llm.rans_tokens import token_file
 from courtledger.llm.resync_counts import token_counts
@@ -32,10 +33,15 @@ def op7_lsh_forest(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(documents(spark, folder), size=4)
 
 
+def op10_lpf_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeat_digests(documents(spark, folder))
+
+
 QUERIES = {
     "op1_token_file": op1_token_file,
     "op5_token_counts": op5_token_counts,
     "op6_tree_bpe": op6_tree_bpe,
     "op7_lsh_forest": op7_lsh_forest,
+    "op10_lpf_dedup": op10_lpf_dedup,
 }
 
