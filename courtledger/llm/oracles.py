@@ -1,3 +1,74 @@
 """The queries as DuckDB SQL, where SQL can express them."""
 
-ORACLES: dict[str, str] = {}
+CONTAMINATION = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark
+), item_windows AS (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS size, array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') AS words
+  FROM (SELECT item_id, ws, unnest(generate_series(1, greatest(len(ws) - 9, 1))) AS i FROM b WHERE len(ws) > 0)
+), doc_windows AS (
+  SELECT doc_id, i, size, array_to_string(ws[i:i + size - 1], ' ') AS words
+  FROM (
+    SELECT doc_id, ws, size, unnest(generate_series(1, len(ws) - size + 1)) AS i
+    FROM d, (SELECT DISTINCT size FROM item_windows) WHERE len(ws) >= size
+  )
+), met AS (
+  SELECT doc_id, i, size, item_id FROM doc_windows JOIN item_windows USING (size, words)
+), hits AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(generate_series(i, i + size - 1)) AS p FROM (SELECT DISTINCT doc_id, i, size FROM met))
+  GROUP BY doc_id
+), names AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM met) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN names USING (doc_id)
+"""
+
+RULE_LEDGER = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words) AS n
+  FROM (
+    SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS words
+    FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 4)) AS i FROM d WHERE len(ws) > 4)
+  )
+), repeats AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words
+  FROM (SELECT doc_id, unnest(generate_series(i, i + 4)) AS p FROM windows WHERE n > 1) GROUP BY doc_id
+), stutters AS (
+  SELECT doc_id, sum(CASE WHEN ws[i] = ws[i + 1] THEN 1 ELSE 0 END) AS n_same_next
+  FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 1)) AS i FROM d WHERE len(ws) > 1) GROUP BY doc_id
+), m AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, len(lines) AS n_lines,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, coalesce(n_same_next, 0) AS n_same_next,
+    len(regexp_extract_all(text, '[A-Za-z]')) AS n_letters, len(regexp_extract_all(text, '[A-Z]')) AS n_capitals
+  FROM d LEFT JOIN repeats USING (doc_id) LEFT JOIN stutters USING (doc_id)
+), f AS (
+  SELECT *, CAST(
+    CASE WHEN n_words < 10 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
+    + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END
+    + CASE WHEN n_dup_lines > 2 AND 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END
+    + CASE WHEN 2 * n_capitals > n_letters AND n_letters > 0 THEN 16 ELSE 0 END
+    + CASE WHEN 5 * n_same_next > n_words THEN 32 ELSE 0 END
+    + CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 64 ELSE 0 END AS BIGINT) AS failed
+  FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed FROM f
+"""
+
+ORACLES = {"op3_aho_decontaminate": CONTAMINATION, "op8_rule_ledger": RULE_LEDGER}

@@ -5,10 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from courtledger.llm.aho_decontaminate import contamination_digests
 from courtledger.llm.lpf_dedup import repeat_digests
 from courtledger.llm.lsh_forest import near_duplicates
 from courtledger.llm.rans_tokens import token_file
 from courtledger.llm.resync_counts import token_counts
+from courtledger.llm.rule_ledger import ledger, verdicts
 from courtledger.llm.tree_bpe import encode_and_decode
 from courtledger.llm.workers import importable
 
@@ -21,6 +23,10 @@ def op1_token_file(spark: SparkSession, folder: str) -> DataFrame:
     return token_file(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_aho_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination_digests(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -33,15 +39,23 @@ def op7_lsh_forest(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(documents(spark, folder), size=4)
 
 
+def op8_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    return verdicts(ledger(documents(spark, folder))).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed"
+    )
+
+
 def op10_lpf_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeat_digests(documents(spark, folder))
 
 
 QUERIES = {
     "op1_token_file": op1_token_file,
+    "op3_aho_decontaminate": op3_aho_decontaminate,
     "op5_token_counts": op5_token_counts,
     "op6_tree_bpe": op6_tree_bpe,
     "op7_lsh_forest": op7_lsh_forest,
+    "op8_rule_ledger": op8_rule_ledger,
     "op10_lpf_dedup": op10_lpf_dedup,
 }
 
