@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from courtledger.llm.aho_decontaminate import contamination_digests
 from courtledger.llm.lpf_dedup import repeat_digests
 from courtledger.llm.lsh_forest import near_duplicates
+from courtledger.llm.ppm_language import held_out_languages
 from courtledger.llm.rans_tokens import token_file
 from courtledger.llm.resync_counts import token_counts
 from courtledger.llm.rule_ledger import ledger, verdicts
@@ -23,6 +24,10 @@ def op1_token_file(spark: SparkSession, folder: str) -> DataFrame:
     return token_file(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_ppm_language(spark: SparkSession, folder: str) -> DataFrame:
+    return held_out_languages(documents(spark, folder))
+
+
 def op3_aho_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return contamination_digests(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
 
@@ -51,6 +56,7 @@ def op10_lpf_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_file": op1_token_file,
+    "op2_ppm_language": op2_ppm_language,
     "op3_aho_decontaminate": op3_aho_decontaminate,
     "op5_token_counts": op5_token_counts,
     "op6_tree_bpe": op6_tree_bpe,
