@@ -25,7 +25,7 @@ PATTERN_BYTES = 8 << 20
 
 # Word bytes: digits, letters and all of other scripts; ASCII capitals become small.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-_SEPARATORS = np.array([b == 32 for b in _TABLE])
+WORD_SEPARATORS = np.array([b == 32 for b in _TABLE])
 
 
 def word_list(raw: bytes) -> list[bytes]:
@@ -94,7 +94,7 @@ def _scan(rows: DataFrame, items: list[tuple[object, str]], window: int) -> Data
                     counts.append(n)
                     names.append(sorted(ids))
                     if hit:
-                        starts, ends, _ = words(*text_bytes(part.column("text").slice(k, 1)), _SEPARATORS)
+                        starts, ends, _ = words(*text_bytes(part.column("text").slice(k, 1)), WORD_SEPARATORS)
                         hit = [{"word_lo": a, "word_hi": b, "byte_lo": int(starts[a]), "byte_hi": int(ends[b - 1])} for a, b in hit]
                     runs.append(hit)
                 yield pa.RecordBatch.from_arrays([

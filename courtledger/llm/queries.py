@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from courtledger.llm.aho_decontaminate import contamination_digests
+from courtledger.llm.cotrain_quality import quality_scores
 from courtledger.llm.lpf_dedup import repeat_digests
 from courtledger.llm.lsh_forest import near_duplicates
 from courtledger.llm.ppm_language import held_out_languages
@@ -32,6 +33,10 @@ def op3_aho_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return contamination_digests(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
 
 
+def op4_cotrain_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_scores(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -58,6 +63,7 @@ QUERIES = {
     "op1_token_file": op1_token_file,
     "op2_ppm_language": op2_ppm_language,
     "op3_aho_decontaminate": op3_aho_decontaminate,
+    "op4_cotrain_quality": op4_cotrain_quality,
     "op5_token_counts": op5_token_counts,
     "op6_tree_bpe": op6_tree_bpe,
     "op7_lsh_forest": op7_lsh_forest,
