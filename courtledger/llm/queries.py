@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from courtledger.llm.aho_decontaminate import contamination_digests
 from courtledger.llm.cotrain_quality import quality_scores
+from courtledger.llm.dom_content import page_texts
 from courtledger.llm.lpf_dedup import repeat_digests
 from courtledger.llm.lsh_forest import near_duplicates
 from courtledger.llm.ppm_language import held_out_languages
@@ -55,6 +56,10 @@ def op8_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_dom_content(spark: SparkSession, folder: str) -> DataFrame:
+    return page_texts(importable(spark).read.parquet(f"{folder}/pages.parquet"))
+
+
 def op10_lpf_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeat_digests(documents(spark, folder))
 
@@ -68,6 +73,7 @@ QUERIES = {
     "op6_tree_bpe": op6_tree_bpe,
     "op7_lsh_forest": op7_lsh_forest,
     "op8_rule_ledger": op8_rule_ledger,
+    "op9_dom_content": op9_dom_content,
     "op10_lpf_dedup": op10_lpf_dedup,
 }
 
