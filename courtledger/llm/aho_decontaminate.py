@@ -151,6 +151,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     return copies.select("doc_id", "text_key", "n_words", "runs", "items").mapInArrow(merge, FOUND)
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
+    """The documents, all their columns, without an occurrence of an item (see ``contamination``)."""
+    kept = docs
+    for block in _blocks(benchmark, pattern_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            windows = Windows(shared.value, window)
+            for batch in batches:
+                for part in slices(batch):
+                    texts = part.column("text").cast(pa.large_binary()).to_pylist()
+                    yield part.filter(pa.array([not windows.find(t or b"")[1] for t in texts], pa.bool_()))
+
+        kept = kept.mapInArrow(clean, docs.schema)
+    return kept
+
+
 def contamination_digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
     n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["word_hi"] - r["word_lo"])

@@ -17,7 +17,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtledger.llm.aho_decontaminate import WORD_SEPARATORS
@@ -182,12 +183,16 @@ def cotrain(views: tuple[np.ndarray, ...], y: np.ndarray, weight: np.ndarray, he
     return Target(own, fitted, calibrated, Logistic.fit(z, y[test], weight[test], ridge=0.1))
 
 
+def _buckets(docs: DataFrame) -> list[Column]:
+    """The buckets of source and lang; a column that is not there has one."""
+    return [(F.pmod(F.xxhash64(c), F.lit(SOURCES)) if c in docs.columns else F.lit(0)).cast("int") for c in ("source", "lang")]
+
+
 def _rows(docs: DataFrame) -> DataFrame:
-    columns = set(docs.columns)
-    bucket = lambda c: (F.pmod(F.xxhash64(c), F.lit(SOURCES)) if c in columns else F.lit(0)).cast("int")
+    source, lang = _buckets(docs)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
-        bucket("source").alias("source_bucket"), bucket("lang").alias("lang_bucket"),
+        source.alias("source_bucket"), lang.alias("lang_bucket"),
     )
 
 
@@ -280,31 +285,49 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
 
 
 SCORES = "doc_id long, quality_score double, toxic_score double, accepted boolean"
+LEAST_QUALITY, MOST_TOXIC = 0.5, 0.5
+
 
+def _verdicts(model: Model | None, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """quality, toxic, accepted. Without a model everything is accepted."""
+    quality, toxic = np.ones(part.num_rows), np.zeros(part.num_rows)
+    if model and part.num_rows:
+        views = features(part, model.telling)
+        quality, toxic = (model.targets[t].score(views) for t in TARGETS)
+    return quality, toxic, (quality >= LEAST_QUALITY) & (toxic < MOST_TOXIC)
 
-def scores(docs: DataFrame, model: Model | None, least_quality: float = 0.5, most_toxic: float = 0.5) -> DataFrame:
-    """quality_score, toxic_score and accepted of every document, from its whole text.
 
-    docs: doc_id, text, and source and lang if there are; other columns are
-    ignored. One row per input row. Null text counts as empty. Without a model
-    every document is accepted with scores 1 and 0.
+def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Learn from the labels and score every document from its whole text.
+
+    docs: doc_id, text, and source and lang if there are; labels: doc_id, quality,
+    toxic; other columns are ignored. One row per input row: doc_id,
+    quality_score, toxic_score, accepted. Null text counts as empty. Without any
+    label every document is accepted with scores 1 and 0.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
             for part in slices(batch):
-                quality, toxic = np.ones(part.num_rows), np.zeros(part.num_rows)
-                if model and part.num_rows:
-                    views = features(part, model.telling)
-                    quality, toxic = (model.targets[t].score(views) for t in TARGETS)
-                accepted = (quality >= least_quality) & (toxic < most_toxic)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(quality), pa.array(toxic), pa.array(accepted)], ["doc_id", "quality_score", "toxic_score", "accepted"])
+                found = _verdicts(shared.value, part)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, found)], ["doc_id", "quality_score", "toxic_score", "accepted"])
 
     return _rows(docs).mapInArrow(scored, SCORES)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Learn from the labels and score all documents."""
-    return scores(docs, fit(docs, labels))
+def accepted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents, all their columns, that are accepted (see ``quality_scores``)."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    extra = ["source_bucket", "lang_bucket"]
+    while set(extra) & set(docs.columns):
+        extra = [f"_{c}" for c in extra]
+    buckets = _buckets(docs)
+
+    def accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                seen = pa.RecordBatch.from_arrays([pc.fill_null(part.column("text"), ""), *(part.column(c) for c in extra)], ["text", "source_bucket", "lang_bucket"])
+                yield part.filter(pa.array(_verdicts(shared.value, seen)[2])).drop_columns(extra)
+
+    return docs.select("*", *(b.alias(c) for b, c in zip(buckets, extra, strict=True))).mapInArrow(accepted, docs.schema)

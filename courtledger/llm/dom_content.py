@@ -150,6 +150,12 @@ def _describe(nodes: list[Node]) -> tuple[list[list[str]], list[str]]:
     return looks, texts
 
 
+def _kind(nodes: list[Node], node: Node) -> str:
+    """What the chances of a mark given the parent's depend on: the tag, and whether the page is the parent."""
+    top = node.parent >= 0 and nodes[node.parent].tag in ("root", "html", "body")
+    return ("top " if top else "") + node.tag
+
+
 class Model:
     """Log-odds of looks, and the chances of a mark given the parent's, by kind of child."""
 
@@ -171,7 +177,7 @@ class Model:
                 total[mark] += 1
                 look[mark].update(set(features))
                 if n.parent >= 0:
-                    pair.setdefault(n.tag, np.full((2, 2), SMOOTH))[marks[n.parent], mark] += 1
+                    pair.setdefault(_kind(nodes, n), np.full((2, 2), SMOOTH))[marks[n.parent], mark] += 1
         self.look = {}
         for f in set(look[0]) | set(look[1]):
             # A shared tag or name says little; one seen on one side only says much.
@@ -190,7 +196,7 @@ class Model:
         for k, features in enumerate(looks):
             own[k, 1] = np.exp(max(-8.0, min(8.0, sum(self.look.get(f, 0.0) for f in features))))
         own /= own.sum(axis=1, keepdims=True)
-        pairs = [self.pair.get(node.tag, self.any_pair) for node in nodes]
+        pairs = [self.pair.get(_kind(nodes, node), self.any_pair) for node in nodes]
         below, message = own.copy(), np.ones((n, 2))
         for k in range(n - 1, 0, -1):
             up = pairs[k] @ below[k]
@@ -212,7 +218,7 @@ class Model:
         return belief[:, 1]
 
 
-def labelled_pages(n: int = 300, seed: int = 1) -> list[str]:
+def labelled_pages(n: int = 500, seed: int = 1) -> list[str]:
     """Pages made by rule, their content marked by class names: the training set."""
     r = random.Random(seed)
     letters = "abcdefghijklmnopqrstuvwxyz"
@@ -229,7 +235,7 @@ def labelled_pages(n: int = 300, seed: int = 1) -> list[str]:
         return r.choice([f"<p>{inner}</p>"] * 6 + [f"<p>{inner} <a href='#'>{words(1, 3)}</a> {words(2, 9)}</p>", f"<blockquote><p>{inner}</p></blockquote>", f"<h2>{words(1, 6)}</h2>", f"<h3>{words(1, 6)}</h3>", f"<pre>{inner}</pre>", f"<ul><li>{inner}</li><li>{words(1, 30)}</li></ul>", f"<table><tr><td>{words(1, 4)}</td><td>{words(1, 4)}</td></tr></table>", f"<section><h2>{words(1, 5)}</h2><p>{inner}</p></section>", f"<figure><figcaption>{words(2, 9)}</figcaption></figure>", f"<div>{inner}</div>"])
 
     def other(name: str, tag: str = "div", inner: str | None = None) -> str:
-        inner = inner or r.choice([words(2, 30), f"<p>{words(2, 40)}</p>", f"<ul>{links(3)}</ul>", f"<h3>{words(1, 3)}</h3><p>{words(2, 20)}</p>"])
+        inner = inner or r.choice([words(2, 30), words(20, 90), f"<p>{words(2, 40)}</p>", f"<p>{words(20, 120)}</p>", f"<ul>{links(3)}</ul>", f"<h3>{words(1, 3)}</h3><p>{words(2, 20)}</p>"])
         return f"<{tag} class='qqout {name}'>{inner}</{tag}>"
 
     names = "ad ads advert advertisement banner promo sponsored sponsor sidebar menu navigation navbar nav breadcrumb breadcrumbs footer copyright cookie cookies consent notice alert popup modal newsletter subscribe signup login share sharing social related recommended comments comment reply respond disqus toolbar widget tags pagination pager masthead topbar search skip".split()
@@ -238,17 +244,21 @@ def labelled_pages(n: int = 300, seed: int = 1) -> list[str]:
     for _ in range(n):
         body = "".join(paragraph() for _ in range(r.randint(1, 14)))
         inside = [other(r.choice(names), r.choice(["div", "aside", "section", "p"])) for _ in range(r.randint(0, 2))]
-        inside += [other("comments", "section")] * r.randint(0, 1)
+        remark = f"<p>{words(2, 30)}</p>"
+        inside += [other("comments", "section", r.choice([None, None, f"<article>{remark}</article>", f"<ol><li>{remark}</li></ol>"]))] * r.randint(0, 1)
         head = r.choice([f"<h1>{words(1, 9)}</h1>", f"<header><h1>{words(1, 9)}</h1></header>", f"<header><h1>{words(1, 9)}</h1><p>{words(2, 12)}</p></header>", ""])
         main = r.choice(mains)
         tag = main.split(" ")[0]
         opening = f"<{main}'>" if "class" in main else f"<{tag} class='qqin'>"
         content = f"{opening}{head}{body}{''.join(inside)}</{tag}>"
-        if r.random() < 0.2 and tag != "main":
+        if r.random() < 0.1:
+            content = "".join(f"<{t} class='qqin'>{words(1, 60)}</{t}>" for t in ["h1", *["p"] * r.randint(1, 9)])
+        elif r.random() < 0.2 and tag != "main":
             content = f"<main>{content}</main>" if r.random() < 0.5 else f"<div class='container wrapper'>{content}</div>"
         before = [other("", "nav", f"<ul>{links(r.randint(2, 7))}</ul>")] if r.random() < 0.9 else []
         before += [other(r.choice(["site", "", "top"]), "header", f"<p>{words(1, 6)}</p>")] * r.randint(0, 1) + [other(r.choice(names)) for _ in range(r.randint(0, 3))]
-        after = [other("", "aside", f"<h3>{words(1, 3)}</h3><ul>{links(3)}</ul>")] * r.randint(0, 1) + [other(r.choice(names), r.choice(["div", "section"])) for _ in range(r.randint(0, 3))]
+        after = [other("comments", "section", f"<article>{remark}</article>")] * (r.random() < 0.1)
+        after += [other("", "aside", f"<h3>{words(1, 3)}</h3><ul>{links(3)}</ul>")] * r.randint(0, 1) + [other(r.choice(names), r.choice(["div", "section"])) for _ in range(r.randint(0, 3))]
         after += [other("", "form", f"<p>{words(1, 6)}</p><label>{words(1, 2)}</label>")] * r.randint(0, 1) + [other("", "footer", r.choice([words(2, 15), f"<p>{words(2, 20)}</p>"]))] * r.choice([0, 1, 1, 1])
         r.shuffle(before)
         pages.append(f"<html><body>{''.join(before)}{content}{''.join(after)}</body></html>")

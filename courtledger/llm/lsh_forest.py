@@ -68,7 +68,7 @@ def _first(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, rows[first]
 
 
-SKETCH = "doc_id long, n_shingles long, cls binary, sig binary"
+SKETCH = "doc_id long, text_key long, n_shingles long, cls binary, sig binary"
 
 
 def _sketches(size: int):
@@ -82,9 +82,9 @@ def _sketches(size: int):
                     if len(first):
                         sig[:, k] = np.minimum.reduceat(values * _FACTORS[k], first) >> np.uint64(32)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array(np.bincount(rows, minlength=part.num_rows), pa.int64()),
+                    part.column("doc_id"), part.column("text_key"), pa.array(np.bincount(rows, minlength=part.num_rows), pa.int64()),
                     binaries(set_keys(values, first), present, part.num_rows), binaries(sig, present, part.num_rows),
-                ], ["doc_id", "n_shingles", "cls", "sig"])
+                ], ["doc_id", "text_key", "n_shingles", "cls", "sig"])
     return sketch
 
 
@@ -215,19 +215,10 @@ def _regions(members: DataFrame) -> DataFrame:
     return sized.withColumn("meet", F.explode(meets)).select("region", "part", F.col("meet.x").alias("x"), F.col("meet.y").alias("y"), "cls", "root")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The near-duplicate group of every document.
-
-    docs: doc_id and text, other columns are ignored. Documents are linked when
-    their sets of ``size``-word shingles (ASCII lower case) have a Jaccard
-    similarity of ``percent`` or more; a text of fewer words is one shingle; null,
-    empty and blank texts have none and are linked with nothing. One row per input
-    row: doc_id, n_shingles, component_id (least doc_id reachable; a null doc_id
-    counts only where there is no other), kept (doc_id is the component_id).
-    Repeated rows are exact copies of each other.
-    """
+def duplicate_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, text_key, n_shingles, root (the group; null without shingles), component_id of every document."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
     folder = fresh_folder(spark, "forest")
 
     def stored(df: DataFrame, name: str) -> DataFrame:
@@ -260,8 +251,46 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     ids = classes.select("cls", "least_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = ids.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    found = ids.join(least, "root").select("cls", "component_id")
-    component = F.coalesce("component_id", "doc_id")
-    return sketches.select("doc_id", "n_shingles", "cls").join(found, "cls", "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
+    found = ids.join(least, "root").select("cls", "root", "component_id")
+    return sketches.select("doc_id", "text_key", "n_shingles", "cls").join(found, "cls", "left").select(
+        "doc_id", "text_key", "n_shingles", "root", F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The near-duplicate group of every document.
+
+    docs: doc_id and text, other columns are ignored. Documents are linked when
+    their sets of ``size``-word shingles (ASCII lower case) have a Jaccard
+    similarity of ``percent`` or more; a text of fewer words is one shingle; null,
+    empty and blank texts have none and are linked with nothing. One row per input
+    row: doc_id, n_shingles, component_id (least doc_id reachable; a null doc_id
+    counts only where there is no other), kept (doc_id is the component_id).
+    Repeated rows are exact copies of each other.
+    """
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return duplicate_groups(docs, size, percent).select("doc_id", "n_shingles", "component_id", kept)
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, all their columns, one of each near-duplicate group: that of the least doc_id.
+
+    Documents without words are all kept.
+    """
+    groups = duplicate_groups(docs, size, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
+    chosen = groups.where("root is not null").groupBy("root").agg(first).select("first.doc_id", "first.text_key")
+    chosen = checkpointed(chosen.union(groups.where("root is null").select("doc_id", "text_key").distinct()))
+    extra = ["match_id", "match_key"]
+    while set(extra) & set(docs.columns):
+        extra = [f"_{c}" for c in extra]
+    at = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
+    keyed = docs.withColumns({extra[0]: at, extra[1]: F.xxhash64("text")})
+    kept = keyed.join(chosen.select(at.alias(extra[0]), F.col("text_key").alias(extra[1])), extra, "left_semi")
+    # Equal rows share their keys; only of those is one to be chosen again.
+    doubles = groups.where("root is not null").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1")
+    doubles = doubles.select(at.alias(extra[0]), F.col("text_key").alias(extra[1]))
+    if doubles.limit(1).count():
+        again = kept.join(doubles, extra, "left_semi").dropDuplicates(extra)
+        kept = kept.join(doubles, extra, "left_anti").unionByName(again)
+    return kept.select(*docs.columns)
