@@ -83,12 +83,12 @@ _PARTS: dict[str, tuple[tuple[str, ...], str]] = {
                CASE WHEN x.place % 2 = 1 THEN home_team ELSE away_team END AS team,
                CASE WHEN x.place % 2 = 1 THEN away_team ELSE home_team END AS opponent
         FROM (
-            SELECT l_orderkey AS game_id, (l_linenumber - 1) % 7 + 1 AS place,
-                   min(l_suppkey) AS player,
+            SELECT l_orderkey AS game_id, l_suppkey AS player,
+                   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey) AS place,
                    CAST(sum(CAST(l_quantity AS BIGINT)) AS INTEGER) AS pts,
                    CAST(sum(l_linenumber) AS INTEGER) AS offreb,
                    CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS INTEGER) AS defreb
-            FROM lineitem GROUP BY l_orderkey, (l_linenumber - 1) % 7 + 1
+            FROM lineitem GROUP BY l_orderkey, l_suppkey
         ) x JOIN numbered g ON g.game_id = x.game_id"""),
     "instants": ((), """
         SELECT o_orderkey AS game_id,
@@ -142,10 +142,10 @@ def _standings(source: str, by: str = "") -> str:
 
 
 def _series(source: str, by: str = "") -> str:
-    """Series per period: every pair's text, then the first fifteen to end."""
+    """Series per period, in the order they end; the first fifteen carry a label."""
     return f"""
         SELECT {by + ',' if by else ''} CAST(z.n AS INTEGER) AS n, stage,
-               stage || ' ' || opener || '  ' || games_text AS text
+               coalesce(stage || ' ', '') || opener || '  ' || games_text AS text
         FROM (
             SELECT *, row_number() OVER (
                 PARTITION BY period ORDER BY last_time, first_team, second_team) AS n
@@ -166,7 +166,7 @@ def _series(source: str, by: str = "") -> str:
                 ) AS paired WHERE place = 1
                 GROUP BY period, first_team, second_team
             ) AS series
-        ) z JOIN (VALUES {_LABELS}) AS s(n, stage) ON s.n = z.n"""
+        ) z LEFT JOIN (VALUES {_LABELS}) AS s(n, stage) ON s.n = z.n"""
 
 
 _BOARDS = {
@@ -338,7 +338,7 @@ ORACLES: dict[str, str] = {
     "journal_scan": _with(("games", "teams"), f"""
         SELECT persistence_id, game_id // 5000000 AS partition_nr, game_id, true AS has_event
         FROM ({_JOURNAL_ADDRESSES}) AS j
-        WHERE persistence_id IN (SELECT team FROM teams) AND game_id // 5000000 BETWEEN 0 AND 10"""),
+        WHERE persistence_id IN (SELECT team FROM teams)"""),
     "journal_scan_full": _with(("games",), f"""
         SELECT persistence_id, count(*) AS events FROM ({_JOURNAL_ADDRESSES}) AS j
         GROUP BY persistence_id"""),

@@ -67,8 +67,8 @@ def _stored_results(spark, folder):
     return maps.to_results(played.withColumn("seq_number", F.col("game_id")))
 
 
-def _daily(spark, folder):
-    return maps.to_daily(sample.game_events(sample.games(spark, folder)))
+def _daily(spark, folder, period=None):
+    return maps.to_daily(sample.game_events(sample.games(spark, folder, period)))
 
 
 def _journal(spark, folder, **options):
@@ -398,12 +398,12 @@ def season_standings_every_period(spark, folder):
 @register
 def playoff_series(spark, folder):
     games = sample.games(spark, folder, PLAYOFF)
-    return standings.standings(games, sample.teams(spark, folder), PLAYOFF, costly_input=True)
+    return standings.standings(games, sample.teams(spark, folder), PLAYOFF)
 
 
 @register
 def playoff_series_every_period(spark, folder):
-    return standings.playoff_series(sample.games(spark, folder), costly_input=True)
+    return standings.playoff_series(sample.games(spark, folder))
 
 
 @register
@@ -445,8 +445,9 @@ def team_results_every_team(spark, folder):
 
 @register
 def daily_results(spark, folder):
+    period = calendar.period_of_day(results.day_of(DAY), MARKERS)
     return results.daily_results(
-        _daily(spark, folder), sample.arenas(spark, folder), _calendar(spark), DAY
+        _daily(spark, folder, period), sample.arenas(spark, folder), None, DAY, period=period
     )
 
 
@@ -483,7 +484,7 @@ def view_json_rebounds(spark, folder):
 
 @register
 def view_json_playoff(spark, folder):
-    series = standings.playoff_series(sample.games(spark, folder), costly_input=True)
+    series = standings.playoff_series(sample.games(spark, folder))
     return reports.to_json_rows(series, "playoff")
 
 

@@ -22,10 +22,6 @@ from courtledger.league import TIME_ZONE
 UNKNOWN = "unknown"
 Markers = Sequence[tuple[str, str]]
 
-# Above this many markers an expression with one branch per interval is worse
-# than joining a calendar table.
-MAX_INLINE_MARKERS = 200
-
 
 def end_of_day(day: Column, zone: str = TIME_ZONE) -> Column:
     """The instant 23:59:59 of a calendar day in ``zone``."""
@@ -60,16 +56,27 @@ def period_column(ts: Column, markers: Markers, zone: str = TIME_ZONE) -> Column
 
     Nothing is joined or shuffled: the bounds are constants, compared in order.
     """
-    if len(markers) > MAX_INLINE_MARKERS:
-        raise ValueError(f"{len(markers)} markers: use assign_period with a calendar table")
     spans = intervals(markers)
     if not spans:
         return F.lit(UNKNOWN)
     bounds = [_bound(day, zone) for day in [spans[0][1], *(closes for _, _, closes in spans)]]
-    period = F.when((ts < bounds[0]) | ts.isin(bounds), UNKNOWN)
-    for (label, _, _), closing in zip(spans, bounds[1:]):
-        period = period.when(ts < closing, label)
-    return period.otherwise(UNKNOWN)
+    labels = [UNKNOWN, *(label for label, _, _ in spans), UNKNOWN]
+
+    def between(low: int, high: int) -> Column:
+        """The period of an instant in front of bound ``high`` and behind bound ``low - 1``."""
+        if low == high:
+            return F.lit(labels[low])
+        middle = (low + high) // 2
+        return F.when(ts < bounds[middle], between(low, middle)).otherwise(between(middle + 1, high))
+
+    # Halving keeps the expression shallow and the comparisons few for any number of markers.
+    return F.when(ts.isNull() | ts.isin(bounds), UNKNOWN).otherwise(between(0, len(bounds)))
+
+
+def period_of_day(day: date, markers: Markers) -> str | None:
+    """The period of a day's local midnight, None outside the calendar."""
+    found = [label for label, opens, closes in intervals(markers) if opens < day <= closes]
+    return found[0] if found else None
 
 
 def in_period(ts: Column, period: str, markers: Markers, zone: str = TIME_ZONE) -> Column:

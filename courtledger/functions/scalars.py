@@ -13,9 +13,19 @@ JOURNAL_PARTITION_SIZE = 5_000_000
 
 
 def truncate_decimals(value: Column, places: int) -> Column:
-    """Cut (do not round) a double to ``places`` decimals, toward zero."""
+    """Cut (do not round) a double to ``places`` decimals, toward zero.
+
+    NaN gives 0; beyond the range of a long the nearest long is cut instead.
+    """
     scale = float(10**places)
-    return (value * scale).cast("bigint") / F.lit(scale)
+    scaled = value * scale
+    whole = (
+        F.when(F.isnan(scaled), F.lit(0).cast("bigint"))
+        .when(scaled >= 2.0**63, F.lit(2**63 - 1))
+        .when(scaled <= -(2.0**63), F.lit(-(2**63)))
+        .otherwise(scaled.cast("bigint"))
+    )
+    return whole / F.lit(scale)
 
 
 def truncated_average(total: Column, count: Column, places: int = 2) -> Column:
@@ -60,8 +70,8 @@ def split_list(text: Column) -> Column:
 
 
 def decoded_name(text: Column) -> Column:
-    """A URL-encoded name as plain text."""
-    return F.url_decode(text)
+    """A URL-encoded name as plain text, null where it is not one."""
+    return F.try_url_decode(text)
 
 
 def winner(home: Column, away: Column, home_score: Column, away_score: Column) -> Column:

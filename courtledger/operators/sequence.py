@@ -36,8 +36,8 @@ def running_sequence(
     partitions, and are written to the reliable checkpoint, which fixes their
     places. Per (key, partition) only a count and a first place are aggregated;
     the counts of earlier partitions are the offset of the later ones. These
-    offsets number at most partitions plus keys; they are counted before they
-    are broadcast.
+    offsets number at most partitions plus keys; their bytes are summed before
+    they are broadcast.
 
     Range partitioning looks at its input twice, once to find the ranges.
     ``costly_input`` keeps the input on the executors in between, for input that
@@ -48,14 +48,16 @@ def running_sequence(
     keep = costly_input and not df.is_cached
     if keep:
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    placed = checkpointed(
-        df.repartitionByRange(*([partitions] if partitions else []), key, *order)
-        .sortWithinPartitions(key, *order)
-        .withColumn("_slot", F.monotonically_increasing_id())
-        .withColumn("_part", F.shiftright("_slot", _ROW_BITS))
-    )
-    if keep:
-        df.unpersist()
+    try:
+        placed = checkpointed(
+            df.repartitionByRange(*([partitions] if partitions else []), key, *order)
+            .sortWithinPartitions(key, *order)
+            .withColumn("_slot", F.monotonically_increasing_id())
+            .withColumn("_part", F.shiftright("_slot", _ROW_BITS))
+        )
+    finally:
+        if keep:
+            df.unpersist()
     runs = placed.groupBy(key, "_part").agg(
         F.min("_slot").alias("_start"), F.count(F.lit(1)).alias("_rows")
     )
@@ -69,8 +71,11 @@ def running_sequence(
         offsets = offsets.join(known, key, "left").withColumn(
             "_before", F.col("_before") + F.coalesce("position", F.lit(0))
         ).drop("position")
+    # A null key is a key of its own.
+    offsets = offsets.select(F.col(key).alias("_key"), F.col("_part").alias("_of"), "_start", "_before")
+    found = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_of"))
     return (
-        placed.join(broadcast_if_small(offsets), [key, "_part"])
+        placed.join(broadcast_if_small(offsets), found)
         .withColumn(name, F.col("_slot") - F.col("_start") + F.col("_before") + F.lit(first))
         .select(*df.columns, name)
     )

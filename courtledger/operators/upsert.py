@@ -1,12 +1,13 @@
 """Keyed upserts on Parquet.
 
 Batches are appended with a version; the latest view keeps the newest version
-of each key, so replaying a batch changes nothing. Compaction rewrites periods
-to their latest rows.
+of each key, so replaying a batch changes nothing. A period's folder is divided
+into parts: each batch appends one, and compaction replaces many by one.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +43,9 @@ def install_tables(spark: SparkSession, root: str) -> None:
     """Create the stored tables where they do not exist yet."""
     for table in TABLES:
         empty = spark.createDataFrame([], table.stored_schema)
-        empty.write.mode("ignore").partitionBy("period").parquet(table_path(root, table))
+        empty.write.mode("ignore").partitionBy("period", "part").parquet(
+            table_path(root, table)
+        )
 
 
 def append_batch(rows: DataFrame, table: Table, root: str, batch_id: int) -> None:
@@ -54,7 +57,7 @@ def append_batch(rows: DataFrame, table: Table, root: str, batch_id: int) -> Non
     rows = rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
     if "line_nr" not in rows.columns:
         rows = rows.withColumn("line_nr", F.lit(0))
-    _write(rows, table, root, "append")
+    _append(rows, table, root, f"batch-{batch_id}")
 
 
 def read_table(spark: SparkSession, table: Table, root: str) -> DataFrame:
@@ -69,24 +72,72 @@ def read_latest(spark: SparkSession, table: Table, root: str) -> DataFrame:
 def compact(
     spark: SparkSession, table: Table, root: str, periods: Sequence[str] | None = None
 ) -> None:
-    """Rewrite periods to one row per key; other periods stay untouched.
+    """Make one part of each period that has several, one row per key.
 
-    Run it between batches, not beside a running append.
+    The new part is written beside the old ones, which are marked as retired only
+    when it is complete, and deleted by the next call: a failure at any point loses
+    nothing, as rows that are there twice are equal and the latest view takes one,
+    and readers that began before keep their files. Only periods written since
+    their last compaction are read.
     """
-    rows = read_table(spark, table, root)
-    if periods is not None:
-        rows = rows.where(F.col("period").isin(list(periods)))
-    _write(latest(rows, table.keys, table.version), table, root, "overwrite")
+    path = table_path(root, table)
+    parts = _parts(spark, path)
+    for _, folder, retired in parts:
+        if retired:
+            _delete(spark, folder)
+    by_period: dict[str, list[str]] = {}
+    for period, folder, retired in parts:
+        if not retired and (periods is None or period in periods):
+            by_period.setdefault(period, []).append(folder)
+    old = [folder for folders in by_period.values() if len(folders) > 1 for folder in folders]
+    if not old:
+        return
+    rows = spark.read.schema(table.stored_schema).option("basePath", path).parquet(*old)
+    _append(latest(rows, table.keys, table.version), table, root, f"compact-{uuid.uuid4().hex}")
+    for folder in old:
+        _mark_retired(spark, folder)
 
 
-def _write(rows: DataFrame, table: Table, root: str, mode: str) -> None:
+_RETIRED = "_RETIRED"
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as Hadoop has them."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _parts(spark: SparkSession, path: str) -> list[tuple[str, str, bool]]:
+    """(period, folder, retired) of every part of a table."""
+    unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    system, place = _files(spark, f"{path}/period=*/part=*")
+    found = []
+    for status in system.globStatus(place) or []:
+        folder = status.getPath()
+        period = unescape(folder.getParent().getName().removeprefix("period="))
+        retired = system.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, _RETIRED))
+        found.append((period, folder.toString(), retired))
+    return found
+
+
+def _mark_retired(spark: SparkSession, folder: str) -> None:
+    system, place = _files(spark, f"{folder}/{_RETIRED}")
+    system.create(place, True).close()
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    system, place = _files(spark, folder)
+    system.delete(place, True)
+
+
+def _append(rows: DataFrame, table: Table, root: str, part: str) -> None:
     (
-        rows.select(*table.stored_schema.fieldNames())
+        rows.withColumn("part", F.lit(part))
+        .select(*table.stored_schema.fieldNames())
         .hint("rebalance", "period")
         .sortWithinPartitions("period", *table.clustering)
-        .write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("period")
+        .write.mode("append")
+        .partitionBy("period", "part")
         .parquet(table_path(root, table))
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courtledger import league, schemas
-from courtledger.functions.calendar import Markers, calendar_frame, intervals
+from courtledger.functions.calendar import Markers, period_of_day
 from courtledger.functions.scalars import report_time
 from courtledger.operators import leaders, results, standings
 from courtledger.operators.upsert import read_latest
@@ -70,12 +70,11 @@ class League:
 
     def daily(self, day: str) -> DataFrame:
         """Results of a day, ``yyyy-mm-dd``."""
-        wanted = results.day_of(day)
-        if not any(opens < wanted <= closes for _, opens, closes in intervals(self.markers)):
+        period = period_of_day(results.day_of(day), self.markers)
+        if period is None:
             raise ValueError(f"Invalid parameters: Could not find season for day {day}")
-        calendar = calendar_frame(self.spark, self.markers, self.zone)
         return results.daily_results(
-            self._latest(schemas.DAILY), self._arenas(), calendar, day, zone=self.zone
+            self._latest(schemas.DAILY), self._arenas(), None, day, zone=self.zone, period=period
         )
 
     def player_stats(self, name: str, stage: str, team: str) -> DataFrame:

@@ -7,28 +7,31 @@ from dataclasses import dataclass
 from pyspark.sql import types as T
 
 
-def _struct(spec: str) -> T.StructType:
-    """``"name:type ..."`` to a struct of nullable columns."""
-    names = {
-        "s": T.StringType(), "i": T.IntegerType(), "l": T.LongType(),
-        "t": T.TimestampType(), "b": T.BinaryType(),
+def struct(ddl: str) -> T.StructType:
+    """``"name type, ..."`` as a struct of nullable columns; needs no session."""
+    kinds = {
+        "string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(),
+        "timestamp": T.TimestampType(), "binary": T.BinaryType(),
     }
-    fields = (item.split(":") for item in spec.split())
-    return T.StructType([T.StructField(name, names[kind]) for name, kind in fields])
+    fields = (field.split() for field in ddl.split(","))
+    return T.StructType([T.StructField(name, kinds[kind]) for name, kind in fields])
 
 
 # Field names and types of the event messages.
-TOTAL = _struct(
-    "minutes:i fgmA:s threePmA:s ftmA:s minusSlashPlus:s offReb:i defReb:i totalReb:i "
-    "ast:i pf:i steels:i to:i bs:i ba:i pts:i"
+TOTAL = struct(
+    "minutes int, fgmA string, threePmA string, ftmA string, minusSlashPlus string, "
+    "offReb int, defReb int, totalReb int, "
+    "ast int, pf int, steels int, to int, bs int, ba int, pts int"
 )
-LINE = _struct(
-    "name:s pos:s min:s fgmA:s threePmA:s ftmA:s minusSlashPlus:s offReb:i defReb:i "
-    "totalReb:i ast:i pf:i steels:i to:i bs:i ba:i pts:i"
+LINE = struct(
+    "name string, pos string, min string, fgmA string, threePmA string, ftmA string, "
+    "minusSlashPlus string, offReb int, defReb int, totalReb int, "
+    "ast int, pf int, steels int, to int, bs int, ba int, pts int"
 )
 RESULT = (
-    _struct(
-        "homeTeam:s homeScore:i awayTeam:s awayScore:i time:l homeScoreLine:s awayScoreLine:s"
+    struct(
+        "homeTeam string, homeScore int, awayTeam string, awayScore int, time bigint, "
+        "homeScoreLine string, awayScoreLine string"
     )
     .add("homeTotal", TOTAL)
     .add("awayTotal", TOTAL)
@@ -46,7 +49,7 @@ REQUIRED_TOTAL = ["minutes"]
 REQUIRED_LINE = ["name", "pos"]
 
 # One row per event; ``event`` is JSON text or protobuf bytes.
-JOURNAL = _struct("persistence_id:s partition_nr:l sequence_nr:l event:s")
+JOURNAL = struct("persistence_id string, partition_nr bigint, sequence_nr bigint, event string")
 
 
 @dataclass(frozen=True)
@@ -60,7 +63,7 @@ class Table:
     schema: T.StructType
     keys: tuple[str, ...]
     clustering: tuple[str, ...]
-    version: tuple[str, ...] = ("batch_id", "event_seq")
+    version: tuple[str, ...] = ("event_seq",)
 
     @property
     def columns(self) -> list[str]:
@@ -72,22 +75,23 @@ class Table:
         return T.StructType(self.schema.fields + VERSION.fields)
 
 
-# Appended with every row: the micro-batch, the event's place in its team's
-# journal and the line's place in the event's boxes. The newest row of a key
-# wins.
-VERSION = _struct("batch_id:l event_seq:l line_nr:i")
-_LINE_VERSION = ("batch_id", "event_seq", "opponent", "line_nr")
+# Appended with every row: the micro-batch, the event's number in its team's
+# journal, the line's place in the event's boxes, and the part of the period's
+# folder. The journal number outlives every stream: the latest event of a key wins.
+VERSION = struct("batch_id bigint, event_seq bigint, line_nr int, part string")
+_LINE_VERSION = ("event_seq", "opponent", "line_nr")
 
 _MEASURES = (
-    "pos:s min:s fgma:s threepma:s ftma:s minusslashplus:s offreb:i defreb:i totalreb:i "
-    "ast:i pf:i steel:i to0:i blockshoot:i ba:i pts:i"
+    "pos string, min string, fgma string, threepma string, ftma string, "
+    "minusslashplus string, offreb int, defreb int, totalreb int, "
+    "ast int, pf int, steel int, to0 int, blockshoot int, ba int, pts int"
 )
 
 RESULTS = Table(
     "results_by_period",
-    _struct(
-        "period:s team:s score_line:s score:i opponent:s opponent_score_line:s "
-        "opponent_score:i date:t seq_number:l"
+    struct(
+        "period string, team string, score_line string, score int, opponent string, opponent_score_line string, "
+        "opponent_score int, date timestamp, seq_number bigint"
     ),
     keys=("period", "team", "date"),
     clustering=("team", "date"),
@@ -96,28 +100,28 @@ RESULTS = Table(
 # apart.
 LEADERS = Table(
     "leaders_by_period",
-    _struct(f"period:s name:s {_MEASURES} team:s opponent:s time:t"),
+    struct(f"period string, name string, {_MEASURES}, team string, opponent string, time timestamp"),
     keys=("period", "time", "name", "team"),
     clustering=("time", "name"),
     version=_LINE_VERSION,
 )
 PLAYERS = Table(
     "player_by_period_team",
-    _struct(f"name:s period:s team:s time:t {_MEASURES} opponent:s"),
+    struct(f"name string, period string, team string, time timestamp, {_MEASURES}, opponent string"),
     keys=("name", "period", "team", "time"),
     clustering=("name", "team", "time"),
     version=_LINE_VERSION,
 )
 DAILY = Table(
     "daily_results",
-    _struct(
-        "period:s opponents:s year:i month:i day:i score:i guest_score:i "
-        "score_line:s guest_score_line:s"
+    struct(
+        "period string, opponents string, year int, month int, day int, score int, guest_score int, "
+        "score_line string, guest_score_line string"
     ),
     keys=("period", "year", "month", "day", "opponents"),
     clustering=("year", "month", "day", "opponents"),
 )
 TABLES = (RESULTS, LEADERS, PLAYERS, DAILY)
 
-TEAMS = _struct("processor_id:s description:s")
-CAMPAIGN = _struct("campaign_id:s description:s")
+TEAMS = struct("processor_id string, description string")
+CAMPAIGN = struct("campaign_id string, description string")

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-# Rows of a derived table that are still broadcast (some tens of megabytes of
-# keys and numbers).
-MAX_BROADCAST_ROWS = 500_000
+from pyspark.sql import types as T
 
 
 def build_session(app: str = "courtledger", master: str | None = None, **conf: str) -> SparkSession:
@@ -35,25 +31,13 @@ def build_session(app: str = "courtledger", master: str | None = None, **conf: s
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors reach, named by ``spark.checkpoint.dir``.
-
-    Only a local session without that setting falls back to a temporary folder.
-    """
+    """The folder all executors reach: the one ``spark.checkpoint.dir`` names, or one the
+    session's checkpoints or warehouse are in."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return _local_folder()
-
-
-_local: list[str] = []
-
-
-def _local_folder() -> str:
-    if not _local:
-        _local.append(tempfile.mkdtemp(prefix="courtledger-"))
-    return _local[0]
+    chosen = spark.sparkContext.getCheckpointDir()
+    return chosen or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/courtledger-work"
 
 
 def fresh_folder(spark: SparkSession, purpose: str) -> str:
@@ -69,11 +53,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``df``, computed once and counted; marked for broadcast only if small.
+def broadcast_if_small(df: DataFrame, most_bytes: int | None = None) -> DataFrame:
+    """``df``, marked for broadcast if its values take at most ``most_bytes``.
 
     For narrow tables that Spark cannot estimate (an aggregate of something
-    large): without it the large side of the join is shuffled first.
+    large): without it the large side of the join is shuffled first. The bytes
+    are summed over the rows themselves, texts included, and compared with
+    ``spark.sql.autoBroadcastJoinThreshold`` by default. ``df`` is computed for
+    it, so it should be cheap.
     """
-    fixed = checkpointed(df)
-    return F.broadcast(fixed) if fixed.count() <= max_rows else fixed
+    if most_bytes is None:
+        most_bytes = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    width = F.lit(0)
+    for field in df.schema:
+        texts = isinstance(field.dataType, (T.StringType, T.BinaryType))
+        width = width + (F.coalesce(F.octet_length(field.name), F.lit(0)) + 16 if texts else F.lit(16))
+    size = df.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(df) if size <= most_bytes else df

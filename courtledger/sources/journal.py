@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,24 +16,16 @@ from courtledger import schemas
 from courtledger.functions.calendar import in_interval
 from courtledger.functions.scalars import event_time
 from courtledger.session import broadcast_if_small
+from courtledger.sources import protobuf
 
-# Fixed value: a batch scan reads journal partitions 0 to 10.
-LAST_PARTITION = 10
+def filter_in_set(df: DataFrame, column: str, wanted: Iterable | DataFrame) -> DataFrame:
+    """Rows whose ``column`` is in a set.
 
-# Longer lists become a semi-join instead of a literal IN list.
-MAX_IN_LIST = 1_000
-
-
-def filter_in_set(df: DataFrame, column: str, wanted: Iterable[str] | DataFrame) -> DataFrame:
-    """Rows whose ``column`` is in a set: IN list if short, else a semi-join.
-
-    Given a DataFrame (its first column), Spark chooses the join by its size.
+    A list of any values becomes an IN list, which the scan can use; of a
+    DataFrame (its first column) Spark chooses the join by its size.
     """
     if not isinstance(wanted, DataFrame):
-        values = sorted(set(wanted))
-        if len(values) <= MAX_IN_LIST:
-            return df.where(F.col(column).isin(values))
-        wanted = df.sparkSession.createDataFrame(pa.table({column: pa.array(values, pa.string())}))
+        return df.where(F.col(column).isin(sorted(set(wanted))))
     members = wanted.select(F.col(wanted.columns[0]).alias(column))
     return df.join(members, column, "left_semi")
 
@@ -42,15 +33,20 @@ def filter_in_set(df: DataFrame, column: str, wanted: Iterable[str] | DataFrame)
 def scan_journal(
     journal: DataFrame,
     teams: Iterable[str] | DataFrame | None = None,
-    last_partition: int = LAST_PARTITION,
+    first_partition: int | None = None,
+    last_partition: int | None = None,
 ) -> DataFrame:
-    """Journal rows of ``teams`` in partitions 0 to ``last_partition``.
+    """Journal rows of ``teams``, of all partitions or of those the caller names.
 
     Without teams: every row, as (persistence_id, event).
     """
+    rows = journal
+    if first_partition is not None:
+        rows = rows.where(F.col("partition_nr") >= first_partition)
+    if last_partition is not None:
+        rows = rows.where(F.col("partition_nr") <= last_partition)
     if teams is None:
-        return journal.select("persistence_id", "event")
-    rows = journal.where(F.col("partition_nr").between(0, last_partition))
+        return rows.select("persistence_id", "event")
     return filter_in_set(rows, "persistence_id", teams)
 
 
@@ -74,21 +70,19 @@ def decode(journal: DataFrame, payload: str = "event", payload_format: str = "js
     A payload that does not parse, or lacks a required field, becomes the empty
     event: all fields null, which ``valid_events`` drops.
     """
+    corrupt = "_corrupt"
     if payload_format == "json":
-        text = F.col(payload)
+        schema = T.StructType([*schemas.EVENT.fields, T.StructField(corrupt, T.StringType())])
+        parsed = F.from_json(payload, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt})
     elif payload_format == "protobuf":
-        from courtledger.sources.protobuf import to_json_text
-
-        text = to_json_text(F.col(payload))
+        parsed = protobuf.parsed_event(F.col(payload))
     else:
         raise ValueError(f"unknown payload format {payload_format!r}")
 
-    corrupt = "_corrupt"
-    schema = T.StructType([*schemas.EVENT.fields, T.StructField(corrupt, T.StringType())])
-    parsed = F.from_json(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt})
-
     def usable_or_empty(event: Column) -> Column:
-        usable = event[corrupt].isNull() & _has_required_fields(event)
+        usable = _has_required_fields(event)
+        if payload_format == "json":
+            usable = event[corrupt].isNull() & usable
         return F.struct(
             F.when(usable, event["teamName"]).alias("teamName"),
             F.when(usable, event["result"]).alias("result"),

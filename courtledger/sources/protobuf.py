@@ -1,18 +1,16 @@
 """Protobuf payloads, for journals that store bytes instead of JSON.
 
-Spark's own protobuf functions need a jar that plain PySpark does not ship, so
-the bytes become JSON text in Arrow batches and share the JSON decoder.
+They are parsed by Spark's own ``from_protobuf``, whose jar (spark-protobuf) is
+not part of PySpark; the descriptor is built here from the schemas.
 """
 
 from __future__ import annotations
 
 import functools
-import json
 
-import pandas as pd
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.protobuf.functions import from_protobuf
 
 from courtledger import schemas
 
@@ -26,10 +24,10 @@ _MESSAGES = {
 
 
 @functools.cache
-def event_class():
-    """The message class of an event, built from the schemas."""
+def descriptor() -> bytes:
+    """The descriptor set of an event, built from the schemas."""
     try:
-        from google.protobuf import descriptor_pb2, descriptor_pool, message_factory
+        from google.protobuf import descriptor_pb2
     except ImportError as error:
         raise ImportError("protobuf payloads need the google.protobuf package") from error
 
@@ -53,34 +51,12 @@ def event_class():
             else:
                 added.type = kinds.TYPE_MESSAGE
                 added.type_name = f".{names[kind]}"
-    pool = descriptor_pool.DescriptorPool()
-    pool.Add(file)
-    return message_factory.GetMessageClass(pool.FindMessageTypeByName("Event"))
+    return descriptor_pb2.FileDescriptorSet(file=[file]).SerializeToString()
 
 
-@F.pandas_udf(T.StringType())
-def _bytes_to_json(payloads: pd.Series) -> pd.Series:
-    from google.protobuf.json_format import MessageToDict
-    from google.protobuf.message import DecodeError
+def parsed_event(payload: Column) -> Column:
+    """Event bytes as the nested event, null where they do not parse.
 
-    event = event_class()
-
-    def convert(payload):
-        if payload is None:
-            return None
-        try:
-            message = event.FromString(payload)
-        except DecodeError:
-            return None
-        if not message.IsInitialized():
-            return None
-        fields = MessageToDict(message, preserving_proto_field_name=True)
-        fields["result"]["time"] = message.result.time
-        return json.dumps(fields)
-
-    return payloads.map(convert)
-
-
-def to_json_text(payload: Column) -> Column:
-    """Event bytes as JSON text, null where they do not parse."""
-    return _bytes_to_json(payload)
+    Without the jar Spark raises an error that names the package to add.
+    """
+    return from_protobuf(payload, "Event", options={"mode": "PERMISSIVE"}, binaryDescriptorSet=descriptor())

@@ -31,9 +31,6 @@ MARKERS = [
     marker for year in range(FIRST_YEAR, LAST_YEAR + 1) for marker in _season(year)
 ] + _season(LAST_YEAR + 1)[:1]
 
-# A game's box has this many places; odd ones are the home side.
-PLACES = 7
-
 
 # Given so that opening a table needs no job to infer it.
 TABLES = {
@@ -89,12 +86,19 @@ def _away_points(price: Column) -> Column:
 
 def games(spark: SparkSession, folder: str, period: str | None = None) -> DataFrame:
     """One row per order whose two nations differ."""
-    scores = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("game_id")).agg(
+    scores = [
         F.sum(F.col("l_quantity").cast("bigint")).cast("int").alias("home_score"),
         F.sum(_away_points(F.col("l_extendedprice"))).cast("int").alias("away_score"),
         F.min("l_suppkey").alias("suppkey"),
-    )
-    return _with_sides(spark, folder, orders(spark, folder, period).join(scores, "game_id")).select(
+    ]
+    lines = table(spark, folder, "lineitem").withColumnRenamed("l_orderkey", "game_id")
+    played = orders(spark, folder, period)
+    if period is None:
+        scored = played.join(lines.groupBy("game_id").agg(*scores), "game_id")
+    else:
+        # Of one period only its own line items are aggregated.
+        scored = lines.join(played, "game_id").groupBy(*played.columns).agg(*scores)
+    return _with_sides(spark, folder, scored).select(
         "game_id", "home_team", "away_team", "home_score", "away_score", "game_time", "period"
     )
 
@@ -177,24 +181,22 @@ def player_lines(spark: SparkSession, folder: str, period: str | None = None) ->
 def journal(spark: SparkSession, folder: str, undecodable: bool = False) -> DataFrame:
     """Journal rows (persistence_id, game_id, game_time, event), the event as JSON.
 
-    Line items of a game share ``PLACES`` places in the box, so the box is built
-    from plain sums per place in the same aggregate as the scores: partial sums
-    before the shuffle, and no list that grows with the game.
+    A supplier's line items of a game make one box line, summed before the
+    shuffle; lines in supplier order alternate between the home and the away box.
+    A box is as long as the order has suppliers: one event is one row.
 
     ``undecodable`` adds a cut-off copy of every payload, and the rows of
     ``events``, whose properties are JSON of another shape.
     """
-    sums = ["sum(cast(l_quantity as bigint)) as home_score", "min(l_suppkey) as suppkey"]
-    for n in range(1, PLACES + 1):
-        here = f"filter (where pmod(l_linenumber - 1, {PLACES}) + 1 = {n})"
-        sums += [
-            f"min(l_suppkey) {here} as player{n}",
-            f"sum(cast(l_quantity as bigint)) {here} as pts{n}",
-            f"sum(l_linenumber) {here} as off{n}",
-            f"sum(cast(round(l_tax * 100) as bigint)) {here} as def{n}",
-        ]
-    scores = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("game_id")).agg(
-        F.sum(_away_points(F.col("l_extendedprice"))).alias("away_score"), *map(F.expr, sums)
+    quantity = F.col("l_quantity").cast("bigint")
+    lines = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("game_id"), "l_suppkey").agg(
+        F.sum(quantity).alias("pts"), F.sum("l_linenumber").alias("off"),
+        F.sum(F.round(F.col("l_tax") * 100).cast("bigint")).alias("def"),
+        F.sum(_away_points(F.col("l_extendedprice"))).alias("away_points"),
+    )
+    scores = lines.groupBy("game_id").agg(
+        F.sum("pts").alias("home_score"), F.sum("away_points").alias("away_score"), F.min("l_suppkey").alias("suppkey"),
+        F.sort_array(F.collect_list(F.struct("l_suppkey", "pts", "off", "def"))).alias("lines"),
     )
     played = _with_sides(spark, folder, orders(spark, folder).join(scores, "game_id"))
     event = F.expr(f"""named_struct(
@@ -206,7 +208,7 @@ def journal(spark: SparkSession, folder: str, undecodable: bool = False) -> Data
             'homeScoreLine', string(home_score), 'awayScoreLine', string(away_score),
             'homeTotal', named_struct('minutes', 240, 'pts', home_score),
             'awayTotal', named_struct('minutes', 240, 'pts', away_score),
-            'homeScoreBox', {_box(first=1)}, 'awayScoreBox', {_box(first=2)}))""")
+            'homeScoreBox', {_box(side=0)}, 'awayScoreBox', {_box(side=1)}))""")
     payload = F.to_json(event)
     address = [F.col("home_team").alias("persistence_id"), "game_id", "game_time"]
     if not undecodable:
@@ -222,15 +224,11 @@ def journal(spark: SparkSession, folder: str, undecodable: bool = False) -> Data
     return both.unionByName(props)
 
 
-def _box(first: int) -> str:
-    """The lines of every other place from ``first``, as SQL."""
-    lines = [
-        f"""if(player{n} is null, null, named_struct(
-            'name', format_string('Supplier#%09d', player{n}), 'pos', 'G', 'pts', pts{n},
-            'offReb', off{n}, 'defReb', def{n}, 'totalReb', off{n} + def{n}))"""
-        for n in range(first, PLACES + 1, 2)
-    ]
-    return f"array_compact(array({', '.join(lines)}))"
+def _box(side: int) -> str:
+    """Every other line, from the first or the second, as SQL."""
+    return f"""transform(filter(lines, (x, i) -> i % 2 = {side}), x -> named_struct(
+        'name', format_string('Supplier#%09d', x.l_suppkey), 'pos', 'G', 'pts', x.pts,
+        'offReb', x.off, 'defReb', x.def, 'totalReb', x.off + x.def))"""
 
 
 def game_events(played: DataFrame) -> DataFrame:

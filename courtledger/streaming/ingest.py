@@ -1,13 +1,16 @@
 """The ingestion job: journal stream to the four stored tables.
 
-Each micro-batch is decoded, stripped of bad events and numbered per home team,
-then written four times. The numbered batch is on the reliable checkpoint, so
-the writes share it and survive lost executors.
-
-Positions are stored with their batch, and batch N continues from the newest
-ones before N: a batch that is run again gets the same numbers, and its rows
-replace their first copies in the latest view. The stream's checkpoint belongs
-to the tables: keep, move and delete them together.
+Each micro-batch is decoded, stripped of bad events and numbered per home team in
+journal order, then written four times. The numbered batch is on the reliable
+checkpoint, so the writes share it and survive lost executors.
+
+Positions are stored with the batch that reached them: the team's last number,
+the next journal number, and the journal number its stream started from. A batch
+that is run again starts from the same positions, so its rows equal their first
+copies. A stream with a fresh checkpoint continues from the positions, or the
+results, in the tables, and passes over the journal rows before them. Rows are
+versioned by their journal number, which no restart changes: the later event of
+a game wins.
 """
 
 from __future__ import annotations
@@ -27,20 +30,21 @@ from courtledger.league import TIME_ZONE
 from courtledger.operators import events as maps
 from courtledger.operators.sequence import resume_positions, running_sequence
 from courtledger.operators.upsert import append_batch, compact, install_tables, read_latest
-from courtledger.sources.journal import decode, valid_events
+from courtledger.session import checkpointed
+from courtledger.sources.journal import after_position, decode, valid_events
 
 # Fixed value: seconds between micro-batches.
 BATCH_INTERVAL = "15 seconds"
 
+# Bytes of journal files taken into one batch; what is more waits for the next.
+BATCH_BYTES = 64 << 20
+
 # Positions alternate between two slots: a batch overwrites the one before the
 # last, so the last one survives a failed write and nothing piles up.
 POSITION_SLOTS = 2
-POSITIONS = (
-    T.StructType()
-    .add("team", T.StringType())
-    .add("position", T.LongType())
-    .add("batch_id", T.LongType())
-    .add("slot", T.IntegerType())
+POSITIONS = schemas.struct(
+    "team string, position bigint, next_nr bigint, start_nr bigint, "
+    "query string, batch_id bigint, step bigint, slot int"
 )
 
 
@@ -48,20 +52,20 @@ POSITIONS = (
 class Ingestion:
     """Where the job reads and writes.
 
-    ``order`` names journal columns that, after the event's time, order the
-    events of one team in a batch. ``compact_every`` rewrites the tables to
-    their latest rows after that many batches. ``partitions`` is the number of
+    ``compact_every`` rewrites the periods written since to their latest rows
+    after that many batches. ``partitions`` is the number of
     range partitions a batch is numbered in, by default
-    ``spark.sql.shuffle.partitions``.
+    ``spark.sql.shuffle.partitions``. ``checkpoint`` is the stream's own folder,
+    by default beside the tables.
     """
 
     root: str
     markers: Markers
     payload_format: str = "json"
-    order: tuple[str, ...] = ("sequence_nr",)
     zone: str = TIME_ZONE
     compact_every: int | None = None
     partitions: int | None = None
+    checkpoint: str | None = None
 
     @property
     def positions_path(self) -> str:
@@ -69,7 +73,7 @@ class Ingestion:
 
     @property
     def checkpoint_path(self) -> str:
-        return f"{self.root.rstrip('/')}/stream-checkpoint"
+        return self.checkpoint or f"{self.root.rstrip('/')}/stream-checkpoint"
 
     def install(self, spark: SparkSession) -> None:
         install_tables(spark, self.root)
@@ -77,36 +81,49 @@ class Ingestion:
             self.positions_path
         )
 
-    def positions_before(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        """(team, position) before a batch; at first, from the stored results."""
+    def positions_before(self, spark: SparkSession, batch_id: int, query: str = "") -> DataFrame:
+        """(team, position, next_nr, start_nr, step) before a batch of a stream.
+
+        The newest that another batch stored; at first, from the stored results,
+        where the last number of a team is also its place in the journal.
+        """
         stored = spark.read.schema(POSITIONS).parquet(self.positions_path).where(
-            F.col("batch_id") < batch_id
+            ~((F.col("query") == query) & (F.col("batch_id") >= batch_id))
         )
-        newest = stored.agg(F.max("batch_id")).first()[0]
+        newest = stored.agg(F.max(F.struct("step", "query"))).first()[0]
         if newest is not None:
-            return stored.where(F.col("batch_id") == newest).select("team", "position")
+            same_stream = newest["query"] == query
+            start = F.col("start_nr") if same_stream else F.col("next_nr")
+            return stored.where(F.col("step") == newest["step"]).select(
+                "team", "position", "next_nr", start.alias("start_nr"), "step"
+            )
         results = read_latest(spark, schemas.RESULTS, self.root)
         periods = calendar_frame(spark, self.markers, self.zone)
-        return resume_positions(results, results.select("team").distinct(), periods)
+        found = resume_positions(results, results.select("team").distinct(), periods)
+        return found.select(
+            "team", "position", F.col("position").alias("next_nr"),
+            F.col("position").alias("start_nr"), F.lit(0).cast("bigint").alias("step"),
+        )
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """One micro-batch; running it again changes no latest view."""
         spark = batch.sparkSession
-        before = self.positions_before(spark, batch_id)
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+        before = self.positions_before(spark, batch_id, query)
+        fresh = after_position(batch, before.select("team", F.col("start_nr").alias("position")))
         result = F.col("event.result")
-        events = valid_events(decode(batch, payload_format=self.payload_format)).select(
+        events = valid_events(decode(fresh, payload_format=self.payload_format)).select(
             result["homeTeam"].alias("home_team"),
-            result["time"].alias("event_millis"),
-            *self.order,
+            "sequence_nr",
             # No table keeps the team totals.
             F.struct(result.dropFields("homeTotal", "awayTotal").alias("result")).alias("event"),
         )
         numbered = running_sequence(
-            events, "home_team", ["event_millis", *self.order],
-            positions=before, costly_input=True, partitions=self.partitions,
+            events, "home_team", ["sequence_nr"],
+            positions=before.select("team", "position"), costly_input=True, partitions=self.partitions,
         )
         rows = maps.event_frame(numbered, self.markers, self.zone).withColumn(
-            "event_seq", F.col("seq_number")
+            "event_seq", F.col("sequence_nr")
         )
         outputs = (
             (schemas.RESULTS, maps.to_results(rows, "event_seq")),
@@ -123,23 +140,28 @@ class Ingestion:
             ]
         for write in writes:
             write.result()
-        self._store_positions(before, numbered, batch_id)
+        self._store_positions(before, numbered, batch_id, query)
         if self.compact_every and (batch_id + 1) % self.compact_every == 0:
             for table in schemas.TABLES:
                 compact(spark, table, self.root)
 
-    def _store_positions(self, before: DataFrame, numbered: DataFrame, batch_id: int) -> None:
+    def _store_positions(
+        self, before: DataFrame, numbered: DataFrame, batch_id: int, query: str
+    ) -> None:
         """All teams' positions after the batch, replacing those of an earlier try."""
+        step = (before.agg(F.max("step")).first()[0] or 0) + 1
         reached = numbered.groupBy(F.col("home_team").alias("team")).agg(
-            F.max("seq_number").alias("position")
-        )
-        after = (
-            before.select("team", "position").unionByName(reached)
-            .groupBy("team").agg(F.max("position").alias("position"))
+            F.max("seq_number").alias("position"), (F.max("sequence_nr") + 1).alias("next_nr")
+        ).withColumn("start_nr", F.lit(0).cast("bigint"))
+        after = before.drop("step").unionByName(reached).groupBy("team").agg(
+            *(F.max(c).alias(c) for c in ("position", "next_nr", "start_nr"))
         )
+        stored = after.withColumns({
+            "query": F.lit(query), "batch_id": F.lit(batch_id).cast("bigint"),
+            "step": F.lit(step).cast("bigint"), "slot": F.lit(step % POSITION_SLOTS),
+        })
         (
-            after.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-            .withColumn("slot", F.lit(batch_id % POSITION_SLOTS))
+            checkpointed(stored.coalesce(1))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("slot")
@@ -163,9 +185,14 @@ def read_journal_stream(
     path: str,
     schema: T.StructType = schemas.JOURNAL,
     max_files: int | None = None,
+    max_bytes: int = BATCH_BYTES,
 ) -> DataFrame:
-    """A folder of Parquet journal files as a stream, all teams in one source."""
+    """A folder of Parquet journal files as a stream, all teams in one source.
+
+    A batch takes about ``max_bytes`` of files, or ``max_files`` if that is given;
+    the rest waits, nothing is left out. A team's rows come in journal order from
+    batch to batch.
+    """
     reader = spark.readStream.schema(schema)
-    if max_files is not None:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path)
+    bound = {"maxBytesPerTrigger": max_bytes} if max_files is None else {"maxFilesPerTrigger": max_files}
+    return reader.options(**bound).parquet(path)

@@ -57,7 +57,11 @@ def test_calendar_has_one_interval_less_than_markers(spark):
 def test_unknown_period_and_long_calendars(spark):
     with pytest.raises(ValueError, match="winter"):
         calendar.in_period(F.col("ts"), "winter", STAGE_MARKERS)
-    many = [(str(n), "2012-10-28") for n in range(calendar.MAX_INLINE_MARKERS + 1)]
-    with pytest.raises(ValueError, match="assign_period"):
-        calendar.period_column(F.col("ts"), many)
-    assert calendar.intervals([]) == [] and calendar.intervals(STAGE_MARKERS[:1]) == []
+    days = [f"{1900 + n // 4}-{n % 4 * 3 + 1:02d}-01" for n in range(401)]
+    many = [(str(n), day) for n, day in enumerate(days)]
+    rows = spark.createDataFrame([(d,) for d in days], "day string").select(
+        F.to_timestamp(F.concat("day", F.lit(" 12:00:00"))).alias("ts")
+    )
+    got = rows.select(calendar.period_column(F.col("ts"), many).alias("p")).collect()
+    # At noon of a marker's day the period before it is still open.
+    assert [r.p for r in got] == ["unknown", *(str(n) for n in range(400))]

@@ -2,14 +2,14 @@ import json
 
 import pytest
 from conftest import tuples, utc
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from sample_game import LINES, MILLIS, event, payload
 
 from courtledger import schemas
 from courtledger.league import STAGE_MARKERS
 from courtledger.operators import events as maps
-from courtledger.sources import journal
-from courtledger.sources.protobuf import event_class
+from courtledger.sources import journal, protobuf
 
 JOURNAL = "persistence_id string, partition_nr bigint, sequence_nr bigint, event string"
 
@@ -56,25 +56,24 @@ def test_missing_boxes_and_optional_fields_are_fine(spark):
     assert tuples(lines.select("sequence_nr", "name", "team")) == [(1, "K. Durant", "por")]
 
 
-def test_protobuf_payloads(spark):
+def test_protobuf_descriptor_follows_the_schemas():
+    from google.protobuf import descriptor_pb2, descriptor_pool, message_factory
     from google.protobuf.json_format import ParseDict
 
-    message = event_class()
+    file = descriptor_pb2.FileDescriptorSet.FromString(protobuf.descriptor()).file[0]
+    pool = descriptor_pool.DescriptorPool()
+    pool.Add(file)
+    message = message_factory.GetMessageClass(pool.FindMessageTypeByName("Event"))
+    good = ParseDict(event(), message())
+    assert good.IsInitialized() and good.result.time == MILLIS
+    assert [f.name for f in message.DESCRIPTOR.fields] == schemas.EVENT.fieldNames()
+    assert not ParseDict(event(homeTeam=None), message()).IsInitialized()
 
-    def encode(fields):
-        return ParseDict(fields, message()).SerializePartialToString()
 
-    good = encode(event())
-    payloads = [good, good[:-9], b"\xff\xff", b"", encode(event(homeTeam=None)), None]
-    rows = spark.createDataFrame(
-        [("okc", 0, n, data) for n, data in enumerate(payloads)],
-        JOURNAL.replace("event string", "event binary"),
-    )
-    decoded = journal.valid_events(journal.decode(rows, payload_format="protobuf"))
-    as_json = journal.decode(_journal(spark, [payload()]))
-    assert decoded.schema == as_json.schema
-    assert tuples(decoded) == tuples(as_json)
-    assert decoded.first().event.result.time == MILLIS
+def test_protobuf_payloads_need_sparks_jar(spark):
+    rows = spark.createDataFrame([("okc", 0, 0, b"x")], JOURNAL.replace("event string", "event binary"))
+    with pytest.raises(AnalysisException, match="spark-protobuf"):
+        journal.decode(rows, payload_format="protobuf")
 
 
 def test_unknown_payload_format(spark):
@@ -82,14 +81,21 @@ def test_unknown_payload_format(spark):
         journal.decode(_journal(spark, [payload()]), payload_format="avro")
 
 
-def test_scan_by_team_and_partition(spark):
+def test_scan_by_team_reads_every_partition(spark):
     rows = spark.createDataFrame(
-        [(team, part, 0, "") for team in ("okc", "cle", "mia") for part in (0, 10, 11)], JOURNAL
+        [(team, part, 0, "") for team in ("okc", "cle", "mia") for part in (0, 10, 11, 400)], JOURNAL
     )
     got = journal.scan_journal(rows, ["okc", "cle"]).select("persistence_id", "partition_nr")
-    assert sorted(tuples(got)) == [("cle", 0), ("cle", 10), ("okc", 0), ("okc", 10)]
+    assert sorted(tuples(got)) == [(t, n) for t in ("cle", "okc") for n in (0, 10, 11, 400)]
+    named = journal.scan_journal(rows, ["okc"], first_partition=1, last_partition=11)
+    assert sorted(r.partition_nr for r in named.collect()) == [10, 11]
     assert journal.scan_journal(rows).columns == ["persistence_id", "event"]
-    assert journal.scan_journal(rows).count() == 9
+    assert journal.scan_journal(rows).count() == 12
+
+
+def test_set_filter_takes_many_integers(spark):
+    rows = spark.range(3000)
+    assert journal.filter_in_set(rows, "id", range(0, 2002, 2)).count() == 1001
 
 
 def test_set_filter_agrees_for_lists_and_frames(spark):

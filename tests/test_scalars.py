@@ -47,3 +47,15 @@ def test_names_and_lists(spark):
     assert _one(spark, scalars.decoded_name(F.lit("S.%20Curry+%26+Co"))) == "S. Curry & Co"
     assert _one(spark, scalars.split_list(F.lit("cle,okc,,"))) == ["cle", "okc"]
     assert _one(spark, scalars.split_list(F.lit("cle,,okc"))) == ["cle", "", "okc"]
+
+
+def test_truncation_of_odd_values(spark):
+    values = [float("nan"), 1e300, -1e300, float("inf"), None, -1.239]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r.t for r in rows.select(scalars.truncate_decimals(F.col("v"), 2).alias("t")).collect()]
+    assert got == [0.0, (2**63 - 1) / 100, -(2**63) / 100, (2**63 - 1) / 100, None, -1.23]
+
+
+def test_names_that_do_not_decode(spark):
+    rows = spark.createDataFrame([("a%20b",), ("50%",)], "v string")
+    assert [r.n for r in rows.select(scalars.decoded_name(F.col("v")).alias("n")).collect()] == ["a b", None]

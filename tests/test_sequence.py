@@ -67,6 +67,12 @@ def test_offsets_too_many_to_broadcast(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_rows_without_a_key_are_numbered(spark):
+    rows = spark.createDataFrame([(None, 2), ("a", 1), (None, 1)], "team string, id bigint")
+    got = running_sequence(rows, "team", ["id"])
+    assert sorted(tuples(got), key=str) == [("a", 1, 1), (None, 1, 1), (None, 2, 2)]
+
+
 def test_other_names_and_starts(spark):
     got = running_sequence(_rows(spark, 30), "team", ["at", "id"], name="sequence_nr", first=0)
     assert got.agg(F.min("sequence_nr")).first()[0] == 0

@@ -1,7 +1,6 @@
-import json
-
 import pytest
 from conftest import tuples
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from sample_game import MILLIS, payload
 
@@ -56,8 +55,8 @@ def test_stream_restart_and_replay(spark, place):
     _write(spark, folder, SECOND)
     _run(spark, folder, job)                 # continues from the checkpoint
     expected = [
-        ("cle", "okc", 1), ("mia", "okc", 1), ("okc", "cle", 2), ("okc", "mia", 4),
-        ("okc", "por", 3),
+        ("cle", "okc", 1), ("mia", "okc", 1), ("okc", "cle", 2), ("okc", "mia", 3),
+        ("okc", "por", 4),
     ]
     assert _numbers(spark, job) == expected
     corrected = read_latest(spark, schemas.RESULTS, job.root).where("opponent = 'por'")
@@ -68,10 +67,14 @@ def test_stream_restart_and_replay(spark, place):
     before = {t.name: sorted(map(str, tuples(read_latest(spark, t, job.root)))) for t in schemas.TABLES}
     full = [(team, 0, n, text) for team, n, text in SECOND]
     again = spark.createDataFrame(full, schemas.JOURNAL)
+    query = job.positions_before(spark, 2, "other").sparkSession.read.parquet(job.positions_path)
+    spark.sparkContext.setLocalProperty("sql.streaming.queryId", query.orderBy("step").tail(1)[0]["query"])
     job.process(again, 1)                    # as after a crash before the commit
+    spark.sparkContext.setLocalProperty("sql.streaming.queryId", None)
     after = {t.name: sorted(map(str, tuples(read_latest(spark, t, job.root)))) for t in schemas.TABLES}
     assert before == after
-    assert dict(tuples(job.positions_before(spark, 2))) == {"okc": 4, "cle": 1, "mia": 1}
+    reached = job.positions_before(spark, 0, "another stream").select("team", "position", "start_nr")
+    assert sorted(tuples(reached)) == [("cle", 1, 1), ("mia", 1, 1), ("okc", 4, 4)]
 
 
 def test_four_tables_from_one_batch(spark, place):
@@ -103,27 +106,62 @@ def test_many_batches_number_each_team_without_gaps(spark, place):
         assert sorted(n for (n,) in numbers) == list(range(1, 13))
 
 
-def test_first_batch_resumes_from_stored_results(spark, place):
+def test_a_fresh_checkpoint_reads_nothing_twice(spark, place, tmp_path):
     folder, job = place
     _write(spark, folder, FIRST)
     _run(spark, folder, job)
-    fresh = Ingestion(job.root, job.markers)
-    assert dict(tuples(fresh.positions_before(spark, 0))) == {"okc": 2, "cle": 1}
+    _write(spark, folder, SECOND)
+    fresh = Ingestion(job.root, job.markers, checkpoint=str(tmp_path / "fresh"))
+    _run(spark, folder, fresh, max_files=1)  # the whole journal again, in two batches
+    assert _numbers(spark, job) == [
+        ("cle", "okc", 1), ("mia", "okc", 1), ("okc", "cle", 2), ("okc", "mia", 3), ("okc", "por", 4),
+    ]
+    assert read_latest(spark, schemas.RESULTS, job.root).where("opponent = 'por'").first().score == 107
+    assert read_table(spark, schemas.RESULTS, job.root).count() == 6
+
+
+def test_positions_come_from_stored_results(spark, place, tmp_path):
+    folder, job = place
+    _write(spark, folder, FIRST[:3])
+    _run(spark, folder, job)
+    root = str(tmp_path / "copy")
+    bare = Ingestion(root, job.markers)
+    bare.install(spark)
+    for table in schemas.TABLES:
+        read_table(spark, table, job.root).write.mode("append").partitionBy("period", "part").parquet(
+            f"{root}/{table.name}"
+        )
+    got = bare.positions_before(spark, 0).select("team", "position", "start_nr")
+    assert sorted(tuples(got)) == [("cle", 1, 1), ("okc", 2, 2)]
+    _run(spark, folder, bare)
+    assert _numbers(spark, bare) == [("cle", "okc", 1), ("okc", "cle", 2), ("okc", "por", 1)]
+
+
+def test_numbers_follow_the_journal_not_the_clock(spark, place):
+    folder, job = place
+    _write(spark, folder, [
+        ("okc", 0, payload("okc", "por", MILLIS + 48 * HOUR)), ("okc", 1, payload("okc", "cle", MILLIS)),
+    ])
+    _run(spark, folder, job)
+    assert _numbers(spark, job) == [("okc", "cle", 2), ("okc", "por", 1)]
 
 
-def test_protobuf_stream(spark, place):
-    from google.protobuf.json_format import ParseDict
+def test_the_timed_trigger(spark, place):
+    folder, job = place
+    _write(spark, folder, FIRST)
+    query = job.start(read_journal_stream(spark, folder))
+    try:
+        query.processAllAvailable()
+        assert query.lastProgress is not None
+    finally:
+        query.stop()
+    assert len(_numbers(spark, job)) == 3
 
-    from courtledger.sources.protobuf import event_class
 
+def test_protobuf_stream_needs_sparks_jar(spark, place):
     folder, job = place
     job = Ingestion(job.root, job.markers, payload_format="protobuf")
-    rows = []
-    for team, n, text in FIRST[:3]:
-        message = ParseDict(json.loads(text), event_class()())
-        rows.append((team, 0, n, message.SerializeToString()))
-    schema = "persistence_id string, partition_nr bigint, sequence_nr bigint, event binary"
-    frame = spark.createDataFrame(rows, schema)
-    frame.write.parquet(folder)
-    _run(spark, folder, job, schema=frame.schema)
-    assert _numbers(spark, job) == [("cle", "okc", 1), ("okc", "cle", 2), ("okc", "por", 1)]
+    rows = spark.createDataFrame([("okc", 0, 0, b"x")], "persistence_id string, partition_nr bigint, sequence_nr bigint, event binary")
+    job.install(spark)
+    with pytest.raises(AnalysisException, match="spark-protobuf"):
+        job.process(rows, 0)

@@ -1,9 +1,11 @@
+import pytest
 from conftest import tuples, utc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from courtledger.operators import upsert
 from courtledger.operators.upsert import (
-    append_batch, compact, insert_if_absent, install_dimensions, install_tables, latest,
+    _parts, append_batch, compact, insert_if_absent, install_dimensions, install_tables, latest,
     read_latest, read_table, table_path,
 )
 from courtledger.schemas import CAMPAIGN, DAILY, LEADERS, RESULTS, TABLES, TEAMS
@@ -42,7 +44,7 @@ def test_newest_row_of_a_key_wins(spark, tmp_path):
         ("s", "okc", "2016-01-01", 1, 1), ("s", "okc", "2016-01-01", 2, 2),
         ("s", "cle", "2016-01-01", 3, 1), ("p", "cle", "2016-01-01", 4, 2),
     ])
-    second = _results(spark, [("s", "okc", "2016-01-01", 5, 1)])
+    second = _results(spark, [("s", "okc", "2016-01-01", 5, 3)])
     append_batch(first, RESULTS, root, 0)
     append_batch(second, RESULTS, root, 1)
     expected = [("p", "cle", 4), ("s", "cle", 3), ("s", "okc", 5)]
@@ -55,15 +57,44 @@ def test_newest_row_of_a_key_wins(spark, tmp_path):
 
     compact(spark, RESULTS, root, ["s"])              # the other period stays as it is
     assert _scores(spark, root) == expected
+    live = [p for p, _, retired in _parts(spark, table_path(root, RESULTS)) if not retired]
+    assert sorted(live) == ["p", "s"]
+    compact(spark, RESULTS, root)                     # deletes what was retired
     assert sorted(tuples(read_table(spark, RESULTS, root).groupBy("period").count())) == [
         ("p", 2), ("s", 2)
     ]
-    compact(spark, RESULTS, root)
-    assert read_table(spark, RESULTS, root).count() == 3
     append_batch(second, RESULTS, root, 1)
     assert _scores(spark, root) == expected
 
 
+def test_compaction_that_fails_loses_nothing(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    install_tables(spark, root)
+    for n in (1, 2, 3):
+        append_batch(_results(spark, [("s", "okc", "2016-01-01", n, n)]), RESULTS, root, n)
+    append_batch(_results(spark, [("p", "okc", "2016-01-01", 9, 1)]), RESULTS, root, 3)
+    expected = [("p", "okc", 9), ("s", "okc", 3)]
+
+    def fail(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(upsert, "_mark_retired", fail)   # written, not yet switched
+        with pytest.raises(OSError):
+            compact(spark, RESULTS, root)
+    assert _scores(spark, root) == expected
+    compact(spark, RESULTS, root)
+    compact(spark, RESULTS, root)
+    assert _scores(spark, root) == expected
+    parts = _parts(spark, table_path(root, RESULTS))
+    assert sorted(p for p, _, _ in parts) == ["p", "s"]
+    before = {folder for _, folder, _ in parts}
+    append_batch(_results(spark, [("s", "okc", "2016-01-01", 4, 4)]), RESULTS, root, 4)
+    compact(spark, RESULTS, root)                     # the untouched period is not rewritten
+    after = {folder for p, folder, _ in _parts(spark, table_path(root, RESULTS)) if p == "p"}
+    assert after < before
+
+
 def test_a_key_written_very_often(spark):
     rows = spark.range(20000).select(
         F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id"
