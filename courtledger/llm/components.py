@@ -20,8 +20,14 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _state(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _flat(e: DataFrame) -> bool:
+    """Whether every node has one link and no root has any."""
+    ends = e.select(F.inline(F.array(
+        F.struct(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")),
+        F.struct(F.col("v").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")),
+    )))
+    nodes = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return nodes.where("below + above > 1").limit(1).count() == 0
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -32,13 +38,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     a, b = links.columns
     e = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    e = checkpointed(e)
-    before = _state(e)
-    while True:
+    e = checkpointed(_small_star(e))
+    while not _flat(e):
         e = checkpointed(_small_star(_large_star(e)))
-        after = _state(e)
-        if after == before:
-            break
-        before = after
     roots = e.select(F.col("v").alias("node")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("node", F.col("node").alias("root")))

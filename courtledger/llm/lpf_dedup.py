@@ -11,10 +11,10 @@ coarse to fine, each step looking only at what the step before left open:
    bytes. Neighbouring windows with one anchor are a run. An anchor that occurs
    once has no repeated window.
 2. Runs equal as a whole are repeated in all windows. Where an anchor has several
-   different runs, these are cut into nodes of NODE windows, at fixed distances
-   from the anchor; what all windows of a node share must occur twice.
-3. Nodes equal as a whole are repeated; what stays open is compared window by
-   window.
+   different runs, these are cut into nodes of at most 16 windows, at fixed
+   distances from the anchor; what all windows of a node share must occur twice.
+3. Nodes equal as a whole are repeated; where several differ they are cut into
+   nodes of 4 windows, and these into single windows.
 
 Each class is counted where it is found, so a passage in a third of all texts
 meets as one count per task. Hashes have 64 bits.
@@ -38,7 +38,7 @@ from courtledger.session import fresh_folder
 LENGTH = 200
 WINDOWS = 128  # a power of two: windows that may share an anchor
 CORE = LENGTH - WINDOWS + 1
-NODE = 16
+LEVELS = (16, 4, 1)  # windows of a node
 STRETCH = 1 << 20  # windows looked at in one step; places take 21 bits
 
 _BYTE = seeded(21, 256)
@@ -87,28 +87,36 @@ class Stretch:
         shape = ((self.anchor - self.lo) << 8 | (self.hi - self.lo)).astype(np.uint64)
         return mix(self.core ^ mix(self.ranges(self.lo, self.hi + LENGTH) + shape))
 
-    def nodes(self, take: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of the runs taken: run, first and last window, key of the common bytes, key of all bytes."""
-        back, ahead = (self.anchor - self.lo)[take], (self.anchor - self.hi)[take]  # distances to the anchor
-        first, last = ahead // NODE, back // NODE
+    def nodes(self, size: int, run: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The windows lo..hi of each run cut into nodes of ``size``.
+
+        Run, first and last window, key of the bytes that all windows of the
+        full node share, key of all bytes of the windows that are there.
+        """
+        first, last = (self.anchor[run] - hi) // size, (self.anchor[run] - lo) // size
         count = last - first + 1
-        run = np.repeat(take, count)
-        node = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
-        near, far = node * NODE, node * NODE + NODE - 1
+        each = np.repeat(np.arange(len(run)), count)
+        node = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count) + first[each]
+        run, lo, hi = run[each], lo[each], hi[each]
+        near, far = node * size, node * size + size - 1  # distances to the anchor
         anchor = self.anchor[run]
-        lo, hi = np.maximum(anchor - far, self.lo[run]), np.minimum(anchor - near, self.hi[run])
-        name = mix(self.core[run] + node.astype(np.uint64))
+        lo, hi = np.maximum(anchor - far, lo), np.minimum(anchor - near, hi)
+        name = mix(self.core[run] + (node << 8 | size).astype(np.uint64))
         common = mix(name ^ mix(self.ranges(anchor - near, anchor - far + LENGTH)))
         shape = ((anchor - lo) << 8 | (hi - lo)).astype(np.uint64)
         return run, lo, hi, common, mix(~common ^ mix(self.ranges(lo, hi + LENGTH) + shape))
 
-    def windows(self, run: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each window between lo and hi: its run, place and key."""
-        count = hi - lo + 1
-        each = np.repeat(run, count)
-        place = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-        far = (self.anchor[each] - place).astype(np.uint64)
-        return each, place, mix(mix(self.core[each] + (far << np.uint64(32))) ^ mix(self.ranges(place, place + LENGTH)) ^ np.uint64(1))
+    def levels(self, opened: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+        """The nodes of each level that lie in what the levels before left open."""
+        run = np.flatnonzero(contains(opened[0], self.core))
+        lo, hi = self.lo[run], self.hi[run]
+        for size, bitmap in zip(LEVELS, [*opened[1:], None], strict=False):
+            run, lo, hi, common, key = self.nodes(size, run, lo, hi)
+            yield run, lo, hi, common, key
+            if bitmap is None:
+                return
+            loose = contains(bitmap, common)
+            run, lo, hi = run[loose], lo[loose], hi[loose]
 
 
 def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Stretch, np.ndarray]]:
@@ -146,31 +154,33 @@ def _runs(cores: Broadcast) -> Callable:
     return runs
 
 
-def _nodes(cores: Broadcast) -> Callable:
+def _nodes(opened: list[Broadcast]) -> Callable:
+    """Keys of the level below those that are known."""
+
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, s, _ in stretches(batches):
-            *_, common, key = s.nodes(np.flatnonzero(contains(cores.value, s.core)))
+            *_, (_, _, _, common, key) = s.levels([b.value for b in opened])
             yield _counted([common, key], ["core", "key"])
     return nodes
 
 
-def _items(run_keys: Broadcast, cores: Broadcast, node_keys: Broadcast, open_nodes: Broadcast) -> Callable:
-    """Places of everything that may be repeated: whole runs, whole nodes, windows."""
+def _items(equal: list[Broadcast], opened: list[Broadcast]) -> Callable:
+    """Places of everything that may be repeated: whole runs, nodes of every level."""
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, s, shift in stretches(batches):
-            keys = s.run_keys()
-            whole = np.flatnonzero(contains(run_keys.value, keys))
-            run, lo, hi, common, node = s.nodes(np.flatnonzero(contains(cores.value, s.core)))
-            equal = contains(node_keys.value, node)
-            loose = contains(open_nodes.value, common)
-            each, place, window = s.windows(run[loose], lo[loose], hi[loose])
-            row = s.row[np.concatenate([whole, run[equal], each])]
+            key = s.run_keys()
+            found = [(np.arange(len(key)), s.lo, s.hi, key)]
+            found += [(run, lo, hi, key) for run, lo, hi, _, key in s.levels([b.value for b in opened])]
+            kept = []
+            for bitmap, columns in zip(equal, found, strict=True):
+                take = contains(bitmap.value, columns[-1])
+                kept.append([c[take] for c in columns])
+            run, lo, hi, key = (np.concatenate(c) for c in zip(*kept, strict=True))
+            row = s.row[run]
             yield pa.RecordBatch.from_arrays([
                 part.column("doc_key").take(pa.array(row)), part.column("text_key").take(pa.array(row)),
-                pa.array(np.concatenate([keys[whole], node[equal], window]).view(np.int64)),
-                pa.array(np.concatenate([s.lo[whole], lo[equal], place]) + shift[row]),
-                pa.array(np.concatenate([s.hi[whole], hi[equal], place]) + shift[row]),
+                pa.array(key.view(np.int64)), pa.array(lo + shift[row]), pa.array(hi + shift[row]),
             ], ["doc_key", "text_key", "key", "lo", "hi"])
     return items
 
@@ -205,12 +215,14 @@ def repeated_spans(docs: DataFrame, keep_first: bool) -> DataFrame:
     rows = _keyed(docs).where(F.octet_length("text") >= LENGTH)
     cores = rows.select("text").mapInArrow(_cores, "core long, n long").groupBy("core").agg(F.sum("n").alias("n"))
     runs = counted(_runs(hash_filter(cores.where("n > 1"), "core")), "runs")
-    open_cores = hash_filter(several(runs), "core")
-    nodes = counted(_nodes(open_cores), "nodes")
-    open_nodes = hash_filter(several(nodes), "core")
-    equal = [hash_filter(df.where("n > 1"), "key") for df in (runs, nodes)]
+    equal, opened = [hash_filter(runs.where("n > 1"), "key")], [hash_filter(several(runs), "core")]
+    for size in LEVELS:
+        nodes = counted(_nodes(opened), f"nodes-{size}")
+        equal.append(hash_filter(nodes.where("n > 1"), "key"))
+        if size > 1:
+            opened.append(hash_filter(several(nodes), "core"))
     found = rows.select("text", "doc_key", "text_key").mapInArrow(
-        _items(equal[0], open_cores, equal[1], open_nodes), "doc_key long, text_key long, key long, lo long, hi long"
+        _items(equal, opened), "doc_key long, text_key long, key long, lo long, hi long"
     )
     found = stored(found, "places")
     first = [F.min(F.struct("doc_key", "text_key", "lo")).alias("first")] if keep_first else []

@@ -5,7 +5,8 @@ signatures, each by its own DEPTH hash values. In every order the neighbours wit
 the longest common prefix, and the head of the region that shares the first
 FIRST_DEPTH values, are candidates; those links join most of each group. Then
 only regions that still hold several components are looked at, each at the least
-depth at which it is small enough: every pair of different components whose
+depth at which it has at most REGION members, or in runs of REGION where even the
+full depth leaves more: every pair of different components there whose
 signatures agree as links nearly always do is a candidate. All links are
 confirmed on the full shingle sets.
 
@@ -31,7 +32,7 @@ from courtledger.session import checkpointed, fresh_folder
 
 TREES, DEPTH, FIRST_DEPTH = 24, 6, 3
 VALUES = TREES * DEPTH
-REGION = 512  # classes compared in one step; larger regions go deeper, then into blocks
+REGION = 8  # classes compared with each other; larger regions go deeper, then into runs
 
 _FACTORS = seeded(7, VALUES) | np.uint64(1)
 
@@ -111,9 +112,9 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def least_agreement(percent: int) -> int:
-    """Signature values that links share in all but about one of 10**12 cases."""
+    """Signature values that links share in all but about one of 10**9 cases."""
     s = percent / 100
-    return max(1, math.floor(VALUES * s - 7 * math.sqrt(VALUES * s * (1 - s))))
+    return max(1, math.floor(VALUES * s - 6 * math.sqrt(VALUES * s * (1 - s))))
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -197,7 +198,7 @@ def _crossing(percent: int):
 
 
 def _regions(members: DataFrame) -> DataFrame:
-    """The region of each member: the least depth at which it has at most REGION members, else blocks of it."""
+    """The region of each member: the least depth at which it has at most REGION members, else a run of as many."""
     prefixes = [F.substring("label", 1, 4 * d) for d in range(DEPTH - FIRST_DEPTH + 1)]
     sized = members
     for d, prefix in enumerate(prefixes):
@@ -205,14 +206,10 @@ def _regions(members: DataFrame) -> DataFrame:
     depth = F.lit(len(prefixes) - 1)
     for d in reversed(range(len(prefixes) - 1)):
         depth = F.when(F.col(f"n{d}") <= REGION, d).otherwise(depth)
-    last = f"n{len(prefixes) - 1}"
     place = F.row_number().over(Window.partitionBy("region", "label").orderBy("cls")) - 1
-    sized = sized.withColumn("depth", depth).withColumn("part", F.substring("label", F.lit(1), 4 * F.col("depth")))
-    blocks = F.when((F.col("depth") == len(prefixes) - 1) & (F.col(last) > REGION), F.ceil(F.col(last) / REGION)).otherwise(1).cast("int")
-    sized = sized.withColumn("blocks", blocks).withColumn("block", F.when(F.col("blocks") > 1, F.floor(place / REGION)).otherwise(0).cast("int"))
-    # A block meets every other: each pair of blocks is a group of its own.
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "block").alias("x"), F.greatest(o, "block").alias("y")))
-    return sized.withColumn("meet", F.explode(meets)).select("region", "part", F.col("meet.x").alias("x"), F.col("meet.y").alias("y"), "cls", "root")
+    sized = sized.withColumn("depth", depth)
+    run = F.when(F.col("depth") == len(prefixes) - 1, F.floor(place / REGION)).otherwise(0).cast("int")
+    return sized.select("region", F.substring("label", F.lit(1), 4 * F.col("depth")).alias("part"), run.alias("run"), "cls", "root")
 
 
 def duplicate_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -237,17 +234,26 @@ def duplicate_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     pairs = meets.select(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b")).distinct()
     likely = stored(_likely(pairs, classes, percent), "likely")
     links = stored(_confirmed(likely, rows, size, percent), "links")
-    roots = checkpointed(connected_components(links))
+    roots = connected_components(links)
 
     placed = members.select("region", "label", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
     placed = placed.withColumn("root", F.coalesce("root", "cls"))
     mixed = placed.groupBy("region").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high and n > 2").select("region")
     regions = _regions(placed.join(mixed, "region", "left_semi")).join(classes.select("cls", "sig"), "cls")
-    crossing = regions.select("region", "part", "x", "y", "cls", "root", "sig").groupBy("region", "part", "x", "y").applyInArrow(_crossing(percent), "a binary, b binary")
+    crossing = regions.select("region", "part", "run", "cls", "root", "sig").groupBy("region", "part", "run").applyInArrow(_crossing(percent), "a binary, b binary")
     more = crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(likely, ["a", "b"], "left_anti")
-    more = stored(_confirmed(stored(more, "more"), rows, size, percent), "more_links")
-    all_links = links.union(more)
-    roots = checkpointed(connected_components(all_links)) if more.limit(1).count() else roots
+    more = stored(more, "more")
+    if more.limit(1).count():
+        more = stored(_confirmed(more, rows, size, percent), "more_links")
+        # Links between components of the first step join these.
+        ends = more
+        for end in ("a", "b"):
+            ends = ends.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+        between = ends.select(*(F.coalesce(f"root_{e}", e).alias(e) for e in ("a", "b")))
+        upper = connected_components(between).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        lower = roots.join(upper, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        alone = upper.join(roots.select("root"), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
+        roots = checkpointed(lower.union(alone))
 
     ids = classes.select("cls", "least_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = ids.groupBy("root").agg(F.min("least_id").alias("component_id"))
