@@ -6,9 +6,12 @@ the longest common prefix, and the head of the region that shares the first
 FIRST_DEPTH values, are candidates; those links join most of each group. Then
 only regions that still hold several components are looked at, each at the least
 depth at which it has at most REGION members, or in runs of REGION where even the
-full depth leaves more: every pair of different components there whose
-signatures agree as links nearly always do is a candidate. All links are
-confirmed on the full shingle sets.
+full depth leaves more. Candidates there are pairs of different components whose
+signatures agree as links nearly always do: all pairs of a few members, else every
+member with its neighbours in the order and with the most central members, those
+whose signatures are nearest to the region's commonest values. A variant is most
+like the text that the others vary too, so the work stays in proportion to the
+members. All links are confirmed on the full shingle sets.
 
 At similarity 0.8 the chance that no order brings a pair together at the first
 depth is (1 - 0.8**3)**24 < 4e-8.
@@ -32,7 +35,8 @@ from courtledger.session import checkpointed, fresh_folder
 
 TREES, DEPTH, FIRST_DEPTH = 24, 6, 3
 VALUES = TREES * DEPTH
-REGION = 8  # classes compared with each other; larger regions go deeper, then into runs
+REGION = 512  # classes looked at together; larger regions go deeper, then into runs
+CENTRAL = 8  # members that all others of a region are compared with
 
 _FACTORS = seeded(7, VALUES) | np.uint64(1)
 
@@ -180,19 +184,27 @@ def _crossing(percent: int):
     need = least_agreement(percent)
 
     def crossing(group: pa.Table) -> pa.Table:
-        """Pairs of one region in different components whose signatures agree enough."""
-        group = group.combine_chunks()
-        sig = _matrix(group.column("sig").chunk(0), ">u4", VALUES)
+        """Candidate pairs of one region in different components whose signatures agree enough."""
+        group = group.combine_chunks().sort_by([("label", "ascending"), ("cls", "ascending")])
+        n = len(group)
+        sig = _matrix(group.column("sig").combine_chunks(), ">u4", VALUES)
         roots = group.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
-        left, right = [], []
-        for i in range(len(sig) - 1):
-            other = i + 1 + np.flatnonzero(roots[i + 1:] != roots[i])
-            other = other[(sig[other] == sig[i]).sum(axis=1) >= need]
-            left.append(np.full(len(other), i))
-            right.append(other)
-        cls = group.column("cls")
-        pick = lambda x: cls.take(pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)))
-        return pa.table({"a": pick(left), "b": pick(right)})
+        if n <= 2 * CENTRAL:
+            a, b = np.triu_indices(n, 1)
+        else:
+            commonest = np.empty(VALUES, sig.dtype)
+            for k in range(VALUES):
+                values, counts = np.unique(sig[:, k], return_counts=True)
+                commonest[k] = values[counts.argmax()]
+            central = np.argsort(-(sig == commonest).sum(axis=1), kind="stable")[:CENTRAL]
+            ahead = [np.stack([np.arange(n - d), np.arange(d, n)]) for d in (1, 2, 3)]
+            a, b = np.concatenate([np.stack([np.tile(np.arange(n), CENTRAL), np.repeat(central, n)]), *ahead], axis=1)
+        apart = roots[a] != roots[b]
+        a, b = a[apart], b[apart]
+        alike = (sig[a] == sig[b]).sum(axis=1) >= need
+        pairs = np.unique(np.sort(np.stack([a[alike], b[alike]]), axis=0), axis=1)
+        cls = group.column("cls").combine_chunks()
+        return pa.table({"a": cls.take(pa.array(pairs[0])), "b": cls.take(pa.array(pairs[1]))})
 
     return crossing
 
@@ -209,7 +221,7 @@ def _regions(members: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("region", "label").orderBy("cls")) - 1
     sized = sized.withColumn("depth", depth)
     run = F.when(F.col("depth") == len(prefixes) - 1, F.floor(place / REGION)).otherwise(0).cast("int")
-    return sized.select("region", F.substring("label", F.lit(1), 4 * F.col("depth")).alias("part"), run.alias("run"), "cls", "root")
+    return sized.select("region", F.substring("label", F.lit(1), 4 * F.col("depth")).alias("part"), run.alias("run"), "label", "cls", "root")
 
 
 def duplicate_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -240,7 +252,7 @@ def duplicate_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     placed = placed.withColumn("root", F.coalesce("root", "cls"))
     mixed = placed.groupBy("region").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high and n > 2").select("region")
     regions = _regions(placed.join(mixed, "region", "left_semi")).join(classes.select("cls", "sig"), "cls")
-    crossing = regions.select("region", "part", "run", "cls", "root", "sig").groupBy("region", "part", "run").applyInArrow(_crossing(percent), "a binary, b binary")
+    crossing = regions.select("region", "part", "run", "label", "cls", "root", "sig").groupBy("region", "part", "run").applyInArrow(_crossing(percent), "a binary, b binary")
     more = crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(likely, ["a", "b"], "left_anti")
     more = stored(more, "more")
     if more.limit(1).count():
