@@ -6,9 +6,28 @@ plain ``row_number`` and ``string_agg`` where the library does otherwise.
 
 from __future__ import annotations
 
-from checks.queries import DAY, INTERVAL, PLAYOFF, RESTART, SEASON, WANTED
-from courtledger.league import SERIES_LABELS
-from courtledger.sources.sample import MARKERS
+# The queries' parameters and the configuration, written down anew: a change in
+# the library does not change what is expected of it.
+SEASON, PLAYOFF, DAY = "season-97-98", "playoff-97-98", "1998-01-15"
+WANTED = ("NATION_1", "NATION_2", "NATION_2", "NATION_0")
+PLAYER = "Supplier#000000001"
+INTERVAL = ("1998-04-20", "1998-06-20")
+RESTART = "1998-07-01"
+SERIES_LABELS = (
+    "1. First round", "2. First round", "3. First round", "4. First round", "5. First round",
+    "6. First round", "7. First round", "8. First round", "1. Conference semifinal",
+    "2. Conference semifinal", "3. Conference semifinal", "4. Conference semifinal",
+    "1. Conference final", "2. Conference final", "Final. ",
+)
+MARKERS = (
+    ("season-95-96", "1995-10-28"), ("playoff-95-96", "1996-04-19"), ("summer-95-96", "1996-06-20"),
+    ("season-96-97", "1996-10-28"), ("playoff-96-97", "1997-04-19"), ("summer-96-97", "1997-06-20"),
+    ("season-97-98", "1997-10-28"), ("playoff-97-98", "1998-04-19"), ("summer-97-98", "1998-06-20"),
+    ("season-98-99", "1998-10-28"), ("playoff-98-99", "1999-04-19"), ("summer-98-99", "1999-06-20"),
+    ("season-99-00", "1999-10-28"), ("playoff-99-00", "2000-04-19"), ("summer-99-00", "2000-06-20"),
+    ("season-00-01", "2000-10-28"), ("playoff-00-01", "2001-04-19"), ("summer-00-01", "2001-06-20"),
+    ("season-01-02", "2001-10-28"),
+)
 
 
 def _values(rows) -> str:
@@ -64,6 +83,17 @@ _PARTS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT *, row_number() OVER (PARTITION BY home_team ORDER BY game_time, game_id)
                   AS seq_number
         FROM games"""),
+    "journaled": (("games",), """
+        SELECT *, row_number() OVER (PARTITION BY home_team ORDER BY game_id) AS seq_number
+        FROM games"""),
+    "stored_games": (("journaled",), """
+        SELECT period, home_team, away_team, home_score, away_score, game_time,
+               seq_number AS game_id
+        FROM (
+            SELECT *, row_number() OVER (PARTITION BY period, home_team, game_time
+                                         ORDER BY game_id DESC) AS place
+            FROM journaled
+        ) AS versions WHERE place = 1"""),
     "flat_lines": (("calendar",), """
         SELECT coalesce(c.period, 'unknown') AS period, s.s_name AS name, n.n_name AS team,
                h.n_name AS opponent, o.o_orderdate AS time,
@@ -161,7 +191,7 @@ def _series(source: str, by: str = "") -> str:
                            row_number() OVER (
                                PARTITION BY period, least(home_team, away_team),
                                             greatest(home_team, away_team), game_time
-                               ORDER BY game_id DESC) AS place
+                               ORDER BY game_id DESC, home_team DESC) AS place
                     FROM {source}
                 ) AS paired WHERE place = 1
                 GROUP BY period, first_team, second_team
@@ -209,14 +239,14 @@ _REPORT_DAY = "strftime(game_time - INTERVAL 5 HOUR, '%Y-%m-%d')"
 _REPORT_TIME = "strftime({ts} - INTERVAL 5 HOUR, '%d %b %Y %I:%M %p') || ' EST'"
 
 
-def _daily(days: str) -> str:
+def _daily(days: str, source: str = "games") -> str:
     """Games of local calendar days whose period is that of the day's midnight."""
     return f"""
         SELECT '  ' || away_team || ' @ ' || home_team || ' ' AS lineup,
                away_score || ':' || away_score || ' - ' || home_score || ':' || home_score AS score,
                strftime(d.day, '%Y-%m-%d') AS time,
                coalesce(a.arena, g.home_team || ' ') AS arena
-        FROM games g
+        FROM {source} g
         JOIN ({days}) d ON CAST({_local('g.game_time')} AS DATE) = d.day
         JOIN calendar c ON c.period = g.period
             AND c.start_ts < (CAST(d.day AS TIMESTAMP) AT TIME ZONE 'America/New_York')
@@ -243,11 +273,12 @@ _LINE = """
     0 AS blockshoot, 0 AS ba, pts, team, opponent, game_time AS time"""
 # Newest line of a key: by sequence, opponent and place in the box, home lines
 # counted 0, 1, ... and away lines -1, -2, ...
-_LATEST_LINE = f"""
+def _latest_line(order: str) -> str:
+    return f"""
     SELECT {_LINE} FROM (
         SELECT *, row_number() OVER (
             PARTITION BY period, game_time, name, team
-            ORDER BY seq_number DESC, opponent DESC, line_nr DESC) AS place_in_key
+            ORDER BY {order} DESC, opponent DESC, line_nr DESC) AS place_in_key
         FROM (
             SELECT *, CASE WHEN place % 2 = 1 THEN nth - 1 ELSE -nth END AS line_nr
             FROM (
@@ -256,12 +287,29 @@ _LATEST_LINE = f"""
             ) AS counted
         ) AS lines
     ) AS versions WHERE place_in_key = 1"""
-_LATEST_RESULT = f"""
+
+
+def _latest_result(source: str) -> str:
+    return f"""
     SELECT {_RESULT.format(seq='seq_number')} FROM (
         SELECT *, row_number() OVER (PARTITION BY period, home_team, game_time
                                      ORDER BY seq_number DESC) AS place
+        FROM {source}
+    ) AS versions WHERE place = 1"""
+
+
+def _latest_daily(order: str, columns: str = "") -> str:
+    return f"""
+    SELECT {columns or _DAILY} FROM (
+        SELECT *, row_number() OVER (
+            PARTITION BY period, CAST({_local('game_time')} AS DATE), home_team, away_team
+            ORDER BY {order} DESC) AS place
         FROM numbered
     ) AS versions WHERE place = 1"""
+
+
+_LATEST_RESULT = _latest_result("numbered")
+_LATEST_LINE = _latest_line("seq_number")
 _GAME_LOG = """
     name, period, team, opponent AS "VS", time AS "DT", pts || ':00' AS "MIN",
     defreb AS "REB_DEF", offreb AS "REB_OFF", totalreb AS "REB_TOTAL",
@@ -441,14 +489,52 @@ ORACLES: dict[str, str] = {
     "sink_results_latest": _with(("numbered",), _LATEST_RESULT),
     "sink_leaders_latest": _with(("box",), _LATEST_LINE),
     "sink_players_latest": _with(("box",), _LATEST_LINE),
-    "sink_daily_latest": _with(("numbered",), f"""
-        SELECT {_DAILY} FROM (
-            SELECT *, row_number() OVER (
-                PARTITION BY period, CAST({_local('game_time')} AS DATE), home_team, away_team
-                ORDER BY seq_number DESC) AS place
-            FROM numbered
-        ) AS versions WHERE place = 1"""),
+    "sink_daily_latest": _with(("numbered",), _latest_daily("seq_number")),
     "stream_running_sequence": _with(("numbered",), """
         SELECT home_team AS team, seq_number FROM numbered"""),
-    "stream_results": _with(("numbered",), _LATEST_RESULT),
+    "stream_results": _with(("journaled",), _latest_result("journaled")),
+    "stream_leaders": _with(("box",), _latest_line("game_id")),
+    "stream_players": _with(("box",), _latest_line("game_id")),
+    "stream_daily": _with(("numbered",), _latest_daily("game_id")),
+    "stream_restart": _with(("games",), """
+        SELECT period, home_team AS team, game_time AS date, away_team AS opponent,
+               home_score AS score, away_score AS opponent_score,
+               row_number() OVER (PARTITION BY home_team ORDER BY game_id % 2, game_id) AS seq_number
+        FROM games"""),
+    "compacted_results": _with(("journaled",), f"""
+        SELECT * EXCLUDE (seq_number) FROM ({_latest_result('journaled')}) AS stored"""),
+    "stored_standing": _with(("stored_games", "teams"), _standings(
+        f"(SELECT * FROM stored_games WHERE period = '{SEASON}')")),
+    "stored_series": _with(("stored_games",), _series(
+        f"(SELECT * FROM stored_games WHERE period = '{PLAYOFF}')")),
+    "stored_points": _with(("box",), _leaders("points", f"""(
+        SELECT * FROM ({_latest_line('game_id')}) AS latest WHERE period = '{SEASON}') AS season""")),
+    "stored_rebounds": _with(("box",), _leaders("rebounds", f"""(
+        SELECT * FROM ({_latest_line('game_id')}) AS latest WHERE period = '{SEASON}') AS season""")),
+    "stored_player": _with(("box",), f"""
+        SELECT opponent AS "VS", time AS "DT", min AS "MIN", defreb AS "REB_DEF",
+               offreb AS "REB_OFF", totalreb AS "REB_TOTAL", fgma AS "FGM_A", threepma AS "PM3_A",
+               ftma AS "FTM_A", ast AS "ASSISTS", blockshoot AS "BL", steel AS "STEEL",
+               minusslashplus AS "PLUS_MINUS", pts AS "PTS"
+        FROM ({_latest_line('game_id')}) AS latest
+        WHERE period = '{SEASON}' AND name = '{PLAYER}' AND team = '{WANTED[0]}'"""),
+    "stored_results": _with(("stored_games", "arenas"), _team_results(
+        f"(SELECT * FROM stored_games WHERE period = '{SEASON}')", _WANTED_LIST, _REPORT_DAY)),
+    "stored_daily": _with(("numbered", "arenas", "calendar"), _daily(
+        _DAY_LIST, f"({_latest_daily('game_id', '*')})")),
+    "view_json_points": _with(("flat_lines",), f"""
+        SELECT CAST(json_object('team', team, 'player', player, 'pts', pts, 'games', games)
+                    AS VARCHAR) AS json
+        FROM ({_leaders('points', 'flat_lines', 'period')}) AS view"""),
+    "view_json_daily": _with(("games", "arenas", "calendar"), f"""
+        SELECT CAST(json_object('lineup', lineup, 'score', score, 'time', time, 'arena', arena)
+                    AS VARCHAR) AS json
+        FROM ({_daily(_DAY_LIST)}) AS view"""),
+    "dim_in_memory": _with(("teams", "games"), """
+        SELECT t.team, conference, count(game_id) AS hosted
+        FROM teams t LEFT JOIN games g ON g.home_team = t.team GROUP BY t.team, conference"""),
+    "campaign_upsert": """
+        SELECT n_name AS campaign_id, coalesce(min(c_mktsegment), 'first') AS description
+        FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_custkey % 7 = 0
+        GROUP BY n_name""",
 }

@@ -13,7 +13,9 @@ from courtledger.functions import calendar, scalars
 from courtledger.operators import events as maps
 from courtledger.operators import leaders, results, standings
 from courtledger.operators.sequence import resume_positions, running_sequence
-from courtledger.operators.upsert import insert_if_absent, latest, latest_rows, read_latest
+from courtledger.operators.upsert import (
+    compact, insert_if_absent, install_dimensions, latest, latest_rows, read_latest, read_table,
+)
 from courtledger.plans import journal_reports, reports
 from courtledger.session import fresh_folder
 from courtledger.sources import dimensions, journal, sample, tables
@@ -23,6 +25,7 @@ from courtledger.streaming.ingest import Ingestion, read_journal_stream
 SEASON = "season-97-98"
 PLAYOFF = "playoff-97-98"
 DAY = "1998-01-15"
+PLAYER = "Supplier#000000001"
 WANTED = ["NATION_1", "NATION_2", "NATION_2", "NATION_0"]
 # Bounds of the journal reports, and the day the resume queries restart from.
 INTERVAL = ("1998-04-20", "1998-06-20")
@@ -523,30 +526,162 @@ def sink_daily_latest(spark, folder):
     return _latest_of(spark, folder, schemas.DAILY, maps.to_daily)
 
 
-def _ingested(spark, folder, files=None, max_files=None) -> Ingestion:
-    """Write the journal to a folder, stream it into fresh tables, wait for the end."""
-    root = fresh_folder(spark, "stream")
-    rows = _journal(spark, folder, undecodable=True).select(*schemas.JOURNAL.fieldNames())
-    if files:
-        rows = rows.repartition(files, "sequence_nr")
-    rows.write.parquet(f"{root}/journal")
-    job = Ingestion(f"{root}/tables", MARKERS)
-    stream = read_journal_stream(spark, f"{root}/journal", max_files=max_files)
-    job.start(stream, available_now=True).awaitTermination()
-    return job
+def _write_journal(rows, path, files=None):
+    rows = rows.select(*schemas.JOURNAL.fieldNames())
+    (rows.repartition(files, "sequence_nr") if files else rows).write.mode("append").parquet(path)
+
+
+_jobs: dict[tuple, Ingestion] = {}
+
+
+def ingested(spark, folder, files=None, max_files=None) -> Ingestion:
+    """Write the journal to a folder and stream it into fresh tables, once per session."""
+    key = (spark.sparkContext.applicationId, folder, files, max_files)
+    if key not in _jobs:
+        root = fresh_folder(spark, "stream")
+        _write_journal(_journal(spark, folder, undecodable=True), f"{root}/journal", files)
+        job = Ingestion(f"{root}/tables", MARKERS)
+        stream = read_journal_stream(spark, f"{root}/journal", max_files=max_files)
+        job.start(stream, available_now=True).awaitTermination()
+        _jobs[key] = job
+    return _jobs[key]
+
+
+def _league(spark, folder) -> reports.League:
+    """The reports over the streamed tables; the dimensions are the nations."""
+    pairs = [[tuple(row) for row in df(spark, folder).collect()] for df in (sample.teams, sample.arenas)]
+    return reports.League(spark, ingested(spark, folder).root, *pairs, MARKERS)
 
 
 @register
 def stream_running_sequence(spark, folder):
-    """Several micro-batches; every stored number of a team, from all versions."""
-    job = _ingested(spark, folder, files=24, max_files=8)
-    rows = spark.read.schema(schemas.RESULTS.stored_schema).parquet(
-        f"{job.root}/{schemas.RESULTS.name}"
-    )
-    return rows.select("team", "seq_number")
+    """Several micro-batches; every stored number of a team, from all versions.
+
+    Compaction leaves a row twice until its next run.
+    """
+    job = ingested(spark, folder, files=24, max_files=8)
+    return read_table(spark, schemas.RESULTS, job.root).select("team", "seq_number").distinct()
 
 
 @register
 def stream_results(spark, folder):
-    job = _ingested(spark, folder)
-    return read_latest(spark, schemas.RESULTS, job.root)
+    return read_latest(spark, schemas.RESULTS, ingested(spark, folder).root)
+
+
+@register
+def stream_leaders(spark, folder):
+    return read_latest(spark, schemas.LEADERS, ingested(spark, folder).root)
+
+
+@register
+def stream_players(spark, folder):
+    return read_latest(spark, schemas.PLAYERS, ingested(spark, folder).root)
+
+
+@register
+def stream_daily(spark, folder):
+    return read_latest(spark, schemas.DAILY, ingested(spark, folder).root)
+
+
+@register
+def stream_restart(spark, folder):
+    """Half of the journal; then a stream with a fresh checkpoint that meets all of it."""
+    root = fresh_folder(spark, "restart")
+    rows = _journal(spark, folder, undecodable=True)
+    for half, new in (("first", F.col("sequence_nr") % 2 == 0), ("second", F.col("sequence_nr") % 2 == 1)):
+        # Journals grow at their end: the second half is moved behind the first.
+        shift = F.lit(0 if half == "first" else 1 << 40).cast("bigint")
+        _write_journal(rows.where(new).withColumn("sequence_nr", F.col("sequence_nr") + shift), f"{root}/journal")
+        job = Ingestion(f"{root}/tables", MARKERS, checkpoint=f"{root}/{half}")
+        job.start(read_journal_stream(spark, f"{root}/journal"), available_now=True).awaitTermination()
+    return read_table(spark, schemas.RESULTS, f"{root}/tables").select(
+        "period", "team", "date", "opponent", "score", "opponent_score", "seq_number"
+    )
+
+
+@register
+def compacted_results(spark, folder):
+    """The tables of several micro-batches, compacted."""
+    root = ingested(spark, folder, files=24, max_files=8).root
+    compact(spark, schemas.RESULTS, root)
+    return read_latest(spark, schemas.RESULTS, root).drop("seq_number")
+
+
+@register
+def stored_standing(spark, folder):
+    return _league(spark, folder).standing(SEASON)
+
+
+@register
+def stored_series(spark, folder):
+    return _league(spark, folder).standing(PLAYOFF)
+
+
+@register
+def stored_points(spark, folder):
+    return _league(spark, folder).points_leaders(SEASON)
+
+
+@register
+def stored_rebounds(spark, folder):
+    return _league(spark, folder).rebound_leaders(SEASON)
+
+
+@register
+def stored_player(spark, folder):
+    return _league(spark, folder).player_stats(PLAYER, SEASON, WANTED[0])
+
+
+@register
+def stored_results(spark, folder):
+    return _league(spark, folder).results(SEASON, ",".join(WANTED))
+
+
+@register
+def stored_daily(spark, folder):
+    return _league(spark, folder).daily(DAY)
+
+
+@register
+def view_json_points(spark, folder):
+    table = leaders.points_leaders(sample.box_lines(spark, folder))
+    return reports.to_json_rows(table, "points")
+
+
+@register
+def view_json_daily(spark, folder):
+    period = calendar.period_of_day(results.day_of(DAY), MARKERS)
+    table = results.daily_results(
+        _daily(spark, folder, period), sample.arenas(spark, folder), None, DAY, period=period
+    )
+    return reports.to_json_rows(table, "daily")
+
+
+@register
+def dim_in_memory(spark, folder):
+    """The nations as an in-memory dimension, with the games each hosted."""
+    pairs = [tuple(row) for row in sample.teams(spark, folder).collect()]
+    hosted = sample.games(spark, folder).groupBy(F.col("home_team").alias("team")).agg(
+        F.count(F.lit(1)).alias("hosted")
+    )
+    return dimensions.teams_frame(spark, pairs).join(hosted, "team", "left").select(
+        "team", "conference", F.coalesce("hosted", F.lit(0).cast("bigint")).alias("hosted")
+    )
+
+
+@register
+def campaign_upsert(spark, folder):
+    """A campaign per nation, then another description for those with some customers."""
+    root = fresh_folder(spark, "dimensions")
+    nation = sample.table(spark, folder, "nation")
+    teams = nation.select(F.col("n_name").alias("processor_id"), F.lit("team").alias("description"))
+    first = nation.select(F.col("n_name").alias("campaign_id"), F.lit("first").alias("description"))
+    customers = sample.table(spark, folder, "customer").where(F.col("c_custkey") % 7 == 0).join(
+        nation, F.col("c_nationkey") == F.col("n_nationkey")
+    )
+    second = customers.groupBy(F.col("n_name").alias("campaign_id")).agg(
+        F.min("c_mktsegment").alias("description")
+    )
+    for campaign in (first, second):
+        install_dimensions(spark, root, teams, campaign)
+    return spark.read.schema(schemas.CAMPAIGN).parquet(f"{root}/campaign").select("campaign_id", "description")
