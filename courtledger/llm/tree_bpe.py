@@ -28,7 +28,7 @@ from courtledger.llm.texts import slices
 
 LEAF_CHARS = 65_536
 WORD_BYTES = 4_096  # longer runs without white space are joined from leaves
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 FIRST_WINDOW = 64
 
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
@@ -55,6 +55,8 @@ class WordBpe(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        self.older: dict[bytes, bytes] = {}  # the words of the last full cache
+        self.pieces: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -69,20 +71,24 @@ class WordBpe(dict):
         if len(word) > WORD_BYTES:
             return self.by_tree(word.decode("utf-8", "replace")).ids.astype(self.dtype).tobytes()
         if len(self) >= CACHED_WORDS:
+            self.older = dict(self)
             self.clear()
-        self[word] = found = np.array(self.word(word), self.dtype).tobytes()
+        self[word] = found = self.older.get(word) or self.word(word)
         return found
 
-    def word(self, word: bytes) -> list[int]:
+    def word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
         if not PLAIN.fullmatch(text) or any(s in word for s in self.specials):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        ids: list[int] = []
-        for piece in PIECES.findall(text.lower()):
-            if not piece.isascii():
-                piece = "".join(self.letters[b] for b in piece.encode())
-            ids += [t.id for t in self.model.tokenize(piece)]
-        return ids
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return b"".join([self.pieces.get(p) or self.piece(p) for p in PIECES.findall(text.lower())])
+
+    def piece(self, piece: str) -> bytes:
+        """Ids of letters, a digit or signs that the tokenizer splits off."""
+        if len(self.pieces) >= CACHED_WORDS:
+            self.pieces.clear()
+        letters = piece if piece.isascii() else "".join(self.letters[b] for b in piece.encode())
+        self.pieces[piece] = found = np.array([t.id for t in self.model.tokenize(letters)], self.dtype).tobytes()
+        return found
 
     def ids(self, raw: bytes) -> np.ndarray:
         """Ids of a whole text given as UTF-8."""
