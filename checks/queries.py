@@ -531,17 +531,22 @@ def _write_journal(rows, path, files=None):
     (rows.repartition(files, "sequence_nr") if files else rows).write.mode("append").parquet(path)
 
 
+def journal_stream(spark, folder, files=None, max_files=None):
+    """Write the journal to a folder; the job with fresh tables and the stream to start it on."""
+    root = fresh_folder(spark, "stream")
+    _write_journal(_journal(spark, folder, undecodable=True), f"{root}/journal", files)
+    stream = read_journal_stream(spark, f"{root}/journal", max_files=max_files)
+    return Ingestion(f"{root}/tables", MARKERS), stream
+
+
 _jobs: dict[tuple, Ingestion] = {}
 
 
 def ingested(spark, folder, files=None, max_files=None) -> Ingestion:
-    """Write the journal to a folder and stream it into fresh tables, once per session."""
+    """The job that has streamed the whole journal, once per session."""
     key = (spark.sparkContext.applicationId, folder, files, max_files)
     if key not in _jobs:
-        root = fresh_folder(spark, "stream")
-        _write_journal(_journal(spark, folder, undecodable=True), f"{root}/journal", files)
-        job = Ingestion(f"{root}/tables", MARKERS)
-        stream = read_journal_stream(spark, f"{root}/journal", max_files=max_files)
+        job, stream = journal_stream(spark, folder, files, max_files)
         job.start(stream, available_now=True).awaitTermination()
         _jobs[key] = job
     return _jobs[key]
