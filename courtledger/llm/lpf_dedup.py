@@ -14,7 +14,8 @@ coarse to fine, each step looking only at what the step before left open:
    different runs, these are cut into nodes of at most 16 windows, at fixed
    distances from the anchor; what all windows of a node share must occur twice.
 3. Nodes equal as a whole are repeated; where several differ they are cut into
-   nodes of 4 windows, and these into single windows.
+   nodes of 4 windows, and these into single windows. Of equal runs or nodes one
+   stands for all in the next step.
 
 Each class is counted where it is found, so a passage in a third of all texts
 meets as one count per task. Hashes have 64 bits.
@@ -106,17 +107,20 @@ class Stretch:
         shape = ((anchor - lo) << 8 | (hi - lo)).astype(np.uint64)
         return run, lo, hi, common, mix(~common ^ mix(self.ranges(lo, hi + LENGTH) + shape))
 
-    def levels(self, opened: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
-        """The nodes of each level that lie in what the levels before left open."""
-        run = np.flatnonzero(contains(opened[0], self.core))
-        lo, hi = self.lo[run], self.hi[run]
-        for size, bitmap in zip(LEVELS, [*opened[1:], None], strict=False):
-            run, lo, hi, common, key = self.nodes(size, run, lo, hi)
-            yield run, lo, hi, common, key
-            if bitmap is None:
-                return
-            loose = contains(bitmap, common)
-            run, lo, hi = run[loose], lo[loose], hi[loose]
+    def levels(self, cores: np.ndarray, opened: list[np.ndarray], names: Callable) -> Iterator[tuple[np.ndarray, ...]]:
+        """Runs of repeated anchors, then the nodes of each level in those that stand for others.
+
+        Each level is run, first and last window, common key and key; ``names``
+        gives the name of an occurrence from its key, run and first window.
+        """
+        run = np.flatnonzero(contains(cores, self.core))
+        found = run, self.lo[run], self.hi[run], self.core[run], self.run_keys()[run]
+        yield found
+        for size, bitmap in zip(LEVELS, opened, strict=False):
+            run, lo, hi, _, key = found
+            loose = contains(bitmap, names(key, run, lo))
+            found = self.nodes(size, run[loose], lo[loose], hi[loose])
+            yield found
 
 
 def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Stretch, np.ndarray]]:
@@ -129,59 +133,72 @@ def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
                 yield part, Stretch(piece, np.clip(at - k, 0, len(piece))), k - at[:-1]
 
 
-def _counted(keys: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
-    """Distinct keys with their numbers."""
-    order = np.lexsort(keys[::-1])
-    keys = [k[order] for k in keys]
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-    first = np.flatnonzero(new)
-    n = np.diff(np.append(first, len(order)))
-    return pa.RecordBatch.from_arrays([*(pa.array(k[first].view(np.int64)) for k in keys), pa.array(n, pa.int64())], [*names, "n"])
+def _name(key: np.ndarray, doc_key: np.ndarray, text_key: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """A name for one occurrence of a key."""
+    place = mix(doc_key.view(np.uint64) ^ mix(text_key.view(np.uint64) + lo.astype(np.uint64)))
+    return mix(key ^ place)
+
+
+def _names(part: pa.RecordBatch, s: Stretch, shift: np.ndarray) -> tuple[Callable, Callable]:
+    """Functions of runs and windows in a stretch: where they are in the table, and their names."""
+    doc_key, text_key = (part.column(c).to_numpy() for c in ("doc_key", "text_key"))
+
+    def places(run: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, ...]:
+        row = s.row[run]
+        return doc_key[row], text_key[row], lo + shift[row]
+
+    return places, lambda key, run, lo: _name(key, *places(run, lo))
 
 
 def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, s, _ in stretches(batches):
-        yield _counted([s.core], ["core"])
+        core, n = np.unique(s.core, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(n, pa.int64())], ["core", "n"])
 
 
-def _runs(cores: Broadcast) -> Callable:
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, s, _ in stretches(batches):
-            take = contains(cores.value, s.core)
-            yield _counted([s.core[take], s.run_keys()[take]], ["core", "key"])
-    return runs
+PLACE = ("doc_key", "text_key", "lo")
 
 
-def _nodes(opened: list[Broadcast]) -> Callable:
-    """Keys of the level below those that are known."""
+def _keys(cores: Broadcast, opened: list[Broadcast], keep_first: bool) -> Callable:
+    """The keys of the level below those that are known, their numbers, and one occurrence of each.
 
-    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, s, _ in stretches(batches):
-            *_, (_, _, _, common, key) = s.levels([b.value for b in opened])
-            yield _counted([common, key], ["core", "key"])
-    return nodes
+    That is the first place if ``keep_first``, else the least name.
+    """
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, s, shift in stretches(batches):
+            places, names = _names(part, s, shift)
+            *_, (run, lo, _, common, key) = s.levels(cores.value, [b.value for b in opened], names)
+            extra = places(run, lo) if keep_first else (names(key, run, lo).view(np.int64),)
+            order = np.lexsort((*extra[::-1], key, common))
+            new = np.ones(len(order), bool)
+            new[1:] = (key[order][1:] != key[order][:-1]) | (common[order][1:] != common[order][:-1])
+            first = np.flatnonzero(new)
+            n = np.diff(np.append(first, len(order)))
+            columns = [c[order][first] for c in (common.view(np.int64), key.view(np.int64), *extra)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (*columns, n))], ["core", "key", *(PLACE if keep_first else ("name",)), "n"])
+    return keys
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key and place -> name."""
+    for batch in batches:
+        key, *place = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        yield pa.RecordBatch.from_arrays([pa.array(_name(key.view(np.uint64), *place).view(np.int64))], ["name"])
 
 
-def _items(equal: list[Broadcast], opened: list[Broadcast]) -> Callable:
-    """Places of everything that may be repeated: whole runs, nodes of every level."""
+def _items(cores: Broadcast, equal: list[Broadcast], opened: list[Broadcast]) -> Callable:
+    """Places of everything that may be repeated: runs, and nodes of every level."""
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, s, shift in stretches(batches):
-            key = s.run_keys()
-            found = [(np.arange(len(key)), s.lo, s.hi, key)]
-            found += [(run, lo, hi, key) for run, lo, hi, _, key in s.levels([b.value for b in opened])]
+            places, names = _names(part, s, shift)
             kept = []
-            for bitmap, columns in zip(equal, found, strict=True):
-                take = contains(bitmap.value, columns[-1])
-                kept.append([c[take] for c in columns])
+            for bitmap, (run, lo, hi, _, key) in zip(equal, s.levels(cores.value, [b.value for b in opened], names), strict=True):
+                take = contains(bitmap.value, key)
+                kept.append([c[take] for c in (run, lo, hi, key)])
             run, lo, hi, key = (np.concatenate(c) for c in zip(*kept, strict=True))
-            row = s.row[run]
-            yield pa.RecordBatch.from_arrays([
-                part.column("doc_key").take(pa.array(row)), part.column("text_key").take(pa.array(row)),
-                pa.array(key.view(np.int64)), pa.array(lo + shift[row]), pa.array(hi + shift[row]),
-            ], ["doc_key", "text_key", "key", "lo", "hi"])
+            doc_key, text_key, begin = places(run, lo)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (doc_key, text_key, key.view(np.int64), begin, begin + hi - lo))], ["doc_key", "text_key", "key", "lo", "hi"])
     return items
 
 
@@ -203,27 +220,25 @@ def repeated_spans(docs: DataFrame, keep_first: bool) -> DataFrame:
         df.write.parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    def counted(task: Callable, name: str) -> DataFrame:
-        """core, key, n: the number of places of each key."""
-        found = rows.select("text").mapInArrow(task, "core long, key long, n long")
-        return stored(found.groupBy("core", "key").agg(F.sum("n").alias("n")), name)
-
-    def several(keys: DataFrame) -> DataFrame:
-        """Cores with more than one different key: their windows are still open."""
-        return keys.groupBy("core").agg(F.count("*").alias("d")).where("d > 1").select("core")
-
-    rows = _keyed(docs).where(F.octet_length("text") >= LENGTH)
-    cores = rows.select("text").mapInArrow(_cores, "core long, n long").groupBy("core").agg(F.sum("n").alias("n"))
-    runs = counted(_runs(hash_filter(cores.where("n > 1"), "core")), "runs")
-    equal, opened = [hash_filter(runs.where("n > 1"), "key")], [hash_filter(several(runs), "core")]
-    for size in LEVELS:
-        nodes = counted(_nodes(opened), f"nodes-{size}")
-        equal.append(hash_filter(nodes.where("n > 1"), "key"))
-        if size > 1:
-            opened.append(hash_filter(several(nodes), "core"))
-    found = rows.select("text", "doc_key", "text_key").mapInArrow(
-        _items(equal, opened), "doc_key long, text_key long, key long, lo long, hi long"
-    )
+    rows = _keyed(docs).where(F.octet_length("text") >= LENGTH).select("text", "doc_key", "text_key")
+    counts = rows.select("text").mapInArrow(_cores, "core long, n long").groupBy("core").agg(F.sum("n").alias("n"))
+    cores = hash_filter(counts.where("n > 1"), "core")
+    one = PLACE if keep_first else ("name",)
+    chosen = F.min(F.struct(*one) if keep_first else F.col("name")).alias("one")
+    schema = ", ".join(f"{c} long" for c in ("core", "key", *one, "n"))
+    equal, opened = [], []
+    for level in range(len(LEVELS) + 1):
+        found = rows.mapInArrow(_keys(cores, opened, keep_first), schema)
+        keys = stored(found.groupBy("core", "key").agg(F.sum("n").alias("n"), chosen), f"keys-{level}")
+        equal.append(hash_filter(keys.where("n > 1"), "key"))
+        if level < len(LEVELS):
+            # Where different keys share an anchor or common bytes, their windows may still be equal;
+            # if all of them are repeated anyway, that matters only for which copy is the first.
+            several = keys.groupBy("core").agg(F.count("*").alias("d"), F.min("n").alias("least")).where("d > 1" if keep_first else "d > 1 and least = 1")
+            stand = keys.join(several.select("core"), "core", "left_semi")
+            names = stand.select("key", "one.*").mapInArrow(_named, "name long") if keep_first else stand.select(F.col("one").alias("name"))
+            opened.append(hash_filter(names, "name"))
+    found = rows.mapInArrow(_items(cores, equal, opened), "doc_key long, text_key long, key long, lo long, hi long")
     found = stored(found, "places")
     first = [F.min(F.struct("doc_key", "text_key", "lo")).alias("first")] if keep_first else []
     spans = found.join(found.groupBy("key").agg(F.count("*").alias("n"), *first).where("n > 1"), "key")
