@@ -28,6 +28,7 @@ from courtledger.session import fresh_folder
 
 LABELLED_DOCS = 1_500  # of each combination of labels, those with the least hash of doc_id
 UNLABELLED_DOCS = 2_000
+PARTS = 64
 TELLING_WORDS = 256  # per target
 LEAST_DIFFERENCE = 28.0  # G squared of a telling word: by chance about one word in ten million
 BEGINNINGS = (4, 5, 6, 7)  # bytes of a word that may tell as well
@@ -237,7 +238,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     marks = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
     marks = marks.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
     kind = Window.partitionBy("quality", "toxic").orderBy("h", "doc_id")
-    chosen = marks.withColumn("k", F.row_number().over(kind)).where(F.col("k") <= LABELLED_DOCS).select("doc_id", "quality", "toxic", "h")
+    # Most labels may be alike: each of many parts is cut first.
+    part = Window.partitionBy("quality", "toxic", F.pmod("h", F.lit(PARTS))).orderBy("h", "doc_id")
+    chosen = marks
+    for window in (part, kind):
+        chosen = chosen.withColumn("k", F.row_number().over(window)).where(F.col("k") <= LABELLED_DOCS).drop("k")
+    chosen = chosen.select("doc_id", "quality", "toxic", "h")
     rows = _rows(docs)
     others = rows.select("doc_id").join(marks, "doc_id", "left_anti").where("doc_id is not null").withColumn("h", F.xxhash64("doc_id"))
     others = others.orderBy("h", "doc_id").limit(UNLABELLED_DOCS).select("doc_id", F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic"), "h")
