@@ -10,6 +10,7 @@ likely content than not make up the text, in page order.
 from __future__ import annotations
 
 import html
+import math
 import random
 import re
 from collections import Counter
@@ -38,7 +39,6 @@ SCOPES = frozenset("ul ol dl table select body html".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-SPACE = re.compile(r"[ \t\n\r\f\v\xa0 -     　]+")
 
 KEPT = 0.5
 SMOOTH = 0.5
@@ -88,7 +88,7 @@ def parse(page: str) -> list[Node]:
         if tag is None:
             piece = m.group(0)
             if piece[0] != "<" or len(piece) == 1:
-                text_to(html.unescape(piece))
+                text_to(html.unescape(piece) if "&" in piece else piece)
             continue
         tag = tag.lower()
         if tag in RAW:
@@ -134,7 +134,7 @@ def parse(page: str) -> list[Node]:
 
 
 def block_text(node: Node) -> str:
-    return SPACE.sub(" ", "".join(node.text)).strip()
+    return " ".join("".join(node.text).split())
 
 
 def _describe(nodes: list[Node]) -> tuple[list[list[str]], list[str]]:
@@ -186,36 +186,34 @@ class Model:
         every = np.full((2, 2), SMOOTH)
         for counts in pair.values():
             every += counts
-        self.any_pair = every / every.sum(axis=1, keepdims=True)
-        self.pair = {k: c / c.sum(axis=1, keepdims=True) for k, c in pair.items()}
+        self.any_pair = (every / every.sum(axis=1, keepdims=True)).tolist()
+        self.pair = {k: (c / c.sum(axis=1, keepdims=True)).tolist() for k, c in pair.items()}
 
-    def marginals(self, nodes: list[Node], looks: list[list[str]]) -> np.ndarray:
+    def marginals(self, nodes: list[Node], looks: list[list[str]]) -> list[float]:
         """The probability of content of every node: messages up, then down."""
-        n = len(nodes)
-        own = np.ones((n, 2))
-        for k, features in enumerate(looks):
-            own[k, 1] = np.exp(max(-8.0, min(8.0, sum(self.look.get(f, 0.0) for f in features))))
-        own /= own.sum(axis=1, keepdims=True)
+        odds = [math.exp(max(-8.0, min(8.0, sum([self.look.get(f, 0.0) for f in features])))) for features in looks]
+        below = [(1 / (1 + o), o / (1 + o)) for o in odds]  # what a node and all below it say: other, content
         pairs = [self.pair.get(_kind(nodes, node), self.any_pair) for node in nodes]
-        below, message = own.copy(), np.ones((n, 2))
-        for k in range(n - 1, 0, -1):
-            up = pairs[k] @ below[k]
-            message[k] = up / up.sum()
+        up = [(0.5, 0.5)] * len(nodes)
+        for k in range(len(nodes) - 1, 0, -1):
+            (oo, oc), (co, cc) = pairs[k]
+            o, c = below[k]
+            up[k] = message = _shares(oo * o + oc * c, co * o + cc * c)
             parent = nodes[k].parent
-            b = below[parent] * message[k]
-            below[parent] = b / b.sum()
-        above = np.ones((n, 2))
-        above[0] = (0.99, 0.01)  # the page itself is not content
-        belief = np.empty((n, 2))
-        for k in range(n):
-            if k:
-                parent = nodes[k].parent
-                rest = belief[parent] / np.maximum(message[k], 1e-300)
-                down = (rest / rest.sum()) @ pairs[k]
-                above[k] = down / down.sum()
-            b = above[k] * below[k]
-            belief[k] = b / b.sum()
-        return belief[:, 1]
+            below[parent] = _shares(below[parent][0] * message[0], below[parent][1] * message[1])
+        belief = [_shares(0.99 * below[0][0], 0.01 * below[0][1])]  # the page itself is not content
+        for k in range(1, len(nodes)):
+            (oo, oc), (co, cc) = pairs[k]
+            (po, pc), (mo, mc) = belief[nodes[k].parent], up[k]
+            o, c = _shares(po / mo, pc / mc)  # the parent without this node
+            belief.append(_shares((o * oo + c * co) * below[k][0], (o * oc + c * cc) * below[k][1]))
+        return [c for _, c in belief]
+
+
+def _shares(other: float, content: float) -> tuple[float, float]:
+    """Two weights as shares, neither of them nothing."""
+    total = other + content
+    return max(other / total, 1e-300), max(content / total, 1e-300)
 
 
 def labelled_pages(n: int = 500, seed: int = 1) -> list[str]:
