@@ -22,6 +22,7 @@ from courtledger.session import fresh_folder
 
 ORDER = 3
 SAMPLE_DOCS = 1_000  # labelled documents per language, whole texts
+PARTS = 64
 MIN_CONTEXT = 16  # a context seen less often is not a node of its own
 MAX_NODES = 8_192
 TABLE_BYTES = 64 << 20  # bound of the broadcast cost table; many languages get fewer nodes
@@ -130,7 +131,11 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_nodes: int = MAX_NO
     """
     usable = docs.where("lang is not null and text is not null and doc_id is not null")
     least = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("k", F.row_number().over(least)).where(F.col("k") <= sample_docs)
+    # Most documents may be of one language: each of many parts is cut first.
+    part = Window.partitionBy("lang", F.pmod("h", F.lit(PARTS))).orderBy("h", "doc_id")
+    ids = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    for window in (part, least):
+        ids = ids.withColumn("k", F.row_number().over(window)).where(F.col("k") <= sample_docs).drop("k")
     ids = ids.select("doc_id", "lang")
     sample = usable.select("doc_id", "lang", "text").join(ids.distinct(), ["doc_id", "lang"], "left_semi").select("lang", "text")
     schema = "lang string, depth int, context long, byte int, n long"
