@@ -40,7 +40,7 @@ LENGTH = 200
 WINDOWS = 128  # a power of two: windows that may share an anchor
 CORE = LENGTH - WINDOWS + 1
 LEVELS = (16, 4, 1)  # windows of a node
-STRETCH = 1 << 20  # windows looked at in one step; places take 21 bits
+STRETCH = 1 << 18  # windows looked at in one step; places take 21 bits
 
 _BYTE = seeded(21, 256)
 _BASE = int(seeded(22, 1)[0]) | 1
