@@ -13,6 +13,12 @@ whose signatures are nearest to the region's commonest values. A variant is most
 like the text that the others vary too, so the work stays in proportion to the
 members. All links are confirmed on the full shingle sets.
 
+What is then still apart in regions with more members than are all compared is
+compared by an exact prefix filter: two similar sets share one of the rarest
+shingles of each, as many as may be missing from a link and one more. Members that
+share one are candidates where their places in that order leave room for enough
+common shingles; shingles of one component alone are passed over.
+
 At similarity 0.8 the chance that no order brings a pair together at the first
 depth is (1 - 0.8**3)**24 < 4e-8.
 """
@@ -24,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,6 +44,8 @@ TREES, DEPTH, FIRST_DEPTH = 24, 6, 3
 VALUES = TREES * DEPTH
 REGION = 512  # classes looked at together; larger regions go deeper, then into runs
 CENTRAL = 8  # members that all others of a region are compared with
+COUNTERS = 20  # bits of a shingle that choose its counter; rarity only orders the shingles
+HOLDERS = 4_096  # of one shingle, met in one task; more are salted
 
 _FACTORS = seeded(7, VALUES) | np.uint64(1)
 
@@ -64,7 +73,7 @@ def binaries(data: np.ndarray, present: np.ndarray, rows: int) -> pa.Array:
     mask = np.ones(rows, bool)
     mask[present] = False
     flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), rows, [None, pa.py_buffer(full.tobytes())])
-    return pa.compute.if_else(pa.array(mask), None, flat.cast(pa.binary()))
+    return pc.if_else(pa.array(mask), None, flat.cast(pa.binary()))
 
 
 def _first(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,10 +161,8 @@ def _sets(size: int, wanted: Broadcast):
     return sets
 
 
-
-def _confirmed(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    needed = checkpointed(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct())
+def _members(needed: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """cls and members (the sorted shingle hashes) of the classes in needed, a column cls."""
 
     def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +171,11 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> Da
 
     wanted = hash_filter(needed.mapInArrow(halves, "half long"), "half")
     sets = rows.select("text").mapInArrow(_sets(size, wanted), "cls binary, members binary").join(needed, "cls", "left_semi")
-    sets = sets.groupBy("cls").agg(F.first("members").alias("members"))
+    return sets.groupBy("cls").agg(F.first("members").alias("members"))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,6 +191,70 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> Da
     return both.select("a", "b", "ma", "mb").mapInArrow(confirm, "a binary, b binary")
 
 
+def _confirmed(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs whose full sets, made from the rows, are similar enough."""
+    needed = checkpointed(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct())
+    return _similar(pairs, _members(needed, rows, size), percent)
+
+
+def _rarities(sets: DataFrame) -> Broadcast:
+    """About how many sets hold a shingle, by its first COUNTERS bits."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << COUNTERS, np.int64)
+        for batch in batches:
+            for part in slices(batch, "members"):
+                values = np.frombuffer(b"".join(part.column("members").to_pylist()), np.uint64)
+                n += np.bincount((values >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=len(n))
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(n[used])], ["at", "n"])
+
+    found = sets.select("members").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(1 << COUNTERS, np.int64)
+    n[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    return sets.sparkSession.sparkContext.broadcast(n)
+
+
+PREFIX = "shingle long, cls binary, root binary, rest long, n long"
+
+
+def _prefixes(percent: int, rarities: Broadcast):
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rarest shingles of each set, one of which every similar set has among its own rarest."""
+        for batch in batches:
+            for part in slices(batch, "members"):
+                n = pc.binary_length(part.column("members")).to_numpy().astype(np.int64) // 8
+                values = np.frombuffer(b"".join(part.column("members").to_pylist()), np.uint64)
+                row = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((values, rarities.value[(values >> np.uint64(64 - COUNTERS)).astype(np.int64)], row))
+                place = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
+                take = place <= (n - -(-n * percent // 100))[row]
+                at = pa.array(row[take])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(values[order][take].view(np.int64)), part.column("cls").take(at), part.column("root").take(at),
+                    pa.array((n[row] - place)[take]), pa.array(n[row][take]),
+                ], ["shingle", "cls", "root", "rest", "n"])
+    return prefixes
+
+
+def _sharing(prefixes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a shingle of their prefixes, where enough may be common."""
+    holders = prefixes.groupBy("shingle", "root").agg(F.count("*").alias("k")).groupBy("shingle").agg(
+        F.count("*").alias("roots"), F.sum("k").alias("k"), F.max(F.struct("k", "root")).alias("most"))
+    holders = holders.where("roots > 1").select("shingle", F.col("most.root").alias("bulk"), F.ceil(F.col("k") / HOLDERS).cast("int").alias("salts"))
+    held = prefixes.join(holders, "shingle")
+    # Each shingle's largest component is met by all others, and not by itself.
+    few = held.where("root <> bulk").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    every = held.withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int"))
+    x = few.select("shingle", "salt", *(F.col(c).alias(f"{c}_x") for c in ("cls", "root", "rest", "n")))
+    y = every.select("shingle", "salt", "bulk", *(F.col(c).alias(f"{c}_y") for c in ("cls", "root", "rest", "n")))
+    common = F.least("rest_x", "rest_y")
+    enough = (100 * common >= percent * (F.col("n_x") + F.col("n_y") - common)) & (F.col("root_x") != F.col("root_y"))
+    once = (F.col("root_y") == F.col("bulk")) | (F.col("cls_x") < F.col("cls_y"))
+    met = x.withColumnsRenamed({"shingle": "s", "salt": "t"}).join(y, (F.col("s") == F.col("shingle")) & (F.col("t") == F.col("salt")) & enough & once)
+    return met.select(F.least("cls_x", "cls_y").alias("a"), F.greatest("cls_x", "cls_y").alias("b")).distinct()
+
+
 def _crossing(percent: int):
     need = least_agreement(percent)
 
@@ -224,6 +299,29 @@ def _regions(members: DataFrame) -> DataFrame:
     return sized.select("region", F.substring("label", F.lit(1), 4 * F.col("depth")).alias("part"), run.alias("run"), "label", "cls", "root")
 
 
+def _placed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members with the roots of their components."""
+    placed = members.select("region", "label", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+    return placed.withColumn("root", F.coalesce("root", "cls"))
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Regions of several components, and their members' number n."""
+    return placed.groupBy("region").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The roots when links between components join these."""
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    between = ends.select(*(F.coalesce(f"root_{e}", e).alias(e) for e in ("a", "b")))
+    upper = connected_components(between).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    lower = roots.join(upper, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    alone = upper.join(roots.select("root"), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
+    return checkpointed(lower.union(alone))
+
+
 def duplicate_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, text_key, n_shingles, root (the group; null without shingles), component_id of every document."""
     spark = docs.sparkSession
@@ -248,24 +346,28 @@ def duplicate_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     links = stored(_confirmed(likely, rows, size, percent), "links")
     roots = connected_components(links)
 
-    placed = members.select("region", "label", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-    placed = placed.withColumn("root", F.coalesce("root", "cls"))
-    mixed = placed.groupBy("region").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high and n > 2").select("region")
+    placed = _placed(members, roots)
+    mixed = _mixed(placed).where("n > 2").select("region")
     regions = _regions(placed.join(mixed, "region", "left_semi")).join(classes.select("cls", "sig"), "cls")
     crossing = regions.select("region", "part", "run", "label", "cls", "root", "sig").groupBy("region", "part", "run").applyInArrow(_crossing(percent), "a binary, b binary")
     more = crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(likely, ["a", "b"], "left_anti")
     more = stored(more, "more")
     if more.limit(1).count():
         more = stored(_confirmed(more, rows, size, percent), "more_links")
-        # Links between components of the first step join these.
-        ends = more
-        for end in ("a", "b"):
-            ends = ends.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
-        between = ends.select(*(F.coalesce(f"root_{e}", e).alias(e) for e in ("a", "b")))
-        upper = connected_components(between).select(F.col("node").alias("root"), F.col("root").alias("top"))
-        lower = roots.join(upper, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-        alone = upper.join(roots.select("root"), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
-        roots = checkpointed(lower.union(alone))
+        roots = _merged(roots, more)
+
+    # What is still apart where not all members were compared.
+    placed = _placed(members, roots)
+    apart = _mixed(placed).where(f"n > {2 * CENTRAL} and n <= {REGION}").select("region")
+    left = placed.join(apart, "region", "left_semi").select("cls", "root").distinct()
+    left = stored(left, "left")
+    if left.limit(1).count():
+        sets = stored(_members(left.select("cls"), rows, size).join(left, "cls"), "sets")
+        prefixes = stored(sets.mapInArrow(_prefixes(percent, _rarities(sets)), PREFIX), "prefixes")
+        sharing = stored(_sharing(prefixes, percent), "sharing")
+        rest = stored(_similar(sharing, sets, percent), "rest_links")
+        if rest.limit(1).count():
+            roots = _merged(roots, rest)
 
     ids = classes.select("cls", "least_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = ids.groupBy("root").agg(F.min("least_id").alias("component_id"))

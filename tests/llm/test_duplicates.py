@@ -83,6 +83,27 @@ def test_a_large_group(docs):
     assert sum(got[i] != expected[i] for i in got) <= 0.002 * len(got)
 
 
+def _pairs_of_one_template(pairs, seed=11):
+    """Texts that are similar (J 0.807) in pairs, and nearly so (J 0.74 to 0.80) with all others."""
+    r = random.Random(seed)
+    base = [f"t{k}" for k in range(1200)]
+    rows = []
+    for k in range(pairs):
+        own = r.sample(range(300), 38)
+        for places in (own[:22], own[:6] + own[22:]):
+            text = list(base)
+            for at in places:
+                text[4 * at] = f"p{k}_{at}"
+            rows.append((len(rows), " ".join(text)))
+    return rows
+
+
+def test_pairs_in_dense_regions(docs):
+    rows = _pairs_of_one_template(200)
+    got = {x.doc_id: x.component_id for x in near_duplicates(docs(rows), 4).collect()}
+    assert got == {i: c for i, (_, c, _) in _components(rows, 4).items()}
+
+
 def test_groups_of_odd_rows(odd):
     got = near_duplicates(odd)
     assert got.count() == odd.count()
