@@ -13,11 +13,12 @@ whose signatures are nearest to the region's commonest values. A variant is most
 like the text that the others vary too, so the work stays in proportion to the
 members. All links are confirmed on the full shingle sets.
 
-What is then still apart in regions with more members than are all compared is
-compared by an exact prefix filter: two similar sets share one of the rarest
-shingles of each, as many as may be missing from a link and one more. Members that
-share one are candidates where their places in that order leave room for enough
-common shingles; shingles of one component alone are passed over.
+What is then still apart in regions with more members than are all compared,
+however large, is compared by an exact prefix filter: two similar sets share one of
+the rarest shingles of each, as many as may be missing from a link and one more.
+Members are put into blocks; blocks meet that hold members of different components
+sharing such a shingle, early enough in both orders to leave room for a link, and
+all their members are compared on the full sets by counting common shingles.
 
 At similarity 0.8 the chance that no order brings a pair together at the first
 depth is (1 - 0.8**3)**24 < 4e-8.
@@ -42,10 +43,12 @@ from courtledger.session import checkpointed, fresh_folder
 
 TREES, DEPTH, FIRST_DEPTH = 24, 6, 3
 VALUES = TREES * DEPTH
-REGION = 512  # classes looked at together; larger regions go deeper, then into runs
+REGION = 512  # classes looked at together; larger regions go deeper, then into runs, before the exact join
 CENTRAL = 8  # members that all others of a region are compared with
 COUNTERS = 20  # bits of a shingle that choose its counter; rarity only orders the shingles
-HOLDERS = 4_096  # of one shingle, met in one task; more are salted
+BLOCK_SETS, BLOCK_SHINGLES = 1_024, 1 << 20  # about as many make a block of sets compared with another
+FEW = 16  # sets of a block; shingles that more of them hold are counted by matrix product
+COLUMNS = 4_096  # shingles in one product
 
 _FACTORS = seeded(7, VALUES) | np.uint64(1)
 
@@ -215,7 +218,19 @@ def _rarities(sets: DataFrame) -> Broadcast:
     return sets.sparkSession.sparkContext.broadcast(n)
 
 
-PREFIX = "shingle long, cls binary, root binary, rest long, n long"
+PREFIX = "shingle long, block long, root binary, rest long, n long"
+
+
+def _blocks(sets: DataFrame) -> DataFrame:
+    """The sets with their block: members of one family, or of one large component, of about one size."""
+    n = F.octet_length("members") / 8
+    sized = sets.withColumn("bits", F.ceil(F.log2(n)).cast("int"))
+    large = sized.groupBy("root").agg(F.count("*").alias("k")).where(F.col("k") >= BLOCK_SETS).select("root", F.xxhash64("root").alias("own"))
+    sized = sized.join(large, "root", "left").withColumn("family", F.coalesce("own", "family")).drop("own")
+    share = F.greatest(F.pow(F.lit(2.0), F.col("bits")) / BLOCK_SHINGLES, F.lit(1 / BLOCK_SETS))
+    cuts = sized.groupBy("family", "bits").agg(F.count("*").alias("k")).select("family", "bits", F.ceil(F.col("k") * share).alias("cuts"))
+    block = F.xxhash64("family", "bits", F.pmod(F.xxhash64("cls"), F.col("cuts")))
+    return sized.join(cuts, ["family", "bits"]).select("cls", "root", block.alias("block"), "members")
 
 
 def _prefixes(percent: int, rarities: Broadcast):
@@ -231,28 +246,82 @@ def _prefixes(percent: int, rarities: Broadcast):
                 take = place <= (n - -(-n * percent // 100))[row]
                 at = pa.array(row[take])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(values[order][take].view(np.int64)), part.column("cls").take(at), part.column("root").take(at),
+                    pa.array(values[order][take].view(np.int64)), part.column("block").take(at), part.column("root").take(at),
                     pa.array((n[row] - place)[take]), pa.array(n[row][take]),
-                ], ["shingle", "cls", "root", "rest", "n"])
+                ], ["shingle", "block", "root", "rest", "n"])
     return prefixes
 
 
-def _sharing(prefixes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a shingle of their prefixes, where enough may be common."""
-    holders = prefixes.groupBy("shingle", "root").agg(F.count("*").alias("k")).groupBy("shingle").agg(
-        F.count("*").alias("roots"), F.sum("k").alias("k"), F.max(F.struct("k", "root")).alias("most"))
-    holders = holders.where("roots > 1").select("shingle", F.col("most.root").alias("bulk"), F.ceil(F.col("k") / HOLDERS).cast("int").alias("salts"))
-    held = prefixes.join(holders, "shingle")
-    # Each shingle's largest component is met by all others, and not by itself.
-    few = held.where("root <> bulk").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    every = held.withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int"))
-    x = few.select("shingle", "salt", *(F.col(c).alias(f"{c}_x") for c in ("cls", "root", "rest", "n")))
-    y = every.select("shingle", "salt", "bulk", *(F.col(c).alias(f"{c}_y") for c in ("cls", "root", "rest", "n")))
-    common = F.least("rest_x", "rest_y")
-    enough = (100 * common >= percent * (F.col("n_x") + F.col("n_y") - common)) & (F.col("root_x") != F.col("root_y"))
-    once = (F.col("root_y") == F.col("bulk")) | (F.col("cls_x") < F.col("cls_y"))
-    met = x.withColumnsRenamed({"shingle": "s", "salt": "t"}).join(y, (F.col("s") == F.col("shingle")) & (F.col("t") == F.col("salt")) & enough & once)
-    return met.select(F.least("cls_x", "cls_y").alias("a"), F.greatest("cls_x", "cls_y").alias("b")).distinct()
+def _meeting(prefixes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of blocks (x, y) with members of different components that share a shingle early enough."""
+    x = prefixes.select(*(F.col(c).alias(f"{c}_x") for c in prefixes.columns))
+    y = prefixes.select(*(F.col(c).alias(f"{c}_y") for c in prefixes.columns))
+    room = (100 + percent) * F.least("rest_x", "rest_y") >= percent * (F.col("n_x") + F.col("n_y"))
+    apart = F.least("low_x", "low_y") < F.greatest("high_x", "high_y")
+    met = x.join(y, (F.col("shingle_x") == F.col("shingle_y")) & (F.col("block_x") <= F.col("block_y")) & room & apart)
+    return met.select(F.col("block_x").alias("x"), F.col("block_y").alias("y")).distinct()
+
+
+def _common(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], shape: tuple[int, int], kinds: int) -> np.ndarray:
+    """How many columns each row of x shares with each of y, both given as (row, column) of their entries."""
+    held = np.bincount(y[1], minlength=kinds)
+    out = np.zeros(shape[0] * shape[1], np.int64)
+    order = np.argsort(y[1], kind="stable")
+    first = np.cumsum(held) - held
+    few = held[x[1]] <= FEW
+    row, column = x[0][few], x[1][few]
+    times = held[column]
+    step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    other = y[0][order[np.repeat(first[column], times) + step]]
+    out += np.bincount(np.repeat(row, times) * shape[1] + other, minlength=len(out))
+    out = out.reshape(shape)
+    many = np.flatnonzero((held > FEW) & (np.bincount(x[1], minlength=kinds) > 0))
+    number = np.full(kinds, -1)
+    number[many] = np.arange(len(many))
+    for start in range(0, len(many), COLUMNS):
+        sides = []
+        for (row, column), rows in zip((x, y), shape, strict=True):
+            at = number[column] - start
+            here = (at >= 0) & (at < COLUMNS)
+            side = np.zeros((rows, COLUMNS), np.float32)
+            side[row[here], at[here]] = 1
+            sides.append(side)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    return out
+
+
+def _links_between(percent: int):
+    def links(group: pa.Table) -> pa.Table:
+        """All similar pairs of different components between two blocks, or inside one."""
+        group = group.combine_chunks()
+        block = group.column("block").to_numpy()
+        rows = [np.flatnonzero(block == group.column(c)[0].as_py()) for c in ("x", "y")]
+        members = group.column("members").to_pylist()
+        sets = [np.frombuffer(m, np.uint64) for m in members]
+        n = np.array([len(v) for v in sets])
+        kinds, column = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(len(n)), n)
+        place, entries = np.full(len(n), -1), []
+        for own in rows:
+            place[:] = -1
+            place[own] = np.arange(len(own))
+            inside = place[row] >= 0
+            entries.append((place[row[inside]], column[inside]))
+        both = _common(entries[0], entries[1], (len(rows[0]), len(rows[1])), len(kinds))
+        root = group.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
+        good = 100 * both >= percent * (n[rows[0]][:, None] + n[rows[1]][None, :] - both)
+        good &= root[rows[0]][:, None] != root[rows[1]][None, :]
+        a, b = np.nonzero(good)
+        cls = group.column("cls").combine_chunks()
+        return pa.table({"a": cls.take(pa.array(rows[0][a])), "b": cls.take(pa.array(rows[1][b]))})
+
+    return links
+
+
+def _similar_between(meeting: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) between the members of blocks that meet."""
+    sides = meeting.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    return sides.join(sets, "block").select("x", "y", "block", "cls", "root", "members").groupBy("x", "y").applyInArrow(_links_between(percent), "a binary, b binary")
 
 
 def _crossing(percent: int):
@@ -358,14 +427,15 @@ def duplicate_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
 
     # What is still apart where not all members were compared.
     placed = _placed(members, roots)
-    apart = _mixed(placed).where(f"n > {2 * CENTRAL} and n <= {REGION}").select("region")
-    left = placed.join(apart, "region", "left_semi").select("cls", "root").distinct()
-    left = stored(left, "left")
+    apart = _mixed(placed).where(f"n > {2 * CENTRAL}").select("region", "n")
+    left = placed.join(apart, "region").groupBy("cls").agg(F.first("root").alias("root"), F.max(F.struct("n", "region")).alias("most"))
+    left = stored(left.select("cls", "root", F.col("most.region").alias("family")), "left")
     if left.limit(1).count():
-        sets = stored(_members(left.select("cls"), rows, size).join(left, "cls"), "sets")
-        prefixes = stored(sets.mapInArrow(_prefixes(percent, _rarities(sets)), PREFIX), "prefixes")
-        sharing = stored(_sharing(prefixes, percent), "sharing")
-        rest = stored(_similar(sharing, sets, percent), "rest_links")
+        sets = stored(_blocks(_members(left.select("cls"), rows, size).join(left, "cls")), "sets")
+        prefixes = sets.mapInArrow(_prefixes(percent, _rarities(sets)), PREFIX).groupBy("shingle", "block").agg(
+            F.max("rest").alias("rest"), F.min("n").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+        meeting = stored(_meeting(stored(prefixes, "prefixes"), percent), "meeting")
+        rest = stored(_similar_between(meeting, sets, percent), "rest_links")
         if rest.limit(1).count():
             roots = _merged(roots, rest)
 

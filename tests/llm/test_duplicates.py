@@ -104,6 +104,11 @@ def test_pairs_in_dense_regions(docs):
     assert got == {i: c for i, (_, c, _) in _components(rows, 4).items()}
 
 
+def test_pairs_in_regions_that_are_cut(docs):
+    got = {x.doc_id: x.component_id for x in near_duplicates(docs(_pairs_of_one_template(1000)), 4).collect()}
+    assert [k for k in range(0, 2000, 2) if got[k] != got[k + 1]] == []
+
+
 def test_groups_of_odd_rows(odd):
     got = near_duplicates(odd)
     assert got.count() == odd.count()
