@@ -1,14 +1,12 @@
 import sys
-from datetime import datetime, timezone
 from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+sys.path[:0] = [str(Path(__file__).resolve().parent.parent), str(Path(__file__).resolve().parent)]
 
 from courtledger.session import build_session  # noqa: E402
-
-SMALL = "/root/testdata/sf0.001"
+from helpers import utc  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -27,10 +25,6 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-def utc(text: str) -> datetime:
-    return datetime.fromisoformat(text).replace(tzinfo=timezone.utc)
-
-
 GAMES = (
     "period string, game_id bigint, home_team string, home_score int, away_team string, "
     "away_score int, game_time timestamp"
@@ -49,7 +43,3 @@ def games(spark):
         return spark.createDataFrame(full, GAMES)
 
     return build
-
-
-def tuples(df):
-    return [tuple(row) for row in df.collect()]

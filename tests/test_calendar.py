@@ -1,5 +1,5 @@
 import pytest
-from conftest import tuples, utc
+from helpers import tuples, utc
 from pyspark.sql import functions as F
 
 from courtledger.functions import calendar

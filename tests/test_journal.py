@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from conftest import tuples, utc
+from helpers import tuples, utc
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from sample_game import LINES, MILLIS, event, payload

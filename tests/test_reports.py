@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from conftest import tuples
+from helpers import tuples
 from sample_game import MILLIS, payload
 
 from courtledger import league, schemas

@@ -1,4 +1,4 @@
-from conftest import tuples, utc
+from helpers import tuples, utc
 from pyspark.sql import functions as F
 
 from courtledger.operators.sequence import resume_positions, running_sequence

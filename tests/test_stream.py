@@ -1,5 +1,5 @@
 import pytest
-from conftest import tuples
+from helpers import tuples
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from sample_game import MILLIS, payload
