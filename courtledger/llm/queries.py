@@ -6,10 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from courtledger.llm.aho_decontaminate import contamination_digests
+from courtledger.llm.block_neighbours import nearest
+from courtledger.llm.chunked_fim import digests, fill_in_middle
 from courtledger.llm.cotrain_quality import quality_scores
 from courtledger.llm.dom_content import page_texts
 from courtledger.llm.lpf_dedup import repeat_digests
 from courtledger.llm.lsh_forest import near_duplicates
+from courtledger.llm.potential_audit import filter_audit
 from courtledger.llm.ppm_language import held_out_languages
 from courtledger.llm.rans_tokens import token_file
 from courtledger.llm.resync_counts import token_counts
@@ -64,6 +67,18 @@ def op10_lpf_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeat_digests(documents(spark, folder))
 
 
+def op11_potential_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+def op12_block_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(importable(spark).read.parquet(f"{folder}/embeddings.parquet"))
+
+
+def op13_chunked_fim(spark: SparkSession, folder: str) -> DataFrame:
+    return digests(fill_in_middle(documents(spark, folder)))
+
+
 QUERIES = {
     "op1_token_file": op1_token_file,
     "op2_ppm_language": op2_ppm_language,
@@ -75,5 +90,8 @@ QUERIES = {
     "op8_rule_ledger": op8_rule_ledger,
     "op9_dom_content": op9_dom_content,
     "op10_lpf_dedup": op10_lpf_dedup,
+    "op11_potential_audit": op11_potential_audit,
+    "op12_block_neighbours": op12_block_neighbours,
+    "op13_chunked_fim": op13_chunked_fim,
 }
 
