@@ -168,6 +168,6 @@ def filter_audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     are ignored. Null text counts as empty, null lang as the empty string; a
     document without label is neither good nor toxic, one with several labels is
     what any of them says. Repeated rows count each; with equal doc_ids none
-    makes the other a copy.
+    makes the other a copy. A null doc_id has no label.
     """
     return audit(failures(docs, labels))

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from courtledger.llm.texts import slices
 from courtledger.llm.tree_bpe import encoder
@@ -136,20 +137,19 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = END_ID)
     spark = docs.sparkSession
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
         end = np.array([end_id], "<u4")
-        narrow = "<u2" if len(enc.tokens) <= 1 << 16 else "<u4"
-        for batch in batches:
-            for part in slices(batch):
-                texts = part.column("text").cast(pa.large_binary()).to_pylist()
-                found = [np.concatenate([enc.ids(t), end]).astype(narrow).tobytes() for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "ids"])
-
+        with encoder(path) as enc:
+            for batch in batches:
+                for part in slices(batch):
+                    texts = part.column("text").cast(pa.large_binary()).to_pylist()
+                    found = [np.concatenate([enc.ids(t), end]).astype(narrow).tobytes() for t in texts]
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "ids"])
+
+    size = Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
+    narrow = "<u2" if size <= 1 << 16 else "<u4"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows.mapInArrow(tokens, "doc_id long, ids binary").write.parquet(f"{folder}/tokens")
     stored = spark.read.parquet(f"{folder}/tokens")
-    size = len(encoder(path).tokens)
-    narrow = "<u2" if size <= 1 << 16 else "<u4"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int64)
@@ -171,7 +171,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = END_ID)
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(shared.value)
         shard = TaskContext.get().partitionId()
-        names, lengths, parts, block, done = [], [], [], 0, 0
+        names, lengths, parts, filled, block, done = [], [], [], 0, 0, 0
 
         def frame() -> pa.RecordBatch:
             columns = [[shard], [block], [done], [names], [lengths], [coder.encode(np.concatenate(parts).astype(np.int64))]]
@@ -184,13 +184,15 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = END_ID)
                 names.append(doc_id)
                 lengths.append(len(ids))
                 parts.append(ids)
-                if sum(lengths[-1:]) and (filled := sum(lengths)) >= BLOCK_TOKENS:
+                filled += len(ids)
+                if filled >= BLOCK_TOKENS:
                     yield frame()
-                    names, lengths, parts, block, done = [], [], [], block + 1, done + filled
+                    names, lengths, parts, filled, block, done = [], [], [], 0, block + 1, done + filled
         if names:
             yield frame()
 
-    ordered = stored.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    # Rows of one doc_id, however many, are spread by how their ids begin.
+    ordered = stored.repartitionByRange("doc_id", F.substring("ids", 1, 16)).sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(blocks, BLOCK).write.parquet(f"{folder}/blocks")
 
 

@@ -15,8 +15,8 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from courtledger.llm.texts import slices
+from courtledger.llm.workers import give_back
 
 LEAF_CHARS = 65_536
 WORD_BYTES = 4_096  # longer runs without white space are joined from leaves
-CACHED_WORDS = 400_000
+WORD_CACHE_BYTES = 128 << 20  # of a Python worker, while it runs a task
+ENTRY_BYTES = 160  # of an entry besides its contents
 FIRST_WINDOW = 64
 
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
@@ -50,45 +52,71 @@ class Node:
         self.text, self.ids, self.starts, self.ends = text, ids, starts, ends
 
 
-class WordBpe(dict):
-    """Ids of words as bytes; a missing word is encoded on first use."""
+class Recent(dict):
+    """Encodings of words, made on first use, in two generations bounded by their bytes.
 
-    def __init__(self, path: str):
+    When the new generation is full it becomes the old one, and what was in that
+    and has not been used since goes.
+    """
+
+    def __init__(self, make: Callable[[bytes], bytes], most_bytes: int):
         super().__init__()
+        self.make, self.most, self.held = make, most_bytes // 2, 0
+        self.old: dict[bytes, bytes] = {}
+
+    def __missing__(self, key: bytes) -> bytes:
+        found = self.old.pop(key, None)
+        if found is None:
+            found = self.make(key)
+        size = len(key) + len(found) + ENTRY_BYTES
+        if size > self.most:
+            return found
+        if self.held + size > self.most:
+            self.old, self.held = dict(self), 0
+            self.clear()
+        self[key] = found
+        self.held += size
+        return found
+
+
+class WordBpe:
+    """Ids of words as bytes, kept for the words met last."""
+
+    def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u4")
-        self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # Every special string of this tokenizer begins so; a text with it is encoded by the library.
+        if not all(t.content.startswith("<|") for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("a special token that does not begin with <|")
         self.letters = _byte_letters()
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        self.as_bytes = [np.array([i], self.dtype).tobytes() for i in range(size)]
+        self.words = Recent(self.word, WORD_CACHE_BYTES)
 
-    def __missing__(self, word: bytes) -> bytes:
+    def word(self, word: bytes) -> bytes:
         if len(word) > WORD_BYTES:
             return self.by_tree(word.decode("utf-8", "replace")).ids.astype(self.dtype).tobytes()
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = found = np.array(self.word(word), self.dtype).tobytes()
-        return found
-
-    def word(self, word: bytes) -> list[int]:
         text = word.decode("utf-8", "replace")
-        if not PLAIN.fullmatch(text) or any(s in word for s in self.specials):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        ids: list[int] = []
-        for piece in PIECES.findall(text.lower()):
-            if not piece.isascii():
-                piece = "".join(self.letters[b] for b in piece.encode())
-            ids += [t.id for t in self.model.tokenize(piece)]
-        return ids
+        if text.isascii() and text.isalpha():
+            return self.piece(text.lower())  # letters alone are one piece
+        if not PLAIN.fullmatch(text) or "<|" in text:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return b"".join(map(self.piece, PIECES.findall(text.lower())))
+
+    def piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = "".join(map(self.letters.__getitem__, piece.encode()))
+        return b"".join([self.as_bytes[t.id] for t in self.model.tokenize(piece)])
 
     def ids(self, raw: bytes) -> np.ndarray:
         """Ids of a whole text given as UTF-8."""
         if raw.isascii() and b"<|" not in raw:
             raw = raw.lower()
-        return np.frombuffer(b"".join(map(self.__getitem__, raw.split())), self.dtype)
+        return np.frombuffer(b"".join(map(self.words.__getitem__, raw.split())), self.dtype)
 
     def decode(self, ids: np.ndarray) -> str:
         """As the library without a decoder: the tokens with blanks between."""
@@ -163,10 +191,15 @@ def _shared(text: str, ids, starts, ends, side: Node, low: int, high: int) -> in
     return None
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> WordBpe:
-    """One encoder for a Python worker."""
-    return WordBpe(path)
+@contextmanager
+def encoder(path: str) -> Iterator[WordBpe]:
+    """An encoder for one task; its memory is given back when the task ends."""
+    made = WordBpe(path)
+    try:
+        yield made
+    finally:
+        made.words.clear()
+        give_back()
 
 
 def _digests(enc: WordBpe, ids: np.ndarray) -> tuple[int, str, str]:
@@ -205,11 +238,11 @@ def encode_and_decode(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS,
         return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), *columns], ["doc_id", *names])
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        for batch in batches:
-            for part in slices(batch):
-                texts = part.column("text").cast(pa.large_binary()).to_pylist()
-                yield table(part.column("doc_id"), [result(enc, enc.ids(t)) for t in texts])
+        with encoder(path) as enc:
+            for batch in batches:
+                for part in slices(batch):
+                    texts = part.column("text").cast(pa.large_binary()).to_pylist()
+                    yield table(part.column("doc_id"), [result(enc, enc.ids(t)) for t in texts])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,25 +251,27 @@ def encode_and_decode(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS,
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array([d], pa.int64()), "text_key": [key], "leaf": pa.array([i // leaf_chars], pa.int32()), "text": [text[i:i + leaf_chars]]})
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        for batch in batches:
-            for part in slices(batch):
-                nodes = [enc.by_tree(t) if " " not in t else enc.node(t) for t in part.column("text").to_pylist()]
-                extra = [pa.array([getattr(n, f).astype("<i8").tobytes() for n in nodes], pa.binary()) for f in ("ids", "starts", "ends")]
-                yield pa.RecordBatch.from_arrays([*part.columns, *extra], [*part.schema.names, "ids", "starts", "ends"])
+        with encoder(path) as enc:
+            for batch in batches:
+                for part in slices(batch):
+                    nodes = [enc.by_tree(t) if " " not in t else enc.node(t) for t in part.column("text").to_pylist()]
+                    extra = [pa.array([getattr(n, f).astype("<i8").tobytes() for n in nodes], pa.binary()) for f in ("ids", "starts", "ends")]
+                    yield pa.RecordBatch.from_arrays([*part.columns, *extra], [*part.schema.names, "ids", "starts", "ends"])
 
     def joined(group: pa.Table) -> pa.Table:
-        enc = encoder(path)
         rows = {}
         copies = 0
         for row in group.to_pylist():
             copies += row["leaf"] == 0
             rows[row["leaf"]] = row
         nodes = [Node(rows[k]["text"], *(np.frombuffer(rows[k][f], "<i8") for f in ("ids", "starts", "ends"))) for k in sorted(rows)]
-        found = result(enc, enc.join_all(nodes).ids)
+        with encoder(path) as enc:
+            found = result(enc, enc.join_all(nodes).ids)
         return pa.Table.from_batches([table([rows[0]["doc_id"]] * copies, [found] * copies)])
 
     whole = rows.where(size <= leaf_chars).mapInArrow(short, schema)
     pieces = rows.where(size > leaf_chars).withColumn("text_key", F.xxhash64("text")).mapInArrow(cut, "doc_id long, text_key long, leaf int, text string")
-    encoded = pieces.repartition("doc_id", "text_key", "leaf").mapInArrow(leaves, "doc_id long, text_key long, leaf int, text string, ids binary, starts binary, ends binary")
+    # A number of partitions of its own: adaptive execution must not put all leaves of a text into one task.
+    tasks = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    encoded = pieces.repartition(tasks, "doc_id", "text_key", "leaf").mapInArrow(leaves, "doc_id long, text_key long, leaf int, text string, ids binary, starts binary, ends binary")
     return whole.unionByName(encoded.groupBy("doc_id", "text_key").applyInArrow(joined, schema))
