@@ -124,6 +124,9 @@ _PARTS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT o_orderkey AS game_id,
                o_orderdate + to_seconds(CAST(o_orderkey % 86400 AS BIGINT)) AS event_ts
         FROM orders"""),
+    "journal_sizes": (("games",), """
+        SELECT home_team AS persistence_id, 2 * count(*) AS n FROM games GROUP BY home_team
+        UNION ALL SELECT event_type, count(*) FROM events GROUP BY event_type"""),
     "games_in_interval": (("games",), f"""
         SELECT * FROM games WHERE game_time >= TIMESTAMP '{INTERVAL[0]}'
                               AND game_time < TIMESTAMP '{INTERVAL[1]}'"""),
@@ -336,6 +339,17 @@ ORACLES: dict[str, str] = {
     "assign_period": _with(("instants", "calendar"), """
         SELECT game_id, event_ts, coalesce(period, 'unknown') AS period
         FROM instants LEFT JOIN calendar ON start_ts < event_ts AND event_ts < end_ts"""),
+    "assign_period_overlapping": _with(("instants", "calendar"), """
+        SELECT i.game_id, i.event_ts, coalesce((
+            SELECT arg_min(period, ord) FROM (
+                SELECT ord, period, start_ts, end_ts FROM calendar WHERE ord % 2 = 0
+                UNION ALL
+                SELECT DISTINCT CAST(100 + 12 * (year(o_orderdate) - 1990) + month(o_orderdate) - 1 AS INTEGER),
+                       'month ' || strftime(o_orderdate, '%Y-%m'), CAST(date_trunc('month', o_orderdate) AS TIMESTAMP),
+                       CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) + INTERVAL 2 MONTH
+                FROM orders WHERE month(o_orderdate) % 2 = 0
+            ) AS every_interval WHERE start_ts < i.event_ts AND i.event_ts < end_ts), 'unknown') AS period
+        FROM instants i"""),
     "assign_period_inline": _with(("instants", "calendar"), """
         SELECT game_id, event_ts, coalesce(period, 'unknown') AS period
         FROM instants LEFT JOIN calendar ON start_ts < event_ts AND event_ts < end_ts"""),
@@ -407,6 +421,12 @@ ORACLES: dict[str, str] = {
     "journal_after_position": _with(("numbered",), f"""
         SELECT home_team AS persistence_id, game_id, seq_number - 1 AS sequence_nr
         FROM numbered WHERE game_time >= TIMESTAMP '{RESTART}'"""),
+    "journal_pruned_restart": _with(("journal_sizes",), """
+        SELECT persistence_id, n * 2 // 3 AS first_nr, n - n * 2 // 3 AS events FROM journal_sizes"""),
+    "journal_source_batch": _with(("journal_sizes",), """
+        SELECT persistence_id, CAST(first AS BIGINT) AS first_nr, n - 1 AS last_nr, n - first AS events
+        FROM (SELECT *, CASE WHEN persistence_id IN (SELECT n_name FROM nation) THEN 10 ELSE 0 END AS first
+              FROM journal_sizes) AS sizes WHERE n > first"""),
     "resume_positions": _with(("numbered", "teams", "calendar"), f"""
         SELECT t.team, CAST(coalesce(max(newest), 0) AS BIGINT) AS position
         FROM teams t LEFT JOIN (
@@ -490,8 +510,22 @@ ORACLES: dict[str, str] = {
     "sink_leaders_latest": _with(("box",), _LATEST_LINE),
     "sink_players_latest": _with(("box",), _LATEST_LINE),
     "sink_daily_latest": _with(("numbered",), _latest_daily("seq_number")),
-    "stream_running_sequence": _with(("numbered",), """
-        SELECT home_team AS team, seq_number FROM numbered"""),
+    "stream_running_sequence": _with(("journaled",), """
+        SELECT home_team AS team, 2 * (seq_number - 1) AS journal_nr, seq_number FROM journaled"""),
+    "stream_timed": _with(("journaled",), _latest_result("journaled")),
+    "stream_supervised": _with(("journaled",), _latest_result("journaled")),
+    "stream_late_rows": _with(("games",), """
+        SELECT period, home_team AS team, game_time AS date, away_team AS opponent,
+               home_score AS score, away_score AS opponent_score, row_number() OVER (
+                   PARTITION BY home_team
+                   ORDER BY game_id <= (SELECT CAST(floor(avg(o_orderkey)) AS BIGINT) FROM orders), game_id) AS seq_number
+        FROM games"""),
+    "merged_on_read": _with(("games",), _latest_result("(SELECT *, game_id AS seq_number FROM games)")),
+    "view_size": _with(("flat_lines",), f"""
+        SELECT 'points' AS view, count(*) AS size FROM ({_leaders('points', 'flat_lines', 'period')}) AS view"""),
+    "teams_committed": """
+        SELECT n_name AS processor_id, CASE WHEN n_regionkey >= 2 THEN 'second' ELSE 'first' END AS description
+        FROM nation""",
     "stream_results": _with(("journaled",), _latest_result("journaled")),
     "stream_leaders": _with(("box",), _latest_line("game_id")),
     "stream_players": _with(("box",), _latest_line("game_id")),
@@ -501,8 +535,7 @@ ORACLES: dict[str, str] = {
                home_score AS score, away_score AS opponent_score,
                row_number() OVER (PARTITION BY home_team ORDER BY game_id % 2, game_id) AS seq_number
         FROM games"""),
-    "compacted_results": _with(("journaled",), f"""
-        SELECT * EXCLUDE (seq_number) FROM ({_latest_result('journaled')}) AS stored"""),
+    "compacted_results": _with(("journaled",), _latest_result("journaled")),
     "stored_standing": _with(("stored_games", "teams"), _standings(
         f"(SELECT * FROM stored_games WHERE period = '{SEASON}')")),
     "stored_series": _with(("stored_games",), _series(

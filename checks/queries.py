@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,13 +15,15 @@ from courtledger.operators import events as maps
 from courtledger.operators import leaders, results, standings
 from courtledger.operators.sequence import resume_positions, running_sequence
 from courtledger.operators.upsert import (
-    compact, insert_if_absent, install_dimensions, latest, latest_rows, read_latest, read_table,
+    append_batch, commit_version, compact, insert_if_absent, install_dimensions, install_tables, latest, latest_rows,
+    read_latest, read_table,
 )
 from courtledger.plans import journal_reports, reports
 from courtledger.session import fresh_folder
-from courtledger.sources import dimensions, journal, sample, tables
+from courtledger.sources import dimensions, journal, journal_source, sample, tables
 from courtledger.sources.sample import MARKERS
-from courtledger.streaming.ingest import Ingestion, read_journal_stream
+from courtledger.streaming.ingest import Ingestion, read_journal_source, read_journal_stream
+from courtledger.streaming.supervise import Backoff, supervise
 
 SEASON = "season-97-98"
 PLAYOFF = "playoff-97-98"
@@ -80,6 +83,26 @@ def _journal(spark, folder, **options):
     return rows.withColumn("partition_nr", scalars.journal_partition(F.col("sequence_nr")))
 
 
+#: Journal rows in a partition of the sample's journal, and numbers in a batch of the many-batch streams.
+PARTITION_SIZE, BATCH_ROWS = 500, 20_000
+
+
+def _whole_journal(spark, folder):
+    """Every row with a number of its own: that of a cut-off copy follows that of its event."""
+    rows = sample.journal(spark, folder, undecodable=True)
+    number = F.col("game_id") * 2 + F.when(F.col("event").endswith("}"), 0).otherwise(1)
+    return rows.withColumns({"sequence_nr": number, "partition_nr": scalars.journal_partition(number)})
+
+
+def _laid_out(spark, folder, root):
+    """The journal numbered from 0 without gaps in each team, laid out by team and partition."""
+    rows = running_sequence(
+        _whole_journal(spark, folder).drop("sequence_nr", "partition_nr").withColumn("_cut", ~F.col("event").endswith("}")),
+        "persistence_id", ["game_id", "_cut"], name="sequence_nr", first=0, costly_input=True,
+    )
+    journal.write_journal(rows, f"{root}/journal", PARTITION_SIZE)
+
+
 def _decoded(spark, folder):
     rows = journal.valid_events(journal.decode(_journal(spark, folder, undecodable=True)))
     return maps.event_frame(rows, MARKERS)
@@ -133,6 +156,20 @@ def assign_period(spark, folder):
     )
 
 
+@register
+def assign_period_overlapping(spark, folder):
+    """Every second month also has an interval of its own, after the calendar in order; the first match counts."""
+    months = sample.table(spark, folder, "orders").select(F.trunc("o_orderdate", "month").alias("month")).distinct()
+    extra = months.where(F.month("month") % 2 == 0).select(
+        (F.lit(100) + F.months_between("month", F.lit("1990-01-01"))).cast("int").alias("ord"), F.date_format("month", "'month' yyyy-MM").alias("period"),
+        F.col("month").cast("timestamp").alias("start_ts"), F.add_months("month", 2).cast("timestamp").alias("end_ts"),
+    )
+    early = _calendar(spark).where(F.col("ord") % 2 == 0)
+    return calendar.assign_period(_instants(spark, folder), early.unionByName(extra), "event_ts").select(
+        "game_id", "event_ts", "period"
+    )
+
+
 @register
 def assign_period_inline(spark, folder):
     return _instants(spark, folder).select(
@@ -316,6 +353,36 @@ def journal_after_position(spark, folder):
     return journal.after_position(rows, positions).select("persistence_id", "game_id", "sequence_nr")
 
 
+@register
+def journal_pruned_restart(spark, folder):
+    """The same from a journal laid out by team and partition, of which only unfinished partitions are read."""
+    root = fresh_folder(spark, "journal")
+    _laid_out(spark, folder, root)
+    rows = spark.read.schema(schemas.JOURNAL).parquet(f"{root}/journal")
+    # Two thirds of every team's numbers are finished.
+    positions = rows.groupBy(F.col("persistence_id").alias("team")).agg(
+        F.call_function("div", (F.max("sequence_nr") + 1) * 2, F.lit(3).cast("bigint")).alias("position")
+    )
+    return journal.after_position(rows, positions, PARTITION_SIZE).groupBy("persistence_id").agg(
+        F.min("sequence_nr").alias("first_nr"), F.count(F.lit(1)).alias("events")
+    )
+
+
+@register
+def journal_source_batch(spark, folder):
+    """The journal through its data source, from number 10 of every nation's on."""
+    root = fresh_folder(spark, "journal")
+    _laid_out(spark, folder, root)
+    journal_source.register(spark)
+    after = {row.team: 10 for row in sample.teams(spark, folder).collect()}
+    rows = spark.read.format(journal_source.NAME).option("after", json.dumps(after)).option(
+        "partitionSize", PARTITION_SIZE
+    ).load(f"{root}/journal")
+    return rows.groupBy("persistence_id").agg(
+        F.min("sequence_nr").alias("first_nr"), F.max("sequence_nr").alias("last_nr"), F.count(F.lit(1)).alias("events")
+    )
+
+
 @register
 def resume_positions_query(spark, folder):
     events = sample.game_events(_numbered(spark, folder))
@@ -526,29 +593,48 @@ def sink_daily_latest(spark, folder):
     return _latest_of(spark, folder, schemas.DAILY, maps.to_daily)
 
 
-def _write_journal(rows, path, files=None):
-    rows = rows.select(*schemas.JOURNAL.fieldNames())
-    (rows.repartition(files, "sequence_nr") if files else rows).write.mode("append").parquet(path)
+def _write_journal(rows, path):
+    rows.select(*schemas.JOURNAL.fieldNames()).write.mode("append").parquet(path)
 
 
-def journal_stream(spark, folder, files=None, max_files=None):
+def journal_stream(spark, folder):
     """Write the journal to a folder; the job with fresh tables and the stream to start it on."""
     root = fresh_folder(spark, "stream")
-    _write_journal(_journal(spark, folder, undecodable=True), f"{root}/journal", files)
-    stream = read_journal_stream(spark, f"{root}/journal", max_files=max_files)
-    return Ingestion(f"{root}/tables", MARKERS), stream
+    _write_journal(_whole_journal(spark, folder), f"{root}/journal")
+    return Ingestion(f"{root}/tables", MARKERS), read_journal_stream(spark, f"{root}/journal")
+
+
+def _streamed(spark, folder) -> Ingestion:
+    """A job that has just streamed the whole journal into fresh tables."""
+    job, stream = journal_stream(spark, folder)
+    job.start(stream, available_now=True).awaitTermination()
+    return job
+
+
+def _streamed_in_batches(spark, folder, **options) -> Ingestion:
+    """The same in several micro-batches of the journal source, every team in journal order."""
+    root = fresh_folder(spark, "stream")
+    _laid_out(spark, folder, root)
+    job = Ingestion(f"{root}/tables", MARKERS, **options)
+    stream = read_journal_source(
+        spark, f"{root}/journal", partition_size=PARTITION_SIZE, max_rows=BATCH_ROWS, progress=f"{root}/progress"
+    )
+    query = job.start(stream, interval="0 seconds")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return job
 
 
 _jobs: dict[tuple, Ingestion] = {}
 
 
-def ingested(spark, folder, files=None, max_files=None) -> Ingestion:
-    """The job that has streamed the whole journal, once per session."""
-    key = (spark.sparkContext.applicationId, folder, files, max_files)
+def ingested(spark, folder) -> Ingestion:
+    """Prepared tables for the stored reports, streamed once per session."""
+    key = (spark.sparkContext.applicationId, folder)
     if key not in _jobs:
-        job, stream = journal_stream(spark, folder, files, max_files)
-        job.start(stream, available_now=True).awaitTermination()
-        _jobs[key] = job
+        _jobs[key] = _streamed(spark, folder)
     return _jobs[key]
 
 
@@ -560,43 +646,71 @@ def _league(spark, folder) -> reports.League:
 
 @register
 def stream_running_sequence(spark, folder):
-    """Several micro-batches; every stored number of a team, from all versions.
-
-    Compaction leaves a row twice until its next run.
-    """
-    job = ingested(spark, folder, files=24, max_files=8)
-    return read_table(spark, schemas.RESULTS, job.root).select("team", "seq_number").distinct()
+    """Several micro-batches; every stored number of a team with the journal number it was given to."""
+    job = _streamed_in_batches(spark, folder)
+    return read_table(spark, schemas.RESULTS, job.root).select("team", F.col("event_seq").alias("journal_nr"), "seq_number")
 
 
 @register
 def stream_results(spark, folder):
-    return read_latest(spark, schemas.RESULTS, ingested(spark, folder).root)
+    return read_latest(spark, schemas.RESULTS, _streamed(spark, folder).root)
 
 
 @register
 def stream_leaders(spark, folder):
-    return read_latest(spark, schemas.LEADERS, ingested(spark, folder).root)
+    return read_latest(spark, schemas.LEADERS, _streamed(spark, folder).root)
 
 
 @register
 def stream_players(spark, folder):
-    return read_latest(spark, schemas.PLAYERS, ingested(spark, folder).root)
+    return read_latest(spark, schemas.PLAYERS, _streamed(spark, folder).root)
 
 
 @register
 def stream_daily(spark, folder):
-    return read_latest(spark, schemas.DAILY, ingested(spark, folder).root)
+    return read_latest(spark, schemas.DAILY, _streamed(spark, folder).root)
 
 
 @register
-def stream_restart(spark, folder):
-    """Half of the journal; then a stream with a fresh checkpoint that meets all of it."""
-    root = fresh_folder(spark, "restart")
-    rows = _journal(spark, folder, undecodable=True)
-    for half, new in (("first", F.col("sequence_nr") % 2 == 0), ("second", F.col("sequence_nr") % 2 == 1)):
-        # Journals grow at their end: the second half is moved behind the first.
-        shift = F.lit(0 if half == "first" else 1 << 40).cast("bigint")
-        _write_journal(rows.where(new).withColumn("sequence_nr", F.col("sequence_nr") + shift), f"{root}/journal")
+def stream_timed(spark, folder):
+    """Batches by a timed trigger, polled until the journal is read."""
+    job, stream = journal_stream(spark, folder)
+    query = job.start(stream, interval="1 second")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return read_latest(spark, schemas.RESULTS, job.root)
+
+
+class _FailsOnce(Ingestion):
+    """A job whose first batch fails after it has written its rows."""
+
+    failed = False
+
+    def process(self, batch, batch_id):
+        super().process(batch, batch_id)
+        if not type(self).failed:
+            type(self).failed = True
+            raise OSError("lost after writing")
+
+
+@register
+def stream_supervised(spark, folder):
+    """A batch fails once; the supervisor restarts the stream from its checkpoint."""
+    job, stream = journal_stream(spark, folder)
+    _FailsOnce.failed = False
+    flaky = _FailsOnce(job.root, MARKERS)
+    supervise(spark, lambda: flaky.start(stream, available_now=True), Backoff(first=0.1))
+    return read_latest(spark, schemas.RESULTS, job.root)
+
+
+def _in_two_streams(spark, folder, first, name):
+    """Rows that ``first`` names, then all rows through a stream with a fresh checkpoint; all stored versions."""
+    root = fresh_folder(spark, name)
+    rows = _whole_journal(spark, folder)
+    for half, chosen in (("first", first), ("second", ~first)):
+        _write_journal(rows.where(chosen), f"{root}/journal")
         job = Ingestion(f"{root}/tables", MARKERS, checkpoint=f"{root}/{half}")
         job.start(read_journal_stream(spark, f"{root}/journal"), available_now=True).awaitTermination()
     return read_table(spark, schemas.RESULTS, f"{root}/tables").select(
@@ -604,12 +718,69 @@ def stream_restart(spark, folder):
     )
 
 
+@register
+def stream_restart(spark, folder):
+    """Half of the journal; then a stream with a fresh checkpoint that meets all of it."""
+    return _in_two_streams(spark, folder, F.col("game_id") % 2 == 0, "restart")
+
+
+@register
+def stream_late_rows(spark, folder):
+    """The upper half of all numbers; then a fresh stream that meets the late lower half too."""
+    middle = sample.table(spark, folder, "orders").agg(F.avg("o_orderkey")).first()[0]
+    return _in_two_streams(spark, folder, F.col("game_id") > int(middle), "late")
+
+
 @register
 def compacted_results(spark, folder):
-    """The tables of several micro-batches, compacted."""
-    root = ingested(spark, folder, files=24, max_files=8).root
+    """The tables of several micro-batches, compacted between and after them."""
+    root = _streamed_in_batches(spark, folder, compact_every=2).root
     compact(spark, schemas.RESULTS, root)
-    return read_latest(spark, schemas.RESULTS, root).drop("seq_number")
+    return read_latest(spark, schemas.RESULTS, root)
+
+
+@register
+def merged_on_read(spark, folder):
+    """A compacted base, a newer delta, and a delta older than the base that must not win."""
+    root = fresh_folder(spark, "merge")
+    install_tables(spark, root)
+    rows = _stored_results(spark, folder).withColumn("event_seq", F.col("seq_number"))
+    for batch, kind in enumerate((1, 2, 0)):
+        append_batch(rows.where(F.col("seq_number") % 3 == kind), schemas.RESULTS, root, batch)
+        if batch == 0:
+            compact(spark, schemas.RESULTS, root)
+    return read_latest(spark, schemas.RESULTS, root)
+
+
+@register
+def view_size(spark, folder):
+    """The size of a report, observed while its rows were written."""
+    table = leaders.points_leaders(sample.box_lines(spark, folder))
+    rows = reports.write_json(table, "points", fresh_folder(spark, "view"))
+    return spark.createDataFrame([("points", rows)], "view string, size bigint")
+
+
+@register
+def teams_committed(spark, folder):
+    """Two installs at once: the second commits while the first still holds what it read before."""
+    path = fresh_folder(spark, "teams")
+    nation = sample.table(spark, folder, "nation")
+    mine, theirs = (
+        nation.where(F.col("n_regionkey") <= 3).select(F.col("n_name").alias("processor_id"), F.lit(text).alias("description"))
+        if text == "first" else
+        nation.where(F.col("n_regionkey") >= 2).select(F.col("n_name").alias("processor_id"), F.lit(text).alias("description"))
+        for text in ("first", "second")
+    )
+    between = [lambda: commit_version(spark, path, schemas.TEAMS, lambda stored: insert_if_absent(stored, theirs, "processor_id"))]
+
+    def add(stored):
+        rows = insert_if_absent(stored, mine, "processor_id")
+        if between:
+            between.pop()()
+        return rows
+
+    commit_version(spark, path, schemas.TEAMS, add)
+    return spark.read.schema(schemas.TEAMS).parquet(path).select("processor_id", "description")
 
 
 @register

@@ -126,34 +126,55 @@ def calendar_frame(spark: SparkSession, markers: Markers, zone: str = TIME_ZONE)
     return calendar_from_markers(marker_frame(spark, markers), zone)
 
 
+def segments(calendar: DataFrame) -> DataFrame:
+    """The calendar cut into disjoint pieces (period, start_us, end_us), each of the first interval there.
+
+    Instants are microseconds, so an open interval is the half-open range that
+    begins one later. The ranges' bounds, in order, make pieces in which no
+    interval begins or ends; a piece belongs to the interval with the least
+    ``ord`` among those that hold its first instant. What no interval holds is no
+    piece. Pieces and intervals meet on equal days, not each with each.
+    """
+    spans = calendar.select(
+        "ord", F.col("period").alias("_label"), (F.unix_micros("start_ts") + 1).alias("lo"), F.unix_micros("end_ts").alias("hi")
+    ).where("lo < hi")
+    bounds = spans.select(F.explode(F.array("lo", "hi")).alias("start_us")).distinct()
+    # No partition key: the bounds of a calendar are a few per year.
+    pieces = bounds.withColumn("end_us", F.lead("start_us").over(Window.orderBy("start_us"))).where("end_us is not null")
+    whole_days = spans.withColumn("_day", F.explode(F.sequence(_utc_day("lo"), _utc_day("hi"))))
+    held = pieces.withColumn("_day", _utc_day("start_us")).join(whole_days, "_day").where("start_us >= lo and start_us < hi")
+    first = F.min(F.struct("ord", "lo", "_label")).alias("first")
+    return held.groupBy("start_us", "end_us").agg(first).select(F.col("first._label").alias("period"), "start_us", "end_us")
+
+
+def _utc_day(micros: str) -> Column:
+    return F.call_function("div", F.col(micros), F.lit(86_400_000_000))
+
+
 def assign_period(
-    df: DataFrame, calendar: DataFrame, ts: str, zone: str = TIME_ZONE, name: str = "period"
+    df: DataFrame, calendar: DataFrame, ts: str, name: str = "period"
 ) -> DataFrame:
     """Interval join of ``df`` with a calendar table, ``'unknown'`` where none matches.
 
-    Each interval is spread over the local days it touches, so the range join
-    becomes an equi-join on the day with the bounds as a residual condition:
-    hashable, and splittable by AQE if the calendar outgrows a broadcast.
-    Intervals must not overlap, which holds by construction.
+    Where intervals overlap an instant belongs to the first of them, in the order of
+    ``ord``: the join is with the disjoint segments. Each of those is spread over
+    the days it touches, so the range join becomes an equi-join on the day
+    with the bounds as a residual condition: hashable, and splittable by AQE if
+    the calendar outgrows a broadcast. One row comes out for each row of ``df``.
     """
-    def local_day(column: Column) -> Column:
-        return F.to_date(F.from_utc_timestamp(column, zone))
-
-    days = calendar.select(
-        F.col("period").alias("_period"), "start_ts", "end_ts",
-        F.explode(
-            F.sequence(local_day(F.col("start_ts")), local_day(F.col("end_ts")))
-        ).alias("_day"),
+    days = segments(calendar).select(
+        F.col("period").alias("_period"), "start_us", "end_us",
+        F.explode(F.sequence(_utc_day("start_us"), _utc_day("end_us"))).alias("_day"),
     )
-    instant = F.col(ts)
+    instant = F.col("_event_us")
     return (
-        df.withColumn("_event_day", local_day(instant))
+        df.withColumn("_event_us", F.unix_micros(ts)).withColumn("_event_day", _utc_day("_event_us"))
         .join(
             days,
             (F.col("_event_day") == F.col("_day"))
-            & (instant > F.col("start_ts")) & (instant < F.col("end_ts")),
+            & (instant >= F.col("start_us")) & (instant < F.col("end_us")),
             "left",
         )
         .withColumn(name, F.coalesce("_period", F.lit(UNKNOWN)))
-        .drop("_event_day", "_day", "_period", "start_ts", "end_ts")
+        .drop("_event_us", "_event_day", "_day", "_period", "start_us", "end_us")
     )

@@ -104,7 +104,7 @@ def daily_results(
         days = daily.sparkSession.createDataFrame(pa.table({"day": [wanted]}))
     asked = assign_period(
         days.select(F.col("day").alias("_asked"), start_of_day(F.col("day"), zone).alias("_midnight")),
-        calendar, "_midnight", zone,
+        calendar, "_midnight",
     ).where(F.col("period") != "unknown").select(
         "period",
         F.year("_asked").alias("year"),

@@ -1,17 +1,23 @@
-"""Keyed upserts on Parquet.
+"""Keyed upserts on Parquet, merged on read.
 
 Batches are appended with a version; the latest view keeps the newest version
 of each key, so replaying a batch changes nothing. A period's folder is divided
-into parts: each batch appends one, and compaction replaces many by one.
+into parts: each batch appends one (a delta), and compaction makes one part that
+holds every key once (the base). Reading takes the base as it is, but for the
+keys that deltas have written since; only those are compared by version.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from courtledger.schemas import CAMPAIGN, TABLES, TEAMS, Table
@@ -48,16 +54,18 @@ def install_tables(spark: SparkSession, root: str) -> None:
         )
 
 
-def append_batch(rows: DataFrame, table: Table, root: str, batch_id: int) -> None:
+def append_batch(rows: DataFrame, table: Table, root: str, batch_id: int, writer: str = "") -> None:
     """Append a batch, clustered like the table; needs ``event_seq`` (and ``line_nr``).
 
-    The rebalance hint makes files of even size: a period holding most of the
+    ``writer`` names the stream: batches of two streams are different parts. The
+    rebalance hint makes files of even size: a period holding most of the
     rows is split, small ones are not scattered over many files.
     """
     rows = rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
     if "line_nr" not in rows.columns:
         rows = rows.withColumn("line_nr", F.lit(0))
-    _append(rows, table, root, f"batch-{batch_id}")
+    part = "-".join(["batch", *([writer] if writer else []), str(batch_id)])
+    _write_part(rows.hint("rebalance", "period"), table, root, part)
 
 
 def read_table(spark: SparkSession, table: Table, root: str) -> DataFrame:
@@ -65,40 +73,111 @@ def read_table(spark: SparkSession, table: Table, root: str) -> DataFrame:
     return spark.read.schema(table.stored_schema).parquet(table_path(root, table))
 
 
-def read_latest(spark: SparkSession, table: Table, root: str) -> DataFrame:
-    return latest_rows(read_table(spark, table, root), table)
+def read_latest(
+    spark: SparkSession, table: Table, root: str, periods: Sequence[str] | None = None
+) -> DataFrame:
+    """The latest view of a table, or of some of its periods."""
+    return _newest(spark, table, root, _live(spark, table_path(root, table), periods)).select(*table.columns)
+
+
+def _newest(spark: SparkSession, table: Table, root: str, live: list[Part]) -> DataFrame:
+    """The newest row of each key in bases and deltas, with its version.
+
+    Base rows are unique, so those of keys without deltas pass by: an anti-join
+    with the deltas' keys, which Spark broadcasts while they are small, neither
+    shuffles nor sorts the base. A delta may be older than the base (a late
+    event), so the base rows of its key take part in the comparison.
+    """
+    base = [p.folder for p in live if p.is_base]
+    deltas = [p.folder for p in live if not p.is_base]
+    if not base:
+        return latest(_load(spark, table, root, deltas), table.keys, table.version)
+    unique = _load(spark, table, root, base)
+    if not deltas:
+        return unique
+    changes = _load(spark, table, root, deltas)
+    keys = changes.select(*table.keys)
+    contested = unique.join(keys, list(table.keys), "left_semi").select(*unique.columns)
+    untouched = unique.join(keys, list(table.keys), "left_anti").select(*unique.columns)
+    return untouched.unionByName(latest(contested.unionByName(changes), table.keys, table.version))
+
+
+def _load(spark: SparkSession, table: Table, root: str, folders: list[str]) -> DataFrame:
+    if not folders:
+        return spark.createDataFrame([], table.stored_schema)
+    return spark.read.schema(table.stored_schema).option("basePath", table_path(root, table)).parquet(*folders)
 
 
 def compact(
     spark: SparkSession, table: Table, root: str, periods: Sequence[str] | None = None
 ) -> None:
-    """Make one part of each period that has several, one row per key.
-
-    The new part is written beside the old ones, which are marked as retired only
-    when it is complete, and deleted by the next call: a failure at any point loses
-    nothing, as rows that are there twice are equal and the latest view takes one,
-    and readers that began before keep their files. Only periods written since
-    their last compaction are read.
+    """Make a new base of each period that has deltas.
+
+    The new base is written beside the old parts and counts from the moment its
+    marker is there; then the old parts are marked as retired, and they are deleted
+    by the next call: a failure at any point loses nothing, as deltas that the base
+    already has change nothing, and readers that began before keep their files.
+    Only periods written since their last compaction are read. One compaction of a
+    table runs at a time.
     """
     path = table_path(root, table)
-    parts = _parts(spark, path)
-    for _, folder, retired in parts:
-        if retired:
-            _delete(spark, folder)
-    by_period: dict[str, list[str]] = {}
-    for period, folder, retired in parts:
-        if not retired and (periods is None or period in periods):
-            by_period.setdefault(period, []).append(folder)
-    old = [folder for folders in by_period.values() if len(folders) > 1 for folder in folders]
+    for part in _parts(spark, path):
+        if part.retired:
+            _delete(spark, part.folder)
+    live = _live(spark, path, periods)
+    stale = {p.period for p in live if not p.is_base}
+    old = [p for p in live if p.period in stale]
     if not old:
         return
-    rows = spark.read.schema(table.stored_schema).option("basePath", path).parquet(*old)
-    _append(latest(rows, table.keys, table.version), table, root, f"compact-{uuid.uuid4().hex}")
-    for folder in old:
-        _mark_retired(spark, folder)
+    name = f"{_BASE}{1 + max([0, *(p.number for p in _parts(spark, path))]):09d}-{uuid.uuid4().hex}"
+    rows = _newest(spark, table, root, old)
+    keyed = rows.repartitionByRange("period", *table.clustering)
+    _write_part(keyed, table, root, name, **_lookup_options(table))
+    for part in _parts(spark, path):
+        if part.name == name:
+            _mark(spark, part.folder, _COMPLETE)
+    for part in old:
+        _mark(spark, part.folder, _RETIRED)
+
+
+_BASE, _COMPLETE, _RETIRED = "base-", "_COMPLETE", "_RETIRED"
+
+#: Bytes in a row group of a base, and distinct values that a filter on a looked-up column is sized for.
+ROW_GROUP_BYTES = 16 << 20
+LOOKUP_VALUES = 20_000
+
+
+class Part(NamedTuple):
+    """A part of a period's folder and the markers in it."""
+
+    period: str
+    folder: str
+    name: str
+    retired: bool
+    complete: bool
 
+    @property
+    def is_base(self) -> bool:
+        return self.name.startswith(_BASE)
 
-_RETIRED = "_RETIRED"
+    @property
+    def number(self) -> int:
+        """A base's place in the order of bases; 0 of a delta."""
+        found = re.match(rf"{_BASE}(\d+)-", self.name)
+        return int(found[1]) if found else 0
+
+
+def _lookup_options(table: Table) -> dict[str, str]:
+    """How a base is written: small row groups in key order, with Bloom filters on the columns looked up.
+
+    Where all values of a row group are in its dictionary, Parquet keeps that
+    instead of a Bloom filter and tests it in the same way.
+    """
+    options = {"parquet.block.size": str(ROW_GROUP_BYTES)}
+    for column in table.lookup:
+        options[f"parquet.bloom.filter.enabled#{column}"] = "true"
+        options[f"parquet.bloom.filter.expected.ndv#{column}"] = str(LOOKUP_VALUES)
+    return options
 
 
 def _files(spark: SparkSession, path: str):
@@ -107,21 +186,38 @@ def _files(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
-def _parts(spark: SparkSession, path: str) -> list[tuple[str, str, bool]]:
-    """(period, folder, retired) of every part of a table."""
-    unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
-    system, place = _files(spark, f"{path}/period=*/part=*")
+def _parts(spark: SparkSession, path: str, periods: Sequence[str] | None = None) -> list[Part]:
+    """Every part of a table, or of some periods."""
+    util = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    names = ["*"] if periods is None else [util.escapePathName(p) for p in periods]
     found = []
-    for status in system.globStatus(place) or []:
-        folder = status.getPath()
-        period = unescape(folder.getParent().getName().removeprefix("period="))
-        retired = system.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, _RETIRED))
-        found.append((period, folder.toString(), retired))
+    for name in names:
+        system, place = _files(spark, f"{path}/period={name}/part=*")
+        marks = system.globStatus(_files(spark, f"{path}/period={name}/part=*/_*")[1]) or []
+        marked = {(m.getPath().getParent().toString(), m.getPath().getName()) for m in marks}
+        for status in system.globStatus(place) or []:
+            folder = status.getPath()
+            text = folder.toString()
+            found.append(Part(
+                util.unescapePathName(folder.getParent().getName().removeprefix("period=")), text,
+                util.unescapePathName(folder.getName().removeprefix("part=")),
+                (text, _RETIRED) in marked, (text, _COMPLETE) in marked,
+            ))
     return found
 
 
-def _mark_retired(spark: SparkSession, folder: str) -> None:
-    system, place = _files(spark, f"{folder}/{_RETIRED}")
+def _live(spark: SparkSession, path: str, periods: Sequence[str] | None = None) -> list[Part]:
+    """The parts that count: of each period the last complete base and the deltas it has not taken in."""
+    parts = _parts(spark, path, periods)
+    bases: dict[str, Part] = {}
+    for part in parts:
+        if part.is_base and part.complete and part.number > (bases[part.period].number if part.period in bases else 0):
+            bases[part.period] = part
+    return [*bases.values(), *(p for p in parts if not p.is_base and not p.retired)]
+
+
+def _mark(spark: SparkSession, folder: str, marker: str) -> None:
+    system, place = _files(spark, f"{folder}/{marker}")
     system.create(place, True).close()
 
 
@@ -130,13 +226,12 @@ def _delete(spark: SparkSession, folder: str) -> None:
     system.delete(place, True)
 
 
-def _append(rows: DataFrame, table: Table, root: str, part: str) -> None:
+def _write_part(rows: DataFrame, table: Table, root: str, part: str, **options: str) -> None:
     (
         rows.withColumn("part", F.lit(part))
         .select(*table.stored_schema.fieldNames())
-        .hint("rebalance", "period")
         .sortWithinPartitions("period", *table.clustering)
-        .write.mode("append")
+        .write.mode("append").options(**options)
         .partitionBy("period", "part")
         .parquet(table_path(root, table))
     )
@@ -152,18 +247,51 @@ def insert_if_absent(existing: DataFrame, new: DataFrame, key: str) -> DataFrame
     return one_each.join(existing.select(key), key, "left_anti").select(*new.columns)
 
 
+def commit_version(
+    spark: SparkSession, path: str, schema: T.StructType, rows_to_add: Callable[[DataFrame], DataFrame]
+) -> int | None:
+    """Add the rows that ``rows_to_add`` makes of the stored ones as the next version, or not at all.
+
+    The rows are written aside and moved to ``version=n`` by a rename that fails
+    if that name is taken, so of two writers that saw the same rows one is told
+    to look again. Readers see whole versions only. Result: the version, None if
+    there was nothing to add.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    while True:
+        system, place = _files(spark, f"{path}/version=*")
+        taken = [s.getPath() for s in system.globStatus(place) or []]
+        number = 1 + max([0, *(int(p.getName().removeprefix("version=")) for p in taken)])
+        stored = spark.createDataFrame([], schema)
+        if taken:
+            stored = spark.read.schema(schema).parquet(*(p.toString() for p in taken))
+        aside = f"{path}/_aside-{uuid.uuid4().hex}"
+        rows_to_add(stored).write.parquet(aside)
+        try:
+            if spark.read.schema(schema).parquet(aside).isEmpty():
+                return None
+            target = hadoop.Path(f"{path}/version={number}")
+            context = hadoop.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration())
+            strictly = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+            context.rename(hadoop.Path(aside), target, strictly)
+            return number
+        except Py4JJavaError as failure:
+            if "FileAlreadyExists" not in failure.java_exception.getClass().getName():
+                raise
+        finally:
+            _delete(spark, aside)
+
+
 def install_dimensions(
     spark: SparkSession, root: str, teams: DataFrame, campaign: DataFrame
 ) -> None:
     """Store teams that are absent, and put campaign rows in place of their key.
 
-    Campaigns are few, so each is a partition and the upsert is a dynamic
-    overwrite of the partitions written.
+    Two installs at once add a team once. Campaigns are few, so each is a
+    partition and the upsert is a dynamic overwrite of the partitions written.
     """
     teams_path, campaign_path = f"{root.rstrip('/')}/teams", f"{root.rstrip('/')}/campaign"
-    spark.createDataFrame([], TEAMS).write.mode("ignore").parquet(teams_path)
-    stored = spark.read.schema(TEAMS).parquet(teams_path)
-    insert_if_absent(stored, teams, "processor_id").write.mode("append").parquet(teams_path)
+    commit_version(spark, teams_path, TEAMS, lambda stored: insert_if_absent(stored, teams, "processor_id"))
     (
         campaign.select(*CAMPAIGN.fieldNames())
         .write.mode("overwrite")
@@ -171,3 +299,8 @@ def install_dimensions(
         .partitionBy("campaign_id")
         .parquet(campaign_path)
     )
+
+
+def stored_teams(spark: SparkSession, root: str) -> DataFrame:
+    """The teams of all committed versions."""
+    return spark.read.schema(TEAMS).parquet(f"{root.rstrip('/')}/teams").select(*TEAMS.fieldNames())

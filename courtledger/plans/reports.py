@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from courtledger import league, schemas
@@ -51,12 +51,12 @@ class League:
     def _check(self, period: str, teams: str | None = None) -> None:
         check_request(self.spark, self._teams(), self.markers, period, teams)
 
-    def _latest(self, table: schemas.Table) -> DataFrame:
-        return read_latest(self.spark, table, self.root)
+    def _latest(self, table: schemas.Table, period: str) -> DataFrame:
+        return read_latest(self.spark, table, self.root, [period])
 
     def _games(self, period: str) -> DataFrame:
         known = [team for team, _ in self.teams]
-        return scan_games(self._latest(schemas.RESULTS), known, period)
+        return scan_games(self._latest(schemas.RESULTS, period), known, period)
 
     def standing(self, stage: str) -> DataFrame:
         """Season standings or playoff series, by the kind of stage."""
@@ -74,21 +74,21 @@ class League:
         if period is None:
             raise ValueError(f"Invalid parameters: Could not find season for day {day}")
         return results.daily_results(
-            self._latest(schemas.DAILY), self._arenas(), None, day, zone=self.zone, period=period
+            self._latest(schemas.DAILY, period), self._arenas(), None, day, zone=self.zone, period=period
         )
 
     def player_stats(self, name: str, stage: str, team: str) -> DataFrame:
         """A player's games in a stage."""
         self._check(stage, team)
-        return results.player_game_log(self._latest(schemas.PLAYERS), name, stage, team)
+        return results.player_game_log(self._latest(schemas.PLAYERS, stage), name, stage, team)
 
     def points_leaders(self, stage: str, depth: int = leaders.DEFAULT_DEPTH) -> DataFrame:
         self._check(stage)
-        return leaders.points_leaders(scan_lines(self._latest(schemas.LEADERS)), stage, depth)
+        return leaders.points_leaders(scan_lines(self._latest(schemas.LEADERS, stage)), stage, depth)
 
     def rebound_leaders(self, stage: str, depth: int = leaders.DEFAULT_DEPTH) -> DataFrame:
         self._check(stage)
-        return leaders.rebound_leaders(scan_lines(self._latest(schemas.LEADERS)), stage, depth)
+        return leaders.rebound_leaders(scan_lines(self._latest(schemas.LEADERS, stage)), stage, depth)
 
 
 def to_json_rows(report: DataFrame, view: str) -> DataFrame:
@@ -109,6 +109,18 @@ def _shown(report: DataFrame, name: str) -> Column:
     return (report_time(F.col(name)) if is_time else F.col(name)).alias(name)
 
 
-def write_json(report: DataFrame, view: str, path: str) -> None:
-    """Write a report as JSON lines."""
-    to_json_rows(report, view).withColumnRenamed("json", "value").write.mode("overwrite").text(path)
+def sized(report: DataFrame) -> tuple[DataFrame, Observation]:
+    """A report that counts its rows while it runs.
+
+    After the first action on it, ``observation.get["size"]`` is the number of
+    rows that action made: no second run of the report.
+    """
+    size = Observation()
+    return report.observe(size, F.count(F.lit(1)).alias("size")), size
+
+
+def write_json(report: DataFrame, view: str, path: str) -> int:
+    """Write a report as JSON lines; the result is their number, counted while writing."""
+    counted, size = sized(to_json_rows(report, view))
+    counted.withColumnRenamed("json", "value").write.mode("overwrite").text(path)
+    return size.get["size"]

@@ -64,6 +64,8 @@ class Table:
     keys: tuple[str, ...]
     clustering: tuple[str, ...]
     version: tuple[str, ...] = ("event_seq",)
+    #: Columns that reports look single values up in.
+    lookup: tuple[str, ...] = ()
 
     @property
     def columns(self) -> list[str]:
@@ -95,6 +97,7 @@ RESULTS = Table(
     ),
     keys=("period", "team", "date"),
     clustering=("team", "date"),
+    lookup=("team",),
 )
 # The key carries the team, so that namesakes playing at the same instant stay
 # apart.
@@ -111,6 +114,7 @@ PLAYERS = Table(
     keys=("name", "period", "team", "time"),
     clustering=("name", "team", "time"),
     version=_LINE_VERSION,
+    lookup=("name", "team"),
 )
 DAILY = Table(
     "daily_results",

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from courtledger import schemas
 from courtledger.functions.calendar import in_interval
-from courtledger.functions.scalars import event_time
+from courtledger.functions.scalars import event_time, journal_partition
 from courtledger.session import broadcast_if_small
 from courtledger.sources import protobuf
 
@@ -50,18 +50,75 @@ def scan_journal(
     return filter_in_set(rows, "persistence_id", teams)
 
 
-def after_position(journal: DataFrame, positions: DataFrame) -> DataFrame:
+#: Journal rows in one partition of a team's journal, unless told otherwise.
+PARTITION_SIZE = 500_000
+
+
+def write_journal(rows: DataFrame, path: str, partition_size: int = PARTITION_SIZE) -> None:
+    """Append journal rows, laid out by team and journal partition and sorted inside.
+
+    A hot team's rows are spread by their numbers. ``partition_nr`` follows from
+    ``sequence_nr``.
+    """
+    placed = rows.withColumn("partition_nr", journal_partition(F.col("sequence_nr"), partition_size))
+    (
+        placed.select("persistence_id", "partition_nr", "sequence_nr", "event")
+        .repartitionByRange("persistence_id", "sequence_nr")
+        .sortWithinPartitions("persistence_id", "sequence_nr")
+        .write.mode("append").partitionBy("persistence_id", "partition_nr").parquet(path)
+    )
+
+
+def after_position(journal: DataFrame, positions: DataFrame, partition_size: int | None = None) -> DataFrame:
     """Journal rows not yet consumed: ``sequence_nr >= position`` of their team.
 
     ``positions`` is (team, position), one row per team; a team without one
-    starts at 0.
+    starts at 0. With the ``partition_size`` a journal is laid out by, only the
+    unfinished partitions are read: their list, made from the partition columns
+    alone, is joined first, and Spark prunes the scan by it (dynamic partition
+    pruning). The least position reaches the row groups as a constant.
     """
-    known = positions.select(F.col("team").alias("persistence_id"), "position")
-    return (
-        journal.join(broadcast_if_small(known), "persistence_id", "left")
-        .where(F.col("sequence_nr") >= F.coalesce("position", F.lit(0).cast("bigint")))
-        .drop("position")
-    )
+    known = broadcast_if_small(positions.select(F.col("team").alias("persistence_id"), "position"))
+    position = F.coalesce("position", F.lit(0).cast("bigint"))
+    if partition_size is not None:
+        there = unfinished(journal, positions, partition_size).select("persistence_id", "partition_nr").distinct()
+        open_parts = there.join(known, "persistence_id", "left").where(
+            (F.col("partition_nr") + 1) * partition_size > position
+        ).select("persistence_id", "partition_nr", position.alias("_from"))
+        least = open_parts.agg(F.min("_from")).first()[0]
+        if least is None:
+            return journal.where(F.lit(False))
+        return (
+            journal.where(F.col("sequence_nr") >= least)
+            .join(broadcast_if_small(open_parts), ["persistence_id", "partition_nr"])
+            .where(F.col("sequence_nr") >= F.col("_from")).select(*journal.columns)
+        )
+    return journal.join(known, "persistence_id", "left").where(F.col("sequence_nr") >= position).drop("position")
+
+
+#: Teams whose own lower bound becomes part of a filter; beyond it all share the least.
+MOST_BOUNDS = 1_000
+
+
+def unfinished(journal: DataFrame, positions: DataFrame, partition_size: int = PARTITION_SIZE) -> DataFrame:
+    """The journal without the partitions below each team's position, as a filter of constants.
+
+    For streams, whose files no join can prune: the filter holds the partition
+    numbers, grouped by their bound, and so reaches the listing of every
+    micro-batch. Rows of an unfinished partition all remain.
+    """
+    floors = positions.select("team", journal_partition(F.col("position"), partition_size).alias("floor")).where("floor > 0")
+    bounds = floors.limit(MOST_BOUNDS + 1).collect()
+    if not bounds or len(bounds) > MOST_BOUNDS:
+        return journal
+    by_floor: dict[int, list[str]] = {}
+    for team, floor in bounds:
+        by_floor.setdefault(floor, []).append(team)
+    team, number = F.col("persistence_id"), F.col("partition_nr")
+    wanted = ~team.isin([name for name, _ in bounds])
+    for floor, names in sorted(by_floor.items()):
+        wanted = wanted | (team.isin(sorted(names)) & (number >= floor))
+    return journal.where(wanted)
 
 
 def decode(journal: DataFrame, payload: str = "event", payload_format: str = "json") -> DataFrame:

@@ -4,13 +4,14 @@ Each micro-batch is decoded, stripped of bad events and numbered per home team i
 journal order, then written four times. The numbered batch is on the reliable
 checkpoint, so the writes share it and survive lost executors.
 
-Positions are stored with the batch that reached them: the team's last number,
-the next journal number, and the journal number its stream started from. A batch
-that is run again starts from the same positions, so its rows equal their first
-copies. A stream with a fresh checkpoint continues from the positions, or the
-results, in the tables, and passes over the journal rows before them. Rows are
-versioned by their journal number, which no restart changes: the later event of
-a game wins.
+With the batch that reached it the state is stored: each team's last number, and
+the set of journal numbers consumed from each team's journal, as intervals. A
+batch that is run again starts from the same state, so its rows equal their first
+copies. Rows whose journal number is in the set are passed over, whichever stream
+consumed them; what arrives late, below numbers already read, is not in it and is
+stored by any stream that meets it. Without a stored state the set is that of the
+stored results' journal numbers. Rows are versioned by their journal number,
+which no restart changes: the later event of a game wins.
 """
 
 from __future__ import annotations
@@ -28,10 +29,12 @@ from courtledger import schemas
 from courtledger.functions.calendar import Markers, calendar_frame
 from courtledger.league import TIME_ZONE
 from courtledger.operators import events as maps
+from courtledger.operators.numbers import complete_up_to, merged, runs, without
 from courtledger.operators.sequence import resume_positions, running_sequence
-from courtledger.operators.upsert import append_batch, compact, install_tables, read_latest
+from courtledger.operators.upsert import append_batch, compact, install_tables, read_latest, read_table
 from courtledger.session import checkpointed
-from courtledger.sources.journal import after_position, decode, valid_events
+from courtledger.sources import journal_source
+from courtledger.sources.journal import PARTITION_SIZE, decode, unfinished, valid_events
 
 # Fixed value: seconds between micro-batches.
 BATCH_INTERVAL = "15 seconds"
@@ -39,15 +42,27 @@ BATCH_INTERVAL = "15 seconds"
 # Bytes of journal files taken into one batch; what is more waits for the next.
 BATCH_BYTES = 64 << 20
 
-# Positions alternate between two slots: a batch overwrites the one before the
-# last, so the last one survives a failed write and nothing piles up.
-POSITION_SLOTS = 2
-POSITIONS = schemas.struct(
-    "team string, position bigint, next_nr bigint, start_nr bigint, "
-    "query string, batch_id bigint, step bigint, slot int"
+# Journal numbers taken into one batch of the journal source.
+BATCH_ROWS = 500_000
+
+# The state alternates between two slots: a batch overwrites the one before the
+# last, so the last one survives a failed write and nothing piles up. One write
+# holds both kinds of rows: (team, position), and (team, lo, hi) of consumed numbers.
+STATE_SLOTS = 2
+STATE = schemas.struct(
+    "team string, position bigint, lo bigint, hi bigint, query string, batch_id bigint, step bigint, slot int"
 )
 
 
+@dataclass(frozen=True)
+class State:
+    """What is known before a batch: positions (team, position), consumed (team, lo, hi), and its number."""
+
+    positions: DataFrame
+    consumed: DataFrame
+    step: int
+
+
 @dataclass(frozen=True)
 class Ingestion:
     """Where the job reads and writes.
@@ -68,8 +83,8 @@ class Ingestion:
     checkpoint: str | None = None
 
     @property
-    def positions_path(self) -> str:
-        return f"{self.root.rstrip('/')}/positions"
+    def state_path(self) -> str:
+        return f"{self.root.rstrip('/')}/state"
 
     @property
     def checkpoint_path(self) -> str:
@@ -77,40 +92,32 @@ class Ingestion:
 
     def install(self, spark: SparkSession) -> None:
         install_tables(spark, self.root)
-        spark.createDataFrame([], POSITIONS).write.mode("ignore").partitionBy("slot").parquet(
-            self.positions_path
-        )
-
-    def positions_before(self, spark: SparkSession, batch_id: int, query: str = "") -> DataFrame:
-        """(team, position, next_nr, start_nr, step) before a batch of a stream.
+        spark.createDataFrame([], STATE).write.mode("ignore").partitionBy("slot").parquet(self.state_path)
 
-        The newest that another batch stored; at first, from the stored results,
-        where the last number of a team is also its place in the journal.
-        """
-        stored = spark.read.schema(POSITIONS).parquet(self.positions_path).where(
+    def state_before(self, spark: SparkSession, batch_id: int, query: str = "") -> State:
+        """The newest state that another batch stored; at first, that of the stored results."""
+        stored = spark.read.schema(STATE).parquet(self.state_path).where(
             ~((F.col("query") == query) & (F.col("batch_id") >= batch_id))
         )
-        newest = stored.agg(F.max(F.struct("step", "query"))).first()[0]
-        if newest is not None:
-            same_stream = newest["query"] == query
-            start = F.col("start_nr") if same_stream else F.col("next_nr")
-            return stored.where(F.col("step") == newest["step"]).select(
-                "team", "position", "next_nr", start.alias("start_nr"), "step"
+        step = stored.agg(F.max("step")).first()[0]
+        if step is not None:
+            newest = stored.where(F.col("step") == step)
+            return State(
+                newest.where(F.col("position").isNotNull()).select("team", "position"),
+                newest.where(F.col("lo").isNotNull()).select("team", "lo", "hi"), step,
             )
         results = read_latest(spark, schemas.RESULTS, self.root)
         periods = calendar_frame(spark, self.markers, self.zone)
-        found = resume_positions(results, results.select("team").distinct(), periods)
-        return found.select(
-            "team", "position", F.col("position").alias("next_nr"),
-            F.col("position").alias("start_nr"), F.lit(0).cast("bigint").alias("step"),
-        )
+        positions = resume_positions(results, results.select("team").distinct(), periods)
+        return State(positions, runs(read_table(spark, schemas.RESULTS, self.root), "team", "event_seq").select("team", "lo", "hi"), 0)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """One micro-batch; running it again changes no latest view."""
         spark = batch.sparkSession
         query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
-        before = self.positions_before(spark, batch_id, query)
-        fresh = after_position(batch, before.select("team", F.col("start_nr").alias("position")))
+        before = self.state_before(spark, batch_id, query)
+        consumed = before.consumed.withColumnRenamed("team", "persistence_id")
+        fresh = without(batch, consumed, "persistence_id", "sequence_nr")
         result = F.col("event.result")
         events = valid_events(decode(fresh, payload_format=self.payload_format)).select(
             result["homeTeam"].alias("home_team"),
@@ -120,7 +127,7 @@ class Ingestion:
         )
         numbered = running_sequence(
             events, "home_team", ["sequence_nr"],
-            positions=before.select("team", "position"), costly_input=True, partitions=self.partitions,
+            positions=before.positions, costly_input=True, partitions=self.partitions,
         )
         rows = maps.event_frame(numbered, self.markers, self.zone).withColumn(
             "event_seq", F.col("sequence_nr")
@@ -135,39 +142,47 @@ class Ingestion:
         append = inheritable_thread_target(spark)(append_batch)
         with ThreadPoolExecutor(len(outputs)) as pool:
             writes = [
-                pool.submit(append, output, table, self.root, batch_id)
+                pool.submit(append, output, table, self.root, batch_id, query)
                 for table, output in outputs
             ]
         for write in writes:
             write.result()
-        self._store_positions(before, numbered, batch_id, query)
+        self._store_state(before, batch, numbered, batch_id, query)
         if self.compact_every and (batch_id + 1) % self.compact_every == 0:
             for table in schemas.TABLES:
                 compact(spark, table, self.root)
 
-    def _store_positions(
-        self, before: DataFrame, numbered: DataFrame, batch_id: int, query: str
+    def _store_state(
+        self, before: State, batch: DataFrame, numbered: DataFrame, batch_id: int, query: str
     ) -> None:
-        """All teams' positions after the batch, replacing those of an earlier try."""
-        step = (before.agg(F.max("step")).first()[0] or 0) + 1
-        reached = numbered.groupBy(F.col("home_team").alias("team")).agg(
-            F.max("seq_number").alias("position"), (F.max("sequence_nr") + 1).alias("next_nr")
-        ).withColumn("start_nr", F.lit(0).cast("bigint"))
-        after = before.drop("step").unionByName(reached).groupBy("team").agg(
-            *(F.max(c).alias(c) for c in ("position", "next_nr", "start_nr"))
-        )
-        stored = after.withColumns({
+        """The state after the batch, replacing that of an earlier try."""
+        step = before.step + 1
+        reached = numbered.groupBy(F.col("home_team").alias("team")).agg(F.max("seq_number").alias("position"))
+        positions = before.positions.unionByName(reached).groupBy("team").agg(F.max("position").alias("position"))
+        read = runs(batch, "persistence_id", "sequence_nr").withColumnRenamed("persistence_id", "team")
+        consumed = merged(before.consumed.unionByName(read), "team")
+        nothing = F.lit(None).cast("bigint")
+        stored = positions.withColumns({"lo": nothing, "hi": nothing}).unionByName(
+            consumed.withColumn("position", nothing)
+        ).withColumns({
             "query": F.lit(query), "batch_id": F.lit(batch_id).cast("bigint"),
-            "step": F.lit(step).cast("bigint"), "slot": F.lit(step % POSITION_SLOTS),
+            "step": F.lit(step).cast("bigint"), "slot": F.lit(step % STATE_SLOTS),
         })
         (
             checkpointed(stored.coalesce(1))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("slot")
-            .parquet(self.positions_path)
+            .parquet(self.state_path)
         )
 
+    def unread(self, journal: DataFrame) -> DataFrame:
+        """A journal, or a stream of it, without the partitions that are wholly consumed."""
+        spark = journal.sparkSession
+        self.install(spark)
+        consumed = self.state_before(spark, 0).consumed
+        return unfinished(journal, complete_up_to(consumed, "team"))
+
     def start(
         self, journal: DataFrame, available_now: bool = False, interval: str = BATCH_INTERVAL
     ) -> StreamingQuery:
@@ -196,3 +211,24 @@ def read_journal_stream(
     reader = spark.readStream.schema(schema)
     bound = {"maxBytesPerTrigger": max_bytes} if max_files is None else {"maxFilesPerTrigger": max_files}
     return reader.options(**bound).parquet(path)
+
+
+def read_journal_source(
+    spark: SparkSession,
+    path: str,
+    partition_size: int = PARTITION_SIZE,
+    max_rows: int = BATCH_ROWS,
+    progress: str | None = None,
+    gaps: str = "wait",
+) -> DataFrame:
+    """A journal laid out by team and partition as a stream with offsets per team.
+
+    Every team comes in the order of its numbers, and finished partitions are
+    neither listed nor read. With ``progress``, a folder of the query's own, a batch
+    takes at most ``max_rows`` numbers; without it, all that are there.
+    """
+    journal_source.register(spark)
+    reader = spark.readStream.format(journal_source.NAME).option("partitionSize", partition_size).option("gaps", gaps)
+    if progress is not None:
+        reader = reader.option("progress", progress).option("maxRowsPerTrigger", max_rows)
+    return reader.load(path)
