@@ -138,7 +138,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = END_ID)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4")
-        with encoder(path) as enc:
+        with encoder(path, keep=True) as enc:
             for batch in batches:
                 for part in slices(batch):
                     texts = part.column("text").cast(pa.large_binary()).to_pylist()

@@ -112,6 +112,10 @@ class WordBpe:
             piece = "".join(map(self.letters.__getitem__, piece.encode()))
         return b"".join([self.as_bytes[t.id] for t in self.model.tokenize(piece)])
 
+    def forget(self) -> None:
+        self.words.clear()
+        self.words.old, self.words.held = {}, 0
+
     def ids(self, raw: bytes) -> np.ndarray:
         """Ids of a whole text given as UTF-8."""
         if raw.isascii() and b"<|" not in raw:
@@ -191,15 +195,24 @@ def _shared(text: str, ids, starts, ends, side: Node, low: int, high: int) -> in
     return None
 
 
+_kept: dict[str, WordBpe] = {}
+
+
 @contextmanager
-def encoder(path: str) -> Iterator[WordBpe]:
-    """An encoder for one task; its memory is given back when the task ends."""
-    made = WordBpe(path)
+def encoder(path: str, keep: bool = False) -> Iterator[WordBpe]:
+    """An encoder for one task; its memory is given back when the task ends.
+
+    With ``keep`` the next task of this Python worker finds it with its words.
+    """
+    made = _kept.pop(path, None) or WordBpe(path)
+    if keep:
+        _kept[path] = made
     try:
         yield made
     finally:
-        made.words.clear()
-        give_back()
+        if not keep:
+            made.forget()
+            give_back()
 
 
 def _digests(enc: WordBpe, ids: np.ndarray) -> tuple[int, str, str]:
