@@ -358,7 +358,7 @@ def journal_pruned_restart(spark, folder):
     """The same from a journal laid out by team and partition, of which only unfinished partitions are read."""
     root = fresh_folder(spark, "journal")
     _laid_out(spark, folder, root)
-    rows = spark.read.schema(schemas.JOURNAL).parquet(f"{root}/journal")
+    rows = journal.read_journal(spark, f"{root}/journal")
     # Two thirds of every team's numbers are finished.
     positions = rows.groupBy(F.col("persistence_id").alias("team")).agg(
         F.call_function("div", (F.max("sequence_nr") + 1) * 2, F.lit(3).cast("bigint")).alias("position")

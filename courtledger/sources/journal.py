@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from courtledger import schemas
 from courtledger.functions.calendar import in_interval
 from courtledger.functions.scalars import event_time, journal_partition
+from courtledger.schemas import JOURNAL
 from courtledger.session import broadcast_if_small
 from courtledger.sources import protobuf
 
@@ -69,6 +70,11 @@ def write_journal(rows: DataFrame, path: str, partition_size: int = PARTITION_SI
     )
 
 
+def read_journal(spark: SparkSession, path: str) -> DataFrame:
+    """A journal folder in batch, laid out or not."""
+    return spark.read.schema(JOURNAL).parquet(path).select(*JOURNAL.fieldNames())
+
+
 def after_position(journal: DataFrame, positions: DataFrame, partition_size: int | None = None) -> DataFrame:
     """Journal rows not yet consumed: ``sequence_nr >= position`` of their team.
 
@@ -93,7 +99,8 @@ def after_position(journal: DataFrame, positions: DataFrame, partition_size: int
             .join(broadcast_if_small(open_parts), ["persistence_id", "partition_nr"])
             .where(F.col("sequence_nr") >= F.col("_from")).select(*journal.columns)
         )
-    return journal.join(known, "persistence_id", "left").where(F.col("sequence_nr") >= position).drop("position")
+    rows = journal.join(known, "persistence_id", "left").where(F.col("sequence_nr") >= position)
+    return rows.select(*journal.columns)
 
 
 #: Teams whose own lower bound becomes part of a filter; beyond it all share the least.

@@ -65,3 +65,22 @@ def test_unknown_period_and_long_calendars(spark):
     got = rows.select(calendar.period_column(F.col("ts"), many).alias("p")).collect()
     # At noon of a marker's day the period before it is still open.
     assert [r.p for r in got] == ["unknown", *(str(n) for n in range(400))]
+
+
+def test_overlapping_intervals_give_the_first(spark):
+    rows = [
+        (0, "long", utc("2016-01-01"), utc("2016-03-01")), (1, "inner", utc("2016-01-10"), utc("2016-01-20")),
+        (2, "late", utc("2016-02-01"), utc("2016-04-01")), (2, "twin", utc("2016-03-15"), utc("2016-04-01")), (3, "empty", utc("2016-05-01"), utc("2016-05-01")),
+        (4, "early", utc("2015-12-01"), utc("2016-01-05")),
+    ]
+    table = spark.createDataFrame(rows, "ord int, period string, start_ts timestamp, end_ts timestamp")
+    pieces = calendar.segments(table).orderBy("start_us").collect()
+    assert all(a.end_us <= b.start_us for a, b in zip(pieces, pieces[1:]))
+    moments = [utc(f"2016-{m:02d}-{d:02d}") for m in range(1, 6) for d in range(1, 29)] + [utc("2015-12-01"), utc("2015-12-15"), utc("1969-12-31 23:59:59")]
+    events = spark.createDataFrame([(n, ts) for n, ts in enumerate(moments)] + [(-1, None)], "n int, ts timestamp")
+    got = dict(tuples(calendar.assign_period(events, table, "ts").select("n", "period")))
+    assert len(got) == events.count()
+    for n, ts in enumerate(moments):
+        first = [p for _, p, a, b in sorted(rows, key=lambda r: (r[0], r[2])) if a < ts < b]
+        assert got[n] == (first[0] if first else "unknown"), ts
+    assert got[-1] == "unknown"

@@ -96,7 +96,7 @@ def test_json_rows(stored, tmp_path, spark):
     assert list(json.loads(log[0]))[:3] == ["VS", "DT", "MIN"]
     (best,) = rows(stored.points_leaders("season-12-13", 1), "points")
     assert best == '{"team":"cle","player":"K. Durant","pts":23.0,"games":2}'
-    write_json(stored.daily("2012-11-02"), "daily", str(tmp_path / "out"))
+    assert write_json(stored.daily("2012-11-02"), "daily", str(tmp_path / "out")) == stored.daily("2012-11-02").count()
     (line,) = spark.read.text(str(tmp_path / "out")).collect()
     assert list(json.loads(line.value)) == ["lineup", "score", "time", "arena"]
 

@@ -1,12 +1,14 @@
 import pytest
-from helpers import tuples
+from helpers import scans, tuples
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from sample_game import MILLIS, payload
 
 from courtledger import schemas
 from courtledger.league import STAGE_MARKERS
-from courtledger.operators.upsert import read_latest, read_table
+from courtledger.operators.numbers import complete_up_to
+from courtledger.operators.upsert import compact, read_latest, read_table
+from courtledger.sources.journal import read_journal, unfinished, write_journal
 from courtledger.streaming.ingest import Ingestion, read_journal_stream
 
 HOUR = 3_600_000
@@ -32,6 +34,12 @@ def _numbers(spark, job):
     return sorted(tuples(rows.select("team", "opponent", "seq_number")))
 
 
+def _state(spark, job):
+    """Positions and consumed numbers as another stream would find them."""
+    state = job.state_before(spark, 0, "another stream")
+    return sorted(tuples(state.positions)), sorted(tuples(state.consumed))
+
+
 FIRST = [
     ("okc", 0, payload("okc", "por", MILLIS)),
     ("okc", 1, payload("okc", "cle", MILLIS + 24 * HOUR)),
@@ -67,14 +75,13 @@ def test_stream_restart_and_replay(spark, place):
     before = {t.name: sorted(map(str, tuples(read_latest(spark, t, job.root)))) for t in schemas.TABLES}
     full = [(team, 0, n, text) for team, n, text in SECOND]
     again = spark.createDataFrame(full, schemas.JOURNAL)
-    query = job.positions_before(spark, 2, "other").sparkSession.read.parquet(job.positions_path)
+    query = spark.read.parquet(job.state_path)
     spark.sparkContext.setLocalProperty("sql.streaming.queryId", query.orderBy("step").tail(1)[0]["query"])
     job.process(again, 1)                    # as after a crash before the commit
     spark.sparkContext.setLocalProperty("sql.streaming.queryId", None)
     after = {t.name: sorted(map(str, tuples(read_latest(spark, t, job.root)))) for t in schemas.TABLES}
     assert before == after
-    reached = job.positions_before(spark, 0, "another stream").select("team", "position", "start_nr")
-    assert sorted(tuples(reached)) == [("cle", 1, 1), ("mia", 1, 1), ("okc", 4, 4)]
+    assert _state(spark, job) == ([("cle", 1), ("mia", 1), ("okc", 4)], [("cle", 0, 2), ("mia", 0, 1), ("okc", 0, 4)])
 
 
 def test_four_tables_from_one_batch(spark, place):
@@ -131,12 +138,83 @@ def test_positions_come_from_stored_results(spark, place, tmp_path):
         read_table(spark, table, job.root).write.mode("append").partitionBy("period", "part").parquet(
             f"{root}/{table.name}"
         )
-    got = bare.positions_before(spark, 0).select("team", "position", "start_nr")
-    assert sorted(tuples(got)) == [("cle", 1, 1), ("okc", 2, 2)]
+    assert _state(spark, bare) == ([("cle", 1), ("okc", 2)], [("cle", 0, 1), ("okc", 0, 2)])
     _run(spark, folder, bare)
     assert _numbers(spark, bare) == [("cle", "okc", 1), ("okc", "cle", 2), ("okc", "por", 1)]
 
 
+def _copy_of_results(spark, job, root):
+    """A job that has another's tables but not its state."""
+    bare = Ingestion(root, job.markers)
+    bare.install(spark)
+    for table in schemas.TABLES:
+        read_table(spark, table, job.root).write.mode("append").partitionBy("period", "part").parquet(f"{root}/{table.name}")
+    return bare
+
+
+def test_results_alone_tell_places_not_numbers(spark, place, tmp_path):
+    """Journal 0 good, 1 undecodable, 2 good: the last number is 2, but three places are read."""
+    folder, job = place
+    _write(spark, folder, [("okc", 0, FIRST[0][2]), ("okc", 1, "broken"), ("okc", 2, FIRST[1][2])])
+    _run(spark, folder, job)
+    bare = _copy_of_results(spark, job, str(tmp_path / "copy"))
+    assert _state(spark, bare) == ([("okc", 2)], [("okc", 0, 1), ("okc", 2, 3)])
+    _run(spark, folder, bare)
+    rows = read_table(spark, schemas.RESULTS, bare.root).select("event_seq", "seq_number")
+    assert sorted(tuples(rows)) == [(0, 1), (2, 2)]
+    assert _state(spark, bare)[1] == [("okc", 0, 3)]
+
+
+def test_late_rows_are_stored_by_a_fresh_stream(spark, place, tmp_path):
+    """Rows 5 and 6 are read; then 0 to 4 arrive and a stream with a fresh checkpoint meets all."""
+    folder, job = place
+    game = lambda n: ("okc", n, payload("okc", "por", MILLIS + n * HOUR))
+    _write(spark, folder, [game(n) for n in (5, 6)])
+    _run(spark, folder, job)
+    assert _state(spark, job)[1] == [("okc", 5, 7)]
+    _write(spark, folder, [game(n) for n in range(5)])
+    fresh = Ingestion(job.root, job.markers, checkpoint=str(tmp_path / "fresh"))
+    _run(spark, folder, fresh)
+    rows = read_table(spark, schemas.RESULTS, job.root).select("event_seq", "seq_number")
+    assert sorted(tuples(rows)) == [(0, 3), (1, 4), (2, 5), (3, 6), (4, 7), (5, 1), (6, 2)]
+    assert _state(spark, job) == ([("okc", 7)], [("okc", 0, 7)])
+
+
+def test_rows_delivered_twice_by_one_stream_are_stored_once(spark, place):
+    folder, job = place
+    _write(spark, folder, FIRST)
+    _run(spark, folder, job)
+    _write(spark, folder, FIRST[:2])                  # the same rows in another file
+    _run(spark, folder, job)
+    assert read_table(spark, schemas.RESULTS, job.root).count() == 3
+
+
+def test_two_streams_with_equal_batch_numbers_keep_their_rows(spark, place, tmp_path):
+    folder, job = place
+    _write(spark, folder, FIRST)
+    _run(spark, folder, job)
+    compact(spark, schemas.RESULTS, job.root)         # batch 0 of the first stream is retired
+    _write(spark, folder, SECOND)
+    fresh = Ingestion(job.root, job.markers, checkpoint=str(tmp_path / "fresh"))
+    _run(spark, folder, fresh)                        # its batch is number 0 too
+    compact(spark, schemas.RESULTS, job.root)
+    compact(spark, schemas.RESULTS, job.root)
+    assert _numbers(spark, job) == [
+        ("cle", "okc", 1), ("mia", "okc", 1), ("okc", "cle", 2), ("okc", "mia", 3), ("okc", "por", 4),
+    ]
+
+
+def test_a_fresh_stream_lists_no_finished_partition(spark, tmp_path):
+    folder, job = str(tmp_path / "journal"), Ingestion(str(tmp_path / "tables"), STAGE_MARKERS)
+    rows = [(team, 0, n, payload(team, "por", MILLIS + n * HOUR)) for team in ("okc", "cle") for n in range(12)]
+    write_journal(spark.createDataFrame(rows, schemas.JOURNAL), folder, 5)
+    _run(spark, folder, job)
+    journal = read_journal(spark, folder)
+    kept = unfinished(journal, complete_up_to(job.state_before(spark, 0).consumed, "team"), 5)
+    assert scans(kept)[0]["files"] == 2 and kept.count() == 4      # partition 2 of both teams
+    assert job.unread(journal).count() == 24                       # one partition of the usual size
+
+
 def test_numbers_follow_the_journal_not_the_clock(spark, place):
     folder, job = place
     _write(spark, folder, [
