@@ -36,7 +36,10 @@ SIBLINGS = {
 }
 SCOPES = frozenset("ul ol dl table select body html".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
+# A tag with a quote that is never closed ends at the next ``>`` all the same; an inline one opens nothing.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)(?:>|\Z)|<[!?][^>]*>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -68,6 +71,34 @@ def parse(page: str) -> list[Node]:
     inline: list[str] = []
     block: int | None = None
     at, end = 0, len(page)
+    opened: Counter = Counter()  # block elements on the stack, by tag
+    within: Counter = Counter()  # inline elements that are open, by tag
+    never_closed: set[str] = set()
+
+    def leave(depth: int) -> None:
+        """Close the block elements from a depth of the stack on."""
+        for k in stack[depth:]:
+            opened[nodes[k].tag] -= 1
+        del stack[depth:]
+
+    def leave_one(tag: str) -> None:
+        """Close the innermost open element of a tag and all inside it."""
+        depth = len(stack) - 1
+        while nodes[stack[depth]].tag != tag:
+            depth -= 1
+        leave(depth)
+
+    def after_close(tag: str, nested: bool) -> int | None:
+        """Where an element whose contents are not read ends; None if it is never closed."""
+        if tag in never_closed:
+            return None
+        depth = 1
+        for edge in re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*>", re.I).finditer(page, at):
+            depth += -1 if edge.group(1) else nested
+            if depth == 0:
+                return edge.end()
+        never_closed.add(tag)
+        return None
 
     def text_to(words: str) -> None:
         nonlocal block
@@ -78,58 +109,61 @@ def parse(page: str) -> list[Node]:
             nodes[stack[-1]].children += 1
             nodes.append(Node(stack[-1], "text", []))
         nodes[block].text.append(words)
-        if "a" in inline:
+        if within["a"] > 0:
             nodes[block].link += len(words.strip())
 
     while at < end:
         m = TOKEN.match(page, at)
         at = m.end()
-        closing, tag, attributes = m.group(1), m.group(2), m.group(3)
+        closing, tag, attributes = (m["end"], m["tag"], m["rest"]) if m["tag"] else (m["end2"], m["tag2"], m["rest2"])
         if tag is None:
             piece = m.group(0)
             if piece[0] != "<" or len(piece) == 1:
                 text_to(html.unescape(piece) if "&" in piece else piece)
             continue
         tag = tag.lower()
-        if tag in RAW:
+        if tag in HIDDEN:
             if not closing and not attributes.rstrip().endswith("/"):
-                close = re.compile(f"</{tag}[^>]*>", re.I).search(page, at)
-                at = close.end() if close else (end if tag in ("script", "style", "textarea", "title") else at)
+                close = after_close(tag, tag not in RAW)
+                at = close if close is not None else (end if tag in ("script", "style", "textarea", "title") else at)
             continue
         if tag == "br":
             text_to("\n") if block is not None else None
             continue
         if tag in INLINE:
             if closing:
-                if tag in inline:
-                    del inline[len(inline) - 1 - inline[::-1].index(tag):]
-            elif tag not in VOID:
+                while within[tag] > 0:
+                    within[last := inline.pop()] -= 1
+                    if last == tag:
+                        break
+            elif tag not in VOID and m["tag"]:
                 inline.append(tag)
+                within[tag] += 1
             continue
         block = None
         if closing:
-            if any(nodes[k].tag == tag for k in stack[1:]):
-                while nodes[stack.pop()].tag != tag:
-                    pass
+            if opened[tag] > 0:
+                leave_one(tag)
                 inline.clear()
+                within.clear()
             continue
-        if tag in CLOSES_P and any(nodes[k].tag == "p" for k in stack):
-            while nodes[stack.pop()].tag != "p":
-                pass
-        for k in range(len(stack) - 1, 0, -1):
-            name = nodes[stack[k]].tag
-            if name in SIBLINGS.get(tag, ()):
-                del stack[k:]
-                break
-            if name in SCOPES and name not in ("table",):
-                break
-        if tag in VOID or tag == "body" and any(nodes[k].tag == "body" for k in stack):
+        if tag in CLOSES_P and opened["p"] > 0:
+            leave_one("p")
+        if any(opened[name] > 0 for name in SIBLINGS.get(tag, ())):
+            for k in range(len(stack) - 1, 0, -1):
+                name = nodes[stack[k]].tag
+                if name in SIBLINGS[tag]:
+                    leave(k)
+                    break
+                if name in SCOPES and name not in ("table",):
+                    break
+        if tag in VOID or tag == "body" and opened["body"] > 0:
             continue
         nodes[stack[-1]].children += 1
         nodes.append(Node(stack[-1], tag, _features(tag, attributes)))
-        stack.append(len(nodes) - 1)
-        if attributes.endswith("/") and tag not in CLOSES_P:
-            stack.pop()
+        if not attributes.endswith("/") or tag in CLOSES_P:
+            stack.append(len(nodes) - 1)
+            opened[tag] += 1
     return nodes
 
 

@@ -160,11 +160,50 @@ def test_pages_of_the_sample(spark):
     ("<header><a href=/>Home</a></header><div class=post><header><h1>T</h1></header><p>x<br>y</p><div class=comments><p>I like it</p></div></div><form><p>Name</p></form>", "T\n\nx y"),
     ("<article><p>x</p><script>var t='</p>';</script><aside>no</aside><p>y &lt;b&gt;</p></article><div class='cookie-notice'>We use</div>", "x\n\ny <b>"),
     ("<!-- <p>hidden</p> --><main><h1>A</h1>loose<p>b</p></main><footer>c", "A\n\nloose\n\nb"),
+    ("<article><p>Text of it</p><button>Share <b>now</b></button><p>and on</p></article>", "Text of it\n\nand on"),
+    ("<article><p>a b</p><select><option>One<option>Two</select><object>old <object>x</object> page</object><video src=v>No video</video><p>c</p></article>", "a b\n\nc"),
+    ("<article><p>a <button>never closed</p><p>b</p></article>", "a never closed\n\nb"),
+    ('<article><p>He said <a title="x>y and more</p><p>z</p></article>', "He said y and more\n\nz"),
+    ("<article><p>1 < 2 and <a href='", "1 < 2 and"),
 ])
 def test_page_shapes(page, text):
     assert main_text(page, trained()) == text
 
 
+def test_marginals_are_those_of_every_assignment():
+    """All marks of a small tree, weighted by the model's potentials."""
+    import itertools
+
+    from courtledger.llm.dom_content import _describe, _kind, parse
+
+    model = trained()
+    page = "<nav><a>x</a></nav><div class='post body'><h1>T</h1><p>some words</p></div><aside>y</aside><footer>c"
+    nodes = parse(page)
+    looks, _ = _describe(nodes)
+    assert 8 <= len(nodes) <= 14
+    odds = [np.exp(np.clip(sum(model.look.get(f, 0.0) for f in features), -8, 8)) for features in looks]
+    total = np.zeros((len(nodes), 2))
+    for marks in itertools.product((0, 1), repeat=len(nodes)):
+        weight = (0.99, 0.01)[marks[0]]
+        for k, mark in enumerate(marks):
+            weight *= odds[k] ** mark
+            if k:
+                weight *= model.pair.get(_kind(nodes, nodes[k]), model.any_pair)[marks[nodes[k].parent]][mark]
+        for k, mark in enumerate(marks):
+            total[k, mark] += weight
+    assert np.allclose(model.marginals(nodes, looks), total[:, 1] / total.sum(axis=1), atol=1e-9)
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    import time
+
+    model = trained()
+    begun = time.monotonic()
+    for page in ("<div>" * 100_000 + "deep", "<ul><li>" * 50_000 + "x", "<button>" * 50_000 + "<p>end", "<p>" * 100_000, "<b>x</div></p>" * 50_000):
+        main_text(page, model)
+    assert time.monotonic() - begun < 60
+
+
 def test_marginals_on_pages_left_out():
     model, right, n = trained(), 0, 0
     for page in labelled_pages(60, seed=2):
