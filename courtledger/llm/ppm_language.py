@@ -6,14 +6,20 @@ followed. A byte unseen in its longest context escapes to the next shorter one
 excluded), and at last to all bytes alike. The statistics are frozen, so the cost
 in bits of a byte after a context is a table, and the code length of a text under
 a language is the sum of its bytes' costs. The shortest code wins.
+
+Each language has a tree of its own, which no other language changes. Languages
+are scored in blocks whose tables fit a bound; with several blocks the documents
+pass through one after the other, and the best code so far and the weight of the
+others go with them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,9 +29,8 @@ from courtledger.session import fresh_folder
 ORDER = 3
 SAMPLE_DOCS = 1_000  # labelled documents per language, whole texts
 PARTS = 64
-MIN_CONTEXT = 16  # a context seen less often is not a node of its own
-MAX_NODES = 8_192
-TABLE_BYTES = 64 << 20  # bound of the broadcast cost table; many languages get fewer nodes
+MIN_CONTEXT = 16  # a longer context seen less often in a language is no node of its tree
+TABLE_BYTES = 64 << 20  # of a block of languages; one language may take more, as its sample allows
 START = 10  # every text begins after line feeds
 UNKNOWN = "und"
 
@@ -59,57 +64,65 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ], ["lang", "depth", "context", "byte", "n"])
 
 
+class Tree:
+    """A language's contexts, and the cost of each byte after each."""
+
+    def __init__(self, nodes: list[tuple[int, int]], counts: np.ndarray):
+        """nodes: (depth, context), shorter first, the root first of all, with every node's suffixes; counts: node, byte."""
+        self.number = {node: k for k, node in enumerate(nodes)}
+        parents = np.array([self.number[shorter(node)] if node[0] else -1 for node in nodes])
+        own = counts.astype(np.float64)
+        offered = np.zeros(own.shape, bool)
+        chance, escape = np.zeros(own.shape), np.ones(len(nodes))
+        at = np.arange(len(nodes))  # the context each node has come down to
+        live = np.ones(len(nodes), bool)
+        while live.any():
+            seen = np.where(offered, 0, own[at])
+            seen[~live] = 0
+            kinds, total = (seen > 0).sum(axis=1), seen.sum(axis=1)
+            some = kinds > 0
+            share = np.where(some, escape / np.maximum(total + kinds, 1), 0)
+            chance += share[:, None] * seen
+            escape = np.where(some, escape * kinds / np.maximum(total + kinds, 1), escape)
+            offered |= seen > 0
+            up = parents[at]
+            live &= up >= 0
+            at = np.where(up >= 0, up, at)
+        rest = (~offered).sum(axis=1)
+        chance = np.where(offered, chance, (escape / np.maximum(rest, 1))[:, None])
+        self.cost = -np.log2(np.maximum(chance, 1e-12)).astype(np.float32)
+
+
+def shorter(node: tuple[int, int]) -> tuple[int, int]:
+    """A context without its first byte."""
+    depth, context = node
+    return depth - 1, context & ((1 << 8 * (depth - 1)) - 1)
+
+
 class Model:
-    """Languages, the tree's contexts, and the cost of each byte after each."""
-
-    def __init__(self, languages: list[str], nodes: list[tuple[int, int]], counts: np.ndarray):
-        """nodes: (depth, context), shorter first, the root first of all; counts: node, byte, language."""
-        self.languages, self.nodes = languages, nodes
-        number = {node: k for k, node in enumerate(nodes)}
-        cost = np.empty(counts.shape, np.float32)
-        parents = [self._parent(number, *node) for node in nodes]
-        for lang in range(len(languages)):
-            own = counts[:, :, lang].astype(np.float64)
-            offered = np.zeros(own.shape, bool)
-            chance, escape = np.zeros(own.shape), np.ones(len(nodes))
-            at = np.arange(len(nodes))  # the context each node has come down to
-            live = np.ones(len(nodes), bool)
-            while live.any():
-                seen = np.where(offered, 0, own[at])
-                seen[~live] = 0
-                kinds, total = (seen > 0).sum(axis=1), seen.sum(axis=1)
-                some = kinds > 0
-                share = np.where(some, escape / np.maximum(total + kinds, 1), 0)
-                chance += share[:, None] * seen
-                escape = np.where(some, escape * kinds / np.maximum(total + kinds, 1), escape)
-                offered |= seen > 0
-                up = np.array([parents[k] for k in at])
-                live &= up >= 0
-                at = np.where(up >= 0, up, at)
-            rest = (~offered).sum(axis=1)
-            chance = np.where(offered, chance, (escape / np.maximum(rest, 1))[:, None])
-            cost[:, :, lang] = -np.log2(np.maximum(chance, 1e-12))
-        self.cost = cost.reshape(-1, len(languages))
-
-    @staticmethod
-    def _parent(number: dict, depth: int, context: int) -> int:
-        while depth:
-            depth -= 1
-            context &= (1 << 8 * depth) - 1
-            if (depth, context) in number:
-                return number[depth, context]
-        return -1
+    """The trees of a block of languages, and where any context leads in each."""
+
+    def __init__(self, trees: dict[str, Tree]):
+        self.languages, self.costs = list(trees), [t.cost.ravel() for t in trees.values()]
+        self.nodes = sorted(set().union(*(t.number for t in trees.values())))
+        place = {node: k for k, node in enumerate(self.nodes)}
+        #: For every context of any tree its longest suffix in each.
+        self.longest = np.zeros((len(trees), len(self.nodes)), np.int32)
+        for row, tree in zip(self.longest, trees.values(), strict=True):
+            for k, node in enumerate(self.nodes):
+                row[k] = tree.number[node] if node in tree.number else row[place[shorter(node)]]
 
     def index(self) -> np.ndarray:
-        """The longest node of every context of ORDER bytes."""
+        """The longest context of any tree for every ORDER bytes."""
         by_depth: list[list[tuple[int, int]]] = [[] for _ in range(ORDER + 1)]
         for k, (depth, context) in enumerate(self.nodes):
             by_depth[depth].append((context, k))
-        table = np.zeros(1, np.int16)
+        table = np.zeros(1, np.uint16 if len(self.nodes) <= 1 << 16 else np.int32)
         for depth in range(1, ORDER + 1):
             table = np.tile(table, 256)
-            for context, k in by_depth[depth]:
-                table[context] = k
+            if by_depth[depth]:
+                contexts, numbers = zip(*by_depth[depth], strict=True)
+                table[list(contexts)] = numbers
         return table
 
     def lengths(self, index: np.ndarray, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -118,13 +131,14 @@ class Model:
         full = np.flatnonzero(np.diff(at))
         if len(full):
             context, byte = _contexts(raw, at)
-            costs = np.take(self.cost, index[context].astype(np.int64) << 8 | byte, axis=0)
-            out[full] = np.add.reduceat(costs, at[full], axis=0, dtype=np.float64)
+            met = index[context]
+            for lang, (cost, longest) in enumerate(zip(self.costs, self.longest, strict=True)):
+                out[full, lang] = np.add.reduceat(cost[longest[met] << 8 | byte], at[full], dtype=np.float64)
         return out
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_nodes: int = MAX_NODES) -> Model | None:
-    """Learn from documents (doc_id, text, lang); None if there is nothing to learn from.
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, table_bytes: int = TABLE_BYTES) -> list[Model]:
+    """Learn from documents (doc_id, text, lang): blocks of languages in the order of their names.
 
     At most ``sample_docs`` documents of each language are read, those with the
     least hash of doc_id; rows with a null text or lang are left out.
@@ -143,56 +157,86 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_nodes: int = MAX_NO
     folder = fresh_folder(docs.sparkSession, "ppm")
     sampled.write.parquet(folder)
     counts = docs.sparkSession.read.schema(schema).parquet(folder)
-    languages = sorted(r[0] for r in counts.where("depth = 0").select("lang").distinct().collect())
-    if not languages:
-        return None
-    most = max(1, min(max_nodes, TABLE_BYTES // (1024 * len(languages))))
-    totals = counts.groupBy("depth", "context").agg(F.sum("n").alias("n")).where((F.col("depth") < 2) | (F.col("n") >= MIN_CONTEXT))
-    # The shortest contexts first, then the most frequent: at most ``most`` of them.
-    rank = F.when(F.col("depth") < 2, 0).otherwise(1)
-    nodes = totals.orderBy(rank, F.desc("n"), "depth", "context").limit(most).select("depth", "context")
-    chosen = sorted((r[0], r[1]) for r in nodes.collect())
-    number = docs.sparkSession.createDataFrame([(d, c, k) for k, (d, c) in enumerate(chosen)], "depth int, context long, node int")
-    found = counts.join(F.broadcast(number), ["depth", "context"]).select("node", "byte", "lang", "n").toArrow()
-    table = np.zeros((len(chosen), 256, len(languages)), np.int64)
-    place = {lang: k for k, lang in enumerate(languages)}
-    lang = found.column("lang").combine_chunks().dictionary_encode()
-    which = np.array([place[v] for v in lang.dictionary.to_pylist()], np.int64)[lang.indices.to_numpy()]
-    table[found.column("node").to_numpy(), found.column("byte").to_numpy(), which] = found.column("n").to_numpy()
-    return Model(languages, chosen, table)
-
-
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+    spark = docs.sparkSession
+    totals = counts.groupBy("lang", "depth", "context").agg(F.sum("n").alias("seen")).where((F.col("depth") < 2) | (F.col("seen") >= MIN_CONTEXT))
+    counts.join(totals, ["lang", "depth", "context"]).select("lang", "depth", "context", "byte", "n").write.parquet(f"{folder}-trees")
+    trees = spark.read.schema(schema).parquet(f"{folder}-trees")
+    sizes = dict(trees.select("lang", "depth", "context").distinct().groupBy("lang").count().collect())
+    blocks: list[list[str]] = []
+    room = 0
+    for lang in sorted(sizes):
+        room -= 1024 * sizes[lang]
+        if room < 0:
+            blocks.append([])
+            room = table_bytes - 1024 * sizes[lang]
+        blocks[-1].append(lang)
+    return [Model({lang: _tree(trees.where(F.col("lang") == lang)) for lang in block}) for block in blocks]
+
+
+def _tree(counts: DataFrame) -> Tree:
+    """The tree of one language's counts, of which there are as many as its sample allows."""
+    found = counts.select("depth", "context", "byte", "n").toArrow()
+    depth, context, byte, n = (found.column(c).to_numpy() for c in ("depth", "context", "byte", "n"))
+    nodes, number = np.unique(depth.astype(np.int64) << 32 | context, return_inverse=True)
+    table = np.zeros((len(nodes), 256), np.int64)
+    table[number, byte] = n
+    return Tree([(int(v) >> 32, int(v) & 0xFFFFFFFF) for v in nodes], table)
+
+
+BEST = "doc_id long, text string, lang_pred string, bits double, weight double"
+
+
+def predict(docs: DataFrame, models: list[Model]) -> DataFrame:
     """doc_id, lang_pred and score of every whole text; only the text is looked at.
 
     A null text, or one without a letter, is ``und`` with score 0, as is every text
     if there is no model. The score is the share of the chosen language when each
     has weight 2**-bits. Ties go to the first language by name.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    spark = docs.sparkSession
+    best = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.lit(UNKNOWN).alias("lang_pred"),
+        F.lit(float("inf")).alias("bits"), F.lit(0.0).alias("weight"),
+    )
+    for k, model in enumerate(models):
+        last = k + 1 == len(models)
+        best = best.mapInArrow(_better(spark.sparkContext.broadcast(model), last), BEST)
+        if not last:
+            folder = fresh_folder(spark, "ppm-scored")
+            best.write.parquet(folder)
+            best = spark.read.schema(BEST).parquet(folder)
+    return best.select("doc_id", "lang_pred", F.when(F.col("weight") > 0, 1 / F.col("weight")).otherwise(F.lit(0.0)).alias("score"))
+
+
+def _better(shared: Broadcast, last: bool) -> Callable:
+    """The best language so far and this block's; weight: of all languages, that of the best being 1. The last needs no texts."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        index = model.index() if model else None
+        index = model.index()
         letter = np.zeros(256, bool)
         letter[list(range(65, 91)) + list(range(97, 123))] = True
         for batch in batches:
             for part in slices(batch):
                 raw, at = text_bytes(part.column("text"))
-                langs, scores = [UNKNOWN] * part.num_rows, [0.0] * part.num_rows
-                if model:
-                    bits = model.lengths(index, raw, at)
-                    best = bits.argmin(axis=1)
-                    share = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
-                    has = np.concatenate([[0], np.cumsum(letter[raw])])
-                    has = has[at[1:]] > has[at[:-1]]
-                    for k in range(part.num_rows):
-                        if has[k] or any(map(str.isalpha, part.column("text")[k].as_py())):
-                            langs[k], scores[k] = model.languages[best[k]], float(share[k])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
-
-    return rows.mapInArrow(scored, "doc_id long, lang_pred string, score double")
+                langs = part.column("lang_pred").to_pylist()
+                before, weight = (part.column(c).to_numpy(zero_copy_only=False).copy() for c in ("bits", "weight"))
+                found = model.lengths(index, raw, at)
+                first = found.argmin(axis=1)
+                least = np.minimum(before, found.min(axis=1))
+                share = np.exp2(np.maximum(least[:, None] - found, -1000)).sum(axis=1)
+                share += np.where(weight > 0, weight * np.exp2(np.maximum(least - np.where(weight > 0, before, least), -1000)), 0)
+                has = np.concatenate([[0], np.cumsum(letter[raw])])
+                has = has[at[1:]] > has[at[:-1]]
+                for k in range(part.num_rows):
+                    if has[k] or any(map(str.isalpha, part.column("text")[k].as_py())):
+                        if found[k, first[k]] < before[k]:
+                            langs[k] = model.languages[first[k]]
+                        before[k], weight[k] = least[k], share[k]
+                texts = pa.nulls(part.num_rows, pa.string()) if last else part.column("text")
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), texts, pa.array(langs, pa.string()), pa.array(before, pa.float64()), pa.array(weight, pa.float64())], ["doc_id", "text", "lang_pred", "bits", "weight"])
+
+    return scored
 
 
 def held_out_languages(docs: DataFrame) -> DataFrame:

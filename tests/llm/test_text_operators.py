@@ -106,9 +106,72 @@ def test_held_out_languages(spark, odd):
 
 
 def test_code_lengths_are_those_of_a_distribution(docs):
-    model = fit(docs([(k, "abracadabra " * 9, "x") for k in range(4)] + [(9, "zzz", "y")]))
-    chance = np.exp2(-model.cost.reshape(-1, 256, len(model.languages)).astype(float)).sum(axis=1)
-    assert np.allclose(chance, 1, atol=1e-4)
+    (model,) = fit(docs([(k, "abracadabra " * 9, "x") for k in range(4)] + [(9, "zzz", "y")]))
+    assert model.languages == ["x", "y"]
+    for cost in model.costs:
+        assert np.allclose(np.exp2(-cost.reshape(-1, 256).astype(float)).sum(axis=1), 1, atol=1e-4)
+
+
+def _bits_by_hand(sample, text):
+    """Escapes with exclusion, one byte after the other, over contexts seen often enough."""
+    from collections import Counter, defaultdict
+
+    counts = defaultdict(Counter)
+    for known in sample:
+        data = b"\n\n\n" + known.encode()
+        for k in range(3, len(data)):
+            for depth in range(4):
+                counts[data[k - depth:k]][data[k]] += 1
+    tree = {c for c, n in counts.items() if len(c) < 2 or sum(n.values()) >= 16}
+    data, bits = b"\n\n\n" + text.encode(), 0.0
+    for k in range(3, len(data)):
+        context, offered, p = data[k - 3:k], set(), 1.0
+        while context not in tree:
+            context = context[1:]
+        while True:
+            left = {b: n for b, n in counts[context].items() if b not in offered}
+            total = sum(left.values()) + len(left)
+            if data[k] in left:
+                p *= left[data[k]] / total
+                break
+            if left:
+                p *= len(left) / total
+                offered |= set(left)
+            if not context:
+                p /= 256 - len(offered)
+                break
+            context = context[1:]
+        bits -= np.log2(p)
+    return bits
+
+
+def test_code_lengths_against_a_coder_byte_by_byte(docs):
+    from courtledger.llm.texts import text_bytes
+
+    r = random.Random(12)
+    samples = {lang: [" ".join("".join(r.choices(letters, k=r.randint(1, 6))) for _ in range(60)) for _ in range(6)] for lang, letters in (("x", "abcde"), ("y", "cdefgé"), ("z", "aeiou"))}
+    (model,) = fit(docs([(n, text, lang) for n, (lang, text) in enumerate((lang, t) for lang, texts in samples.items() for t in texts)]))
+    texts = ["abc cde", "é q", "a", "", "\n\n", samples["y"][0]]
+    raw, at = text_bytes(pa.array(texts))
+    got = model.lengths(model.index(), raw, at)
+    expected = [[_bits_by_hand(samples[lang], text) for lang in model.languages] for text in texts]
+    assert np.allclose(got, expected, rtol=1e-4, atol=1e-3)
+
+
+def test_other_languages_change_no_code_length_and_blocks_no_prediction(spark, docs):
+    r = random.Random(13)
+    words = {lang: ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 7))) for _ in range(40)] for lang in [f"l{k:02d}" for k in range(30)]}
+    rows = [(k, " ".join(r.choices(words[lang], k=120)), lang) for k, lang in enumerate(sorted(words) * 3)]
+    few = docs([row for row in rows if row[2] < "l04"])
+    held = docs([(1_000 + k, " ".join(r.choices(words[lang], k=50)), lang) for k, lang in enumerate(sorted(words))])
+    alone, (together,) = fit(few)[0], fit(docs(rows))
+    for k in range(4):
+        assert together.languages[k] == alone.languages[k] and (together.costs[k] == alone.costs[k]).all()
+    blocks = fit(docs(rows), table_bytes=400_000)
+    assert len(blocks) > 4 and [x for m in blocks for x in m.languages] == sorted(words)
+    once, parts = ({x.doc_id: (x.lang_pred, x.score) for x in predict(held, m).collect()} for m in ([together], blocks))
+    assert once == {k: (lang, pytest.approx(score, abs=1e-9)) for k, (lang, score) in parts.items()}
+    assert sum(once[1_000 + k][0] == lang for k, lang in enumerate(sorted(words))) >= 29
 
 
 def test_quality_on_labels_left_out(spark):
