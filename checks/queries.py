@@ -83,8 +83,8 @@ def _journal(spark, folder, **options):
     return rows.withColumn("partition_nr", scalars.journal_partition(F.col("sequence_nr")))
 
 
-#: Journal rows in a partition of the sample's journal, and numbers in a batch of the many-batch streams.
-PARTITION_SIZE, BATCH_ROWS = 500, 20_000
+#: Journal rows in a partition of the sample's journal, and the batches it is streamed in.
+PARTITION_SIZE, BATCHES = 5_000, 4
 
 
 def _whole_journal(spark, folder):
@@ -611,14 +611,20 @@ def _streamed(spark, folder) -> Ingestion:
     return job
 
 
-def _streamed_in_batches(spark, folder, **options) -> Ingestion:
-    """The same in several micro-batches of the journal source, every team in journal order."""
+def journal_batches(spark, folder, **options):
+    """Lay the journal out; the job with fresh tables and the journal source that takes several batches for it."""
     root = fresh_folder(spark, "stream")
     _laid_out(spark, folder, root)
-    job = Ingestion(f"{root}/tables", MARKERS, **options)
+    rows = journal.read_journal(spark, f"{root}/journal").count()
     stream = read_journal_source(
-        spark, f"{root}/journal", partition_size=PARTITION_SIZE, max_rows=BATCH_ROWS, progress=f"{root}/progress"
+        spark, f"{root}/journal", partition_size=PARTITION_SIZE, max_rows=rows // BATCHES + 1, progress=f"{root}/progress"
     )
+    return Ingestion(f"{root}/tables", MARKERS, **options), stream
+
+
+def _streamed_in_batches(spark, folder, **options) -> Ingestion:
+    """A job that has streamed the journal in several micro-batches, every team in journal order."""
+    job, stream = journal_batches(spark, folder, **options)
     query = job.start(stream, interval="0 seconds")
     try:
         query.processAllAvailable()

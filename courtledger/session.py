@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,13 +32,18 @@ def build_session(app: str = "courtledger", master: str | None = None, **conf: s
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors reach: the one ``spark.checkpoint.dir`` names, or one the
-    session's checkpoints or warehouse are in."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors reach: the one ``spark.checkpoint.dir`` names, or the one the
+    session's checkpoints are in.
+
+    Only a local session, whose executors are the driver, may do without and
+    then uses its warehouse.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    chosen = spark.sparkContext.getCheckpointDir()
-    return chosen or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/courtledger-work"
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/courtledger-work"
 
 
 def fresh_folder(spark: SparkSession, purpose: str) -> str:
