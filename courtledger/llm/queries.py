@@ -46,7 +46,7 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    return encode_and_decode(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
+    return encode_and_decode(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"), keep_words=True)
 
 
 def op7_lsh_forest(spark: SparkSession, folder: str) -> DataFrame:

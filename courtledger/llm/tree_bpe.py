@@ -29,7 +29,7 @@ from courtledger.llm.workers import give_back
 
 LEAF_CHARS = 65_536
 WORD_BYTES = 4_096  # longer runs without white space are joined from leaves
-WORD_CACHE_BYTES = 128 << 20  # of a Python worker, while it runs a task
+WORD_CACHE_BYTES = 128 << 20  # of a Python worker
 ENTRY_BYTES = 160  # of an entry besides its contents
 FIRST_WINDOW = 64
 
@@ -224,7 +224,9 @@ RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 ENCODED = "doc_id long, n_tokens long, ids binary, decoded string"
 
 
-def encode_and_decode(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS, outputs: bool = False) -> DataFrame:
+def encode_and_decode(
+    docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS, outputs: bool = False, keep_words: bool = False
+) -> DataFrame:
     """Encode every text and decode the ids again.
 
     docs: doc_id and text, other columns are ignored. One row per input row:
@@ -232,7 +234,8 @@ def encode_and_decode(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS,
     of the decoded text, or with ``outputs`` the ids and the text themselves.
     Null text counts as empty and has no tokens; repeated rows give repeated
     rows. Texts over ``leaf_chars`` are cut into leaves that are encoded by
-    different tasks and joined per document.
+    different tasks and joined per document. With ``keep_words`` a Python worker
+    keeps the words of its last tasks, which costs it some memory afterwards.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     schema = ENCODED if outputs else RESULT
@@ -251,7 +254,7 @@ def encode_and_decode(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS,
         return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), *columns], ["doc_id", *names])
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with encoder(path) as enc:
+        with encoder(path, keep_words) as enc:
             for batch in batches:
                 for part in slices(batch):
                     texts = part.column("text").cast(pa.large_binary()).to_pylist()
