@@ -4,10 +4,13 @@ One view is the text's content: words, and beginnings
 of words, that tell the classes apart, and how much
 of the text repeats itself. The other is what a page says about itself without
 being read: source, language, length, lines and typography. Each view has its own
-logistic classifier, learned on labelled documents; over some rounds each gives
-its surest verdicts on unlabelled documents to the other as labels. Both are
-then calibrated on labelled documents that neither has learned from, combined,
-and applied to all documents.
+logistic classifier, learned on labelled documents. Over some rounds all unlabelled
+documents are scored, and each view gives every verdict it is sure of to the other
+as a label. These labels are as many as the corpus yields, so the other view learns
+from their sums: documents of one label that it takes for about equally likely are
+added up inside the tasks and count as their mean with their number as weight. Both
+views are then calibrated on labelled documents that neither has learned from,
+combined, and applied to all documents.
 """
 
 from __future__ import annotations
@@ -27,7 +30,6 @@ from courtledger.llm.texts import LOWER, distinct, mix, seeded, slices, text_byt
 from courtledger.session import fresh_folder
 
 LABELLED_DOCS = 1_500  # of each combination of labels, those with the least hash of doc_id
-UNLABELLED_DOCS = 2_000
 PARTS = 64
 TELLING_WORDS = 256  # per target
 LEAST_DIFFERENCE = 28.0  # G squared of a telling word: by chance about one word in ten million
@@ -35,7 +37,10 @@ BEGINNINGS = (4, 5, 6, 7)  # bytes of a word that may tell as well
 SOURCES = 64  # buckets for the source and for the language
 ROUNDS = 3
 SURE = 0.98  # a verdict at least this sure becomes a label for the other view
-SHARED_LABELS = 200  # of each class, target and round at most
+SHARED_WEIGHT = 0.5  # of a shared label; all of a class together weigh at most this share of its labelled rows
+BINS, BIN_WIDTH = 32, 0.5  # of the logarithmic odds in which shared labels are added up
+SUM_UNIT = 2.0**20  # sums are whole numbers of its inverse, so that they do not depend on the order of tasks
+ROWS = 2_000  # vectors looked at in one step
 CONTENT_MEASURES = 3
 TARGETS = ("quality", "toxic")
 
@@ -155,33 +160,119 @@ class Target:
         return _sigmoid(self.combined.logit(np.stack(z, axis=1)))
 
 
-def cotrain(views: tuple[np.ndarray, ...], y: np.ndarray, weight: np.ndarray, held: np.ndarray, pool: tuple[np.ndarray, ...], own: np.ndarray, rounds: int = ROUNDS) -> Target:
-    """Learn one target. held marks the labelled rows kept for calibration."""
-    views, pool = ((x[0][:, own], x[1]) for x in (views, pool))
-    learn = ~held
-    extra = [(np.zeros((0, x.shape[1])), np.zeros(0)) for x in views]
-    for turn in range(rounds + 1):
-        fitted = []
-        for x, (more, labels) in zip(views, extra, strict=True):
-            rows, marks = np.concatenate([x[learn], more]), np.concatenate([y[learn], labels])
-            fitted.append(Logistic.fit(rows, marks, np.concatenate([weight[learn], np.full(len(labels), 0.5)])))
-        if turn == rounds or not len(pool[0]) or y[learn].min(initial=1) == y[learn].max(initial=0):
-            break
-        extra = []
-        for k in range(2):
-            p = _sigmoid(fitted[1 - k].logit(pool[1 - k]))
-            take, marks = [], []
-            for label, sure in ((1, p), (0, 1 - p)):
-                best = np.argsort(-sure, kind="stable")[:SHARED_LABELS]
-                best = best[sure[best] >= SURE]
-                take.append(best)
-                marks.append(np.full(len(best), float(label)))
-            extra.append((pool[k][np.concatenate(take)], np.concatenate(marks)))
-    test = held if held.any() else learn
-    logits = [np.clip(f.logit(x[test]), -15, 15) for f, x in zip(fitted, views, strict=True)]
-    calibrated = [Logistic.fit(z[:, None], y[test], weight[test], ridge=0.1) for z in logits]
-    z = np.stack([np.clip(c.logit(z[:, None]), -15, 15) for c, z in zip(calibrated, logits, strict=True)], axis=1)
-    return Target(own, fitted, calibrated, Logistic.fit(z, y[test], weight[test], ridge=0.1))
+@dataclass
+class Learner:
+    """One target being learned: the labelled rows in both views, and which of them are held for calibration."""
+
+    own: np.ndarray
+    views: tuple[np.ndarray, ...]
+    y: np.ndarray
+    weight: np.ndarray
+    held: np.ndarray
+
+    def __post_init__(self):
+        learn = ~self.held
+        self.open = len(set(self.y[learn])) == 2  # one class teaches nothing to share
+        self.learn([(np.zeros((0, x.shape[1])), np.zeros(0), np.zeros(0)) for x in self.views])
+
+    def learn(self, shared: list[tuple[np.ndarray, ...]]) -> None:
+        """Fit both views on the labelled rows that are not held, and on rows, labels and weights from the other."""
+        learn = ~self.held
+        self.fitted = [
+            Logistic.fit(*(np.concatenate(c) for c in zip((x[learn], self.y[learn], self.weight[learn]), more, strict=True)))
+            for x, more in zip(self.views, shared, strict=True)
+        ]
+
+    def shared(self, sums: list[np.ndarray]) -> list[tuple[np.ndarray, ...]]:
+        """For each view the means of ``sure_sums``, their labels and their weights."""
+        learn, out = ~self.held, []
+        for cells in sums:
+            n = cells[:, :, -1]
+            most = np.array([self.weight[learn & (self.y == label)].sum() for label in (0, 1)])
+            each = SHARED_WEIGHT * np.minimum(1, most / np.maximum(n.sum(axis=1), 1))
+            label, at = np.nonzero(n > 0)
+            out.append((cells[label, at, :-1] / n[label, at][:, None], label.astype(float), each[label] * n[label, at]))
+        return out
+
+    def target(self) -> Target:
+        """Both views calibrated on the held rows and combined."""
+        test = self.held if self.held.any() else ~self.held
+        logits = [np.clip(f.logit(x[test]), -15, 15) for f, x in zip(self.fitted, self.views, strict=True)]
+        calibrated = [Logistic.fit(z[:, None], self.y[test], self.weight[test], ridge=0.1) for z in logits]
+        z = np.stack([np.clip(c.logit(z[:, None]), -15, 15) for c, z in zip(calibrated, logits, strict=True)], axis=1)
+        return Target(self.own, self.fitted, calibrated, Logistic.fit(z, self.y[test], self.weight[test], ridge=0.1))
+
+
+def sure_sums(views: tuple[np.ndarray, ...], fitted: list[Logistic]) -> list[np.ndarray]:
+    """What each view gets from the other: label x bin of its own odds x (sum of its columns, number)."""
+    logits, out = [f.logit(x) for f, x in zip(fitted, views, strict=True)], []
+    for k, x in enumerate(views):
+        sums = np.zeros((2 * BINS, x.shape[1] + 1))
+        p = _sigmoid(logits[1 - k])
+        rows = np.flatnonzero((p >= SURE) | (1 - p >= SURE))
+        at = np.clip(np.floor(logits[k][rows] / BIN_WIDTH) + BINS // 2, 0, BINS - 1).astype(np.int64)
+        cell = np.where(p[rows] >= SURE, BINS, 0) + at
+        order = np.argsort(cell, kind="stable")
+        cells, first, n = np.unique(cell[order], return_index=True, return_counts=True)
+        if len(cells):
+            sums[cells, :-1] = np.add.reduceat(x[rows[order]], first, axis=0, dtype=np.float64)
+            sums[cells, -1] = n
+        out.append(sums.reshape(2, BINS, -1))
+    return out
+
+
+def _stored_form(views: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    return tuple(x.astype("<f4") for x in views)
+
+
+def _views(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """The stored vectors of both views."""
+    out = []
+    for name in ("content", "page"):
+        column = part.column(name).cast(pa.large_binary())
+        _, offsets, data = column.buffers()
+        at = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1]
+        out.append(np.frombuffer(data, np.uint8)[at[0]:at[-1]].view("<f4").reshape(len(column), -1))
+    return tuple(out)
+
+
+def _in_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS):
+            yield batch.slice(k, ROWS)
+
+
+def exchange(pool: DataFrame, learners: dict[str, Learner]) -> None:
+    """One round: score every row of pool (content, page), let each view learn from what the other is sure of."""
+    models = [(at, found.own, found.fitted) for at, found in enumerate(learners.values()) if found.open]
+    if not models:
+        return
+    spread = pool.sparkSession.sparkContext.broadcast(models)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for part in _in_steps(batches):
+            content, page = _views(part)
+            for at, own, fitted in spread.value:
+                for k, found in enumerate(sure_sums((content[:, own], page), fitted)):
+                    total[at, k] = total.get((at, k), 0) + found
+        for (at, k), found in total.items():
+            flat = np.rint(found.ravel() * SUM_UNIT).astype(np.int64)
+            place = np.flatnonzero(flat)
+            ends = [pa.array(np.full(len(place), v), pa.int32()) for v in (at, k)]
+            yield pa.RecordBatch.from_arrays([*ends, pa.array(place, pa.int32()), pa.array(flat[place])], ["target", "view", "place", "value"])
+
+    found = pool.select("content", "page").mapInArrow(sums, "target int, view int, place int, value long")
+    found = found.groupBy("target", "view", "place").agg(F.sum("value").alias("value")).toArrow().to_pandas()
+    for at, learner in enumerate(learners.values()):
+        if learner.open:
+            cells = []
+            for k, x in enumerate(learner.views):
+                mine = found[(found["target"] == at) & (found["view"] == k)]
+                flat = np.zeros(2 * BINS * (x.shape[1] + 1))
+                flat[mine["place"]] = mine["value"] / SUM_UNIT
+                cells.append(flat.reshape(2, BINS, -1))
+            learner.learn(learner.shared(cells))
 
 
 def _buckets(docs: DataFrame) -> list[Column]:
@@ -228,78 +319,84 @@ class Model:
     targets: dict[str, Target]
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Learn from labels (doc_id, quality, toxic). None without any labelled document.
+VECTORS = "content binary, page binary"
+
+
+def _vectors(words_: np.ndarray, keep: tuple[str, ...]):
+    """Rows with their columns in keep and the vectors of both views."""
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                binary = [pa.array([r.tobytes() for r in x], pa.binary()) for x in _stored_form(features(part, words_))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *binary], [*keep, "content", "page"])
+    return vectors
+
 
-    Reads at most LABELLED_DOCS documents of each combination of labels and
-    UNLABELLED_DOCS others. A null label leaves the row out for that target; of
-    several labels of a document the largest counts.
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame] | tuple[None, None]:
+    """Learn from labels (doc_id, quality, toxic): the model, and the stored vectors of all documents.
+
+    Reads at most LABELLED_DOCS labelled documents of each combination of labels, and
+    every document that has no label in each round. A null label leaves the row out for
+    that target; of several labels of a document the largest counts. None without any
+    labelled document.
     """
     marks = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
-    marks = marks.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
+    marks = marks.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")).where("quality is not null or toxic is not null")
+    marks = marks.withColumn("h", F.xxhash64("doc_id"))
     kind = Window.partitionBy("quality", "toxic").orderBy("h", "doc_id")
     # Most labels may be alike: each of many parts is cut first.
     part = Window.partitionBy("quality", "toxic", F.pmod("h", F.lit(PARTS))).orderBy("h", "doc_id")
     chosen = marks
     for window in (part, kind):
         chosen = chosen.withColumn("k", F.row_number().over(window)).where(F.col("k") <= LABELLED_DOCS).drop("k")
-    chosen = chosen.select("doc_id", "quality", "toxic", "h")
     rows = _rows(docs)
-    others = rows.select("doc_id").join(marks, "doc_id", "left_anti").where("doc_id is not null").withColumn("h", F.xxhash64("doc_id"))
-    others = others.orderBy("h", "doc_id").limit(UNLABELLED_DOCS).select("doc_id", F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic"), "h")
-    # At most 9 * LABELLED_DOCS + UNLABELLED_DOCS ids.
-    wanted = chosen.union(others).dropDuplicates(["doc_id"])
-    sample = rows.join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"])
+    # At most 8 * LABELLED_DOCS ids.
+    labelled = rows.join(F.broadcast(chosen.select("doc_id", "quality", "toxic", "h")), "doc_id").dropDuplicates(["doc_id"])
     folder = fresh_folder(docs.sparkSession, "cotrain")
-    sample.write.parquet(folder)
-    sample = docs.sparkSession.read.schema(sample.schema).parquet(folder)
-    labelled = sample.where("quality is not null or toxic is not null")
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return docs.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    labelled = stored(labelled, "labelled")
     counts = labelled.select("text", "quality", "toxic").mapInArrow(_telling, "word long, quality int, toxic int").groupBy("word", "quality", "toxic").agg(F.count("*").alias("n"))
     telling: dict[str, list[int]] = {}
     for target in TARGETS:
         totals = {r[0]: r[1] for r in labelled.where(F.col(target).isNotNull()).groupBy(target).count().collect()}
         telling[target] = telling_words(counts, totals, target, TELLING_WORDS)
     words_ = np.unique(np.array(sum(telling.values(), []), np.int64).view(np.uint64))
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                content, page = features(part, words_)
-                binary = [pa.array([r.astype("<f4").tobytes() for r in x], pa.binary()) for x in (content, page)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "quality", "toxic", "h")), *binary], ["doc_id", "quality", "toxic", "h", "content", "page"])
-
-    got = sample.mapInArrow(vectors, "doc_id long, quality int, toxic int, h long, content binary, page binary").orderBy("h", "doc_id").toPandas()
-    if not len(got) or got[["quality", "toxic"]].isna().all(axis=None):
-        return None
+    own = ("doc_id", "quality", "toxic", "h")
+    got = labelled.mapInArrow(_vectors(words_, own), f"doc_id long, quality int, toxic int, h long, {VECTORS}").orderBy("h", "doc_id").toPandas()
+    if not len(got):
+        return None, None
     views = tuple(np.frombuffer(b"".join(got[c]), "<f4").reshape(len(got), -1).astype(np.float64) for c in ("content", "page"))
     # What the sample stands for: combinations of labels are sampled unlike their shares.
     sizes = {(r[0], r[1]): r[2] for r in marks.groupBy("quality", "toxic").agg(F.count("*")).collect()}
     keys = [(None if q != q else int(q), None if t != t else int(t)) for q, t in zip(got["quality"], got["toxic"], strict=True)]
     weight = np.array([max(1.0, sizes.get(k, 1) / LABELLED_DOCS) for k in keys])
-    none = (got["quality"].isna() & got["toxic"].isna()).to_numpy()
-    pool = tuple(x[none] for x in views)
     held = (got["h"].to_numpy() % 3) == 0
-    targets = {}
+    learners = {}
     for target in TARGETS:
         has = got[target].notna().to_numpy()
-        own = weight[has] / weight[has].mean() if has.any() else weight[has]
+        share = weight[has] / weight[has].mean() if has.any() else weight[has]
         mine = np.array(sorted(telling[target]), np.int64).view(np.uint64)
         at = CONTENT_MEASURES + 2 * np.searchsorted(words_, mine)
         columns = np.concatenate([np.arange(CONTENT_MEASURES), at, at + 1])
-        targets[target] = cotrain(tuple(x[has] for x in views), got[target].to_numpy(dtype=float)[has], own, held[has], pool, columns)
-    return Model(words_, targets)
+        learners[target] = Learner(columns, (views[0][has][:, columns], views[1][has]), got[target].to_numpy(dtype=float)[has], share, held[has])
+    every = stored(rows.mapInArrow(_vectors(words_, ("doc_id",)), f"doc_id long, {VECTORS}"), "vectors")
+    pool = stored(every.join(marks.select("doc_id"), "doc_id", "left_anti").select("content", "page"), "unlabelled")
+    for _ in range(ROUNDS):
+        exchange(pool, learners)
+    return Model(words_, {target: learner.target() for target, learner in learners.items()}), every
 
 
 SCORES = "doc_id long, quality_score double, toxic_score double, accepted boolean"
 LEAST_QUALITY, MOST_TOXIC = 0.5, 0.5
 
 
-def _verdicts(model: Model | None, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """quality, toxic, accepted. Without a model everything is accepted."""
-    quality, toxic = np.ones(part.num_rows), np.zeros(part.num_rows)
-    if model and part.num_rows:
-        views = features(part, model.telling)
-        quality, toxic = (model.targets[t].score(views) for t in TARGETS)
+def _verdicts(model: Model, views: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """quality, toxic, accepted."""
+    quality, toxic = (model.targets[t].score(views) for t in TARGETS)
     return quality, toxic, (quality >= LEAST_QUALITY) & (toxic < MOST_TOXIC)
 
 
@@ -311,20 +408,25 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     quality_score, toxic_score, accepted. Null text counts as empty. Without any
     label every document is accepted with scores 1 and 0.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    model, vectors = fit(docs, labels)
+    if model is None:
+        return _rows(docs).select("doc_id", F.lit(1.0).alias("quality_score"), F.lit(0.0).alias("toxic_score"), F.lit(True).alias("accepted"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                found = _verdicts(shared.value, part)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, found)], ["doc_id", "quality_score", "toxic_score", "accepted"])
+        for part in _in_steps(batches):
+            found = _verdicts(shared.value, _views(part))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, found)], ["doc_id", "quality_score", "toxic_score", "accepted"])
 
-    return _rows(docs).mapInArrow(scored, SCORES)
+    return vectors.mapInArrow(scored, SCORES)
 
 
 def accepted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, all their columns, that are accepted (see ``quality_scores``)."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    model, _ = fit(docs, labels)
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     extra = ["source_bucket", "lang_bucket"]
     while set(extra) & set(docs.columns):
         extra = [f"_{c}" for c in extra]
@@ -334,6 +436,6 @@ def accepted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 seen = pa.RecordBatch.from_arrays([pc.fill_null(part.column("text"), ""), *(part.column(c) for c in extra)], ["text", "source_bucket", "lang_bucket"])
-                yield part.filter(pa.array(_verdicts(shared.value, seen)[2])).drop_columns(extra)
+                yield part.filter(pa.array(_verdicts(shared.value, _stored_form(features(seen, shared.value.telling)))[2])).drop_columns(extra)
 
     return docs.select("*", *(b.alias(c) for b, c in zip(buckets, extra, strict=True))).mapInArrow(accepted, docs.schema)

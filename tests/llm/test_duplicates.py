@@ -186,6 +186,24 @@ def test_the_first_copy_stays(docs):
     assert len(every[2]) <= 32
 
 
+def test_a_full_filter_changes_no_result(spark, docs, monkeypatch):
+    from courtledger.llm import hash_filter as filters
+    from courtledger.llm import lpf_dedup
+
+    keys = spark.range(5_000).selectExpr("xxhash64(id) as k", "id").unionByName(spark.range(1).selectExpr("cast(null as long) as k", "id"))
+    found = filters.hash_filter(keys, "k").value
+    inside = np.array([r[0] for r in keys.where("k is not null").select("k").collect()]).view(np.uint64)
+    outside = np.array([r[0] for r in spark.range(5_000, 45_000).selectExpr("xxhash64(id)").collect()]).view(np.uint64)
+    assert filters.contains(found, inside).all() and filters.contains(found, outside).mean() < 0.03
+    assert len(found) == 1 << 14  # the least that holds the keys sparsely, not the greatest
+    r = random.Random(3)
+    passages = ["".join(r.choice("abcdefghij ") for _ in range(r.choice((150, 260, 400)))) for _ in range(6)]
+    rows = docs([(k, "".join(r.choice("klmnopqrst ") for _ in range(300)) + r.choice(passages) + str(k)) for k in range(40)])
+    wanted = sorted(map(tuple, lpf_dedup.repeat_digests(rows).collect()))
+    monkeypatch.setattr(lpf_dedup, "hash_filter", lambda df, column: filters.hash_filter(df, column, most_bits=6))
+    assert sorted(map(tuple, lpf_dedup.repeat_digests(rows).collect())) == wanted and any(w[2] for w in wanted)
+
+
 def test_repeats_of_odd_rows(odd):
     got = repeat_digests(odd)
     assert got.count() == odd.count() and repeat_digests(odd.limit(0)).count() == 0

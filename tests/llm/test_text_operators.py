@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 from courtledger.llm.aho_decontaminate import contamination, contamination_digests, uncontaminated
-from courtledger.llm.cotrain_quality import Logistic, accepted_documents, cotrain, quality_scores
+from courtledger.llm.cotrain_quality import ROUNDS, SHARED_WEIGHT, SURE, Learner, Logistic, accepted_documents, exchange, quality_scores, sure_sums
 from courtledger.llm.dom_content import labelled_pages, main_text, page_texts, trained
 from courtledger.llm.oracles import ORACLES
 from courtledger.llm.ppm_language import fit, held_out_languages, predict
@@ -202,11 +202,46 @@ def test_cotraining_helps_the_weaker_view():
     views = (y[:, None] * 4 + r.normal(size=(n, 1)), y[:, None] * 2 + r.normal(size=(n, 3)))
     few = np.arange(n) < 12
     held = np.arange(12) % 3 == 0
-    target = cotrain(tuple(v[few] for v in views), y[few], np.ones(12), held, tuple(v[~few] for v in views), np.arange(1))
-    assert ((target.score(tuple(v[~few] for v in views)) >= 0.5) == (y[~few] == 1)).mean() > 0.93
+    rest = tuple(v[~few] for v in views)
+    learner = Learner(np.arange(1), tuple(v[few] for v in views), y[few], np.ones(12), held)
+    alone = learner.fitted[1].logit(rest[1])
+    for _ in range(ROUNDS):
+        learner.learn(learner.shared(sure_sums(rest, learner.fitted)))
+    right = lambda z: ((z >= 0) == (y[~few] == 1)).mean()
+    assert right(learner.fitted[1].logit(rest[1])) > right(alone)
+    assert right(learner.target().score(rest) - 0.5) > 0.93
     assert Logistic.fit(np.zeros((3, 1)), np.ones(3), np.ones(3)).logit(np.zeros((1, 1)))[0] > 0
 
 
+def _pool(n, rare, seed=5):
+    """Vectors of a class of one in ``rare`` that both views tell."""
+    r = np.random.default_rng(seed)
+    y = (np.arange(n) % rare == 0).astype(float)
+    return y, (np.round(y[:, None] * 8 + r.normal(size=(n, 1)), 3).astype("<f4"), np.round(y[:, None] * 8 + r.normal(size=(n, 2)), 3).astype("<f4"))
+
+
+def test_every_sure_verdict_becomes_a_label(spark, docs):
+    docs([])
+    y, views = _pool(20_000, 1_000)
+    y_few, few = _pool(60, 2, seed=6)
+    rows = [(v.tobytes(), w.tobytes()) for v, w in zip(*views, strict=True)]
+    pool = spark.createDataFrame(rows, "content binary, page binary").repartition(7)
+    learner = Learner(np.arange(1), tuple(v.astype(float) for v in few), y_few, np.ones(60), np.arange(60) % 3 == 0)
+    before, got = learner.fitted, []
+    learner.learn = got.append
+    exchange(pool, {"toxic": learner})
+    for k, (x, labels, weight) in enumerate(got[0]):
+        p = 1 / (1 + np.exp(-before[1 - k].logit(views[1 - k])))
+        for label, sure in ((1, p >= SURE), (0, 1 - p >= SURE)):
+            mine = labels == label
+            # The rare class has few labels, each with its weight; the other weighs as much as its labelled rows allow.
+            most = SHARED_WEIGHT * min(sure.sum(), (~learner.held & (y_few == label)).sum())
+            assert np.isclose(weight[mine].sum(), most)
+            mean = (x[mine] * weight[mine][:, None]).sum(axis=0) / weight[mine].sum()
+            assert np.allclose(mean, views[k][sure].mean(axis=0, dtype=float), atol=1e-4)
+        assert 18 <= (p >= SURE).sum() <= 22
+
+
 def test_pages_of_the_sample(spark):
     rows = QUERIES["op9_dom_content"](spark, SMALL).join(spark.read.parquet(f"{SMALL}/pages.parquet").drop("url"), "page_id").collect()
     import html
