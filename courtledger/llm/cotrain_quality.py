@@ -15,8 +15,9 @@ combined, and applied to all documents.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from courtledger.llm.aho_decontaminate import WORD_SEPARATORS
 from courtledger.llm.rule_ledger import measure
 from courtledger.llm.texts import LOWER, distinct, mix, seeded, slices, text_bytes, word_hashes, words
+from courtledger.llm.workers import give_back
 from courtledger.session import fresh_folder
 
 LABELLED_DOCS = 1_500  # of each combination of labels, those with the least hash of doc_id
@@ -41,7 +43,8 @@ SHARED_WEIGHT = 0.5  # of a shared label; all of a class together weigh at most
 BINS, BIN_WIDTH = 32, 0.5  # of the logarithmic odds in which shared labels are added up
 SUM_UNIT = 2.0**20  # sums are whole numbers of its inverse, so that they do not depend on the order of tasks
 ROWS = 2_000  # vectors looked at in one step
-CONTENT_MEASURES = 3
+CONTENT_MEASURES, PAGE_MEASURES = 3, 5
+CELL = np.dtype([("at", "<u2"), ("value", "<f4")])  # of a stored vector
 TARGETS = ("quality", "toxic")
 
 
@@ -66,6 +69,11 @@ def page_measures(m: dict[str, np.ndarray], source: np.ndarray, lang: np.ndarray
     return np.concatenate([numbers, hot], axis=1)
 
 
+def widths(telling: np.ndarray) -> tuple[int, int]:
+    """The columns of both views."""
+    return CONTENT_MEASURES + 2 * len(telling), PAGE_MEASURES + 2 * SOURCES
+
+
 def _words(part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Hashes of the words and of their beginnings, one kind after the other, with the words' hashes and rows."""
     raw, at = text_bytes(part.column("text"))
@@ -225,14 +233,38 @@ def _stored_form(views: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
     return tuple(x.astype("<f4") for x in views)
 
 
+def _stored_bytes(part: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a binary column as one byte array, and where each begins (one more at the end)."""
+    column = part.column(name).cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return raw[at[0]:at[-1]], at - at[0]
+
+
 def _views(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """The stored vectors of both views."""
+    """The vectors of both views, stored in full."""
+    return tuple(_stored_bytes(part, name)[0].view("<f4").reshape(part.num_rows, -1) for name in ("content", "page"))
+
+
+def packed(x: np.ndarray) -> pa.Array:
+    """The cells of each row that are not zero: most are, and rows in full would fill the memory of an executor."""
+    row, at = np.nonzero(x)
+    cells = np.empty(len(row), CELL)
+    cells["at"], cells["value"] = at, x[row, at]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(x)))]) * CELL.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(x), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(cells.tobytes())]).cast(pa.binary())
+
+
+def unpacked(part: pa.RecordBatch, widths: tuple[int, ...]) -> tuple[np.ndarray, ...]:
+    """The vectors of both views, stored by ``packed``."""
     out = []
-    for name in ("content", "page"):
-        column = part.column(name).cast(pa.large_binary())
-        _, offsets, data = column.buffers()
-        at = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1]
-        out.append(np.frombuffer(data, np.uint8)[at[0]:at[-1]].view("<f4").reshape(len(column), -1))
+    for name, width in zip(("content", "page"), widths, strict=True):
+        raw, at = _stored_bytes(part, name)
+        cells = raw.view(CELL)
+        x = np.zeros((part.num_rows, width), "<f4")
+        x[np.repeat(np.arange(part.num_rows), np.diff(at) // CELL.itemsize), cells["at"]] = cells["value"]
+        out.append(x)
     return tuple(out)
 
 
@@ -242,8 +274,19 @@ def _in_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(k, ROWS)
 
 
-def exchange(pool: DataFrame, learners: dict[str, Learner]) -> None:
-    """One round: score every row of pool (content, page), let each view learn from what the other is sure of."""
+def _gives_back(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The step, whose Python worker keeps no memory of it for the next tasks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from step(batches)
+        give_back()
+    return run
+
+
+def exchange(pool: DataFrame, learners: dict[str, Learner], read: Callable[[pa.RecordBatch], tuple[np.ndarray, ...]] = _views) -> None:
+    """One round: score every row of pool (content, page), let each view learn from what the other is sure of.
+
+    read: the vectors of both views from rows of pool, by default stored in full.
+    """
     models = [(at, found.own, found.fitted) for at, found in enumerate(learners.values()) if found.open]
     if not models:
         return
@@ -252,7 +295,7 @@ def exchange(pool: DataFrame, learners: dict[str, Learner]) -> None:
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, int], np.ndarray] = {}
         for part in _in_steps(batches):
-            content, page = _views(part)
+            content, page = read(part)
             for at, own, fitted in spread.value:
                 for k, found in enumerate(sure_sums((content[:, own], page), fitted)):
                     total[at, k] = total.get((at, k), 0) + found
@@ -262,7 +305,7 @@ def exchange(pool: DataFrame, learners: dict[str, Learner]) -> None:
             ends = [pa.array(np.full(len(place), v), pa.int32()) for v in (at, k)]
             yield pa.RecordBatch.from_arrays([*ends, pa.array(place, pa.int32()), pa.array(flat[place])], ["target", "view", "place", "value"])
 
-    found = pool.select("content", "page").mapInArrow(sums, "target int, view int, place int, value long")
+    found = pool.select("content", "page").mapInArrow(_gives_back(sums), "target int, view int, place int, value long")
     found = found.groupBy("target", "view", "place").agg(F.sum("value").alias("value")).toArrow().to_pandas()
     for at, learner in enumerate(learners.values()):
         if learner.open:
@@ -326,14 +369,14 @@ def _vectors(words_: np.ndarray, keep: tuple[str, ...]):
     """Rows with their columns in keep and the vectors of both views."""
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                binary = [pa.array([r.tobytes() for r in x], pa.binary()) for x in _stored_form(features(part, words_))]
+            for part in _in_steps(slices(batch)):
+                binary = [packed(x) for x in _stored_form(features(part, words_))]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *binary], [*keep, "content", "page"])
-    return vectors
+    return _gives_back(vectors)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame] | tuple[None, None]:
-    """Learn from labels (doc_id, quality, toxic): the model, and the stored vectors of all documents.
+    """Learn from labels (doc_id, quality, toxic): the model, and the stored vectors of all documents, packed.
 
     Reads at most LABELLED_DOCS labelled documents of each combination of labels, and
     every document that has no label in each round. A null label leaves the row out for
@@ -359,7 +402,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame] | tuple[N
         return docs.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
     labelled = stored(labelled, "labelled")
-    counts = labelled.select("text", "quality", "toxic").mapInArrow(_telling, "word long, quality int, toxic int").groupBy("word", "quality", "toxic").agg(F.count("*").alias("n"))
+    counts = labelled.select("text", "quality", "toxic").mapInArrow(_gives_back(_telling), "word long, quality int, toxic int").groupBy("word", "quality", "toxic").agg(F.count("*").alias("n"))
     telling: dict[str, list[int]] = {}
     for target in TARGETS:
         totals = {r[0]: r[1] for r in labelled.where(F.col(target).isNotNull()).groupBy(target).count().collect()}
@@ -369,7 +412,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame] | tuple[N
     got = labelled.mapInArrow(_vectors(words_, own), f"doc_id long, quality int, toxic int, h long, {VECTORS}").orderBy("h", "doc_id").toPandas()
     if not len(got):
         return None, None
-    views = tuple(np.frombuffer(b"".join(got[c]), "<f4").reshape(len(got), -1).astype(np.float64) for c in ("content", "page"))
+    read = partial(unpacked, widths=widths(words_))
+    views = tuple(x.astype(np.float64) for x in read(pa.RecordBatch.from_pydict({c: pa.array(got[c], pa.binary()) for c in ("content", "page")})))
     # What the sample stands for: combinations of labels are sampled unlike their shares.
     sizes = {(r[0], r[1]): r[2] for r in marks.groupBy("quality", "toxic").agg(F.count("*")).collect()}
     keys = [(None if q != q else int(q), None if t != t else int(t)) for q, t in zip(got["quality"], got["toxic"], strict=True)]
@@ -386,7 +430,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame] | tuple[N
     every = stored(rows.mapInArrow(_vectors(words_, ("doc_id",)), f"doc_id long, {VECTORS}"), "vectors")
     pool = stored(every.join(marks.select("doc_id"), "doc_id", "left_anti").select("content", "page"), "unlabelled")
     for _ in range(ROUNDS):
-        exchange(pool, learners)
+        exchange(pool, learners, read)
     return Model(words_, {target: learner.target() for target, learner in learners.items()}), every
 
 
@@ -412,13 +456,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if model is None:
         return _rows(docs).select("doc_id", F.lit(1.0).alias("quality_score"), F.lit(0.0).alias("toxic_score"), F.lit(True).alias("accepted"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    stored = widths(model.telling)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _in_steps(batches):
-            found = _verdicts(shared.value, _views(part))
+            found = _verdicts(shared.value, unpacked(part, stored))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, found)], ["doc_id", "quality_score", "toxic_score", "accepted"])
 
-    return vectors.mapInArrow(scored, SCORES)
+    return vectors.mapInArrow(_gives_back(scored), SCORES)
 
 
 def accepted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -434,8 +479,8 @@ def accepted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in _in_steps(slices(batch)):
                 seen = pa.RecordBatch.from_arrays([pc.fill_null(part.column("text"), ""), *(part.column(c) for c in extra)], ["text", "source_bucket", "lang_bucket"])
                 yield part.filter(pa.array(_verdicts(shared.value, _stored_form(features(seen, shared.value.telling)))[2])).drop_columns(extra)
 
-    return docs.select("*", *(b.alias(c) for b, c in zip(buckets, extra, strict=True))).mapInArrow(accepted, docs.schema)
+    return docs.select("*", *(b.alias(c) for b, c in zip(buckets, extra, strict=True))).mapInArrow(_gives_back(accepted), docs.schema)

@@ -11,7 +11,8 @@ import pyarrow as pa
 import pytest
 
 from courtledger.llm.aho_decontaminate import contamination, contamination_digests, uncontaminated
-from courtledger.llm.cotrain_quality import ROUNDS, SHARED_WEIGHT, SURE, Learner, Logistic, accepted_documents, exchange, quality_scores, sure_sums
+from courtledger.llm.cotrain_quality import ROUNDS, SHARED_WEIGHT, SURE, Learner, Logistic, accepted_documents, exchange, packed, quality_scores, sure_sums, unpacked
+from courtledger.llm.cotrain_quality import fit as fit_quality
 from courtledger.llm.dom_content import labelled_pages, main_text, page_texts, trained
 from courtledger.llm.oracles import ORACLES
 from courtledger.llm.ppm_language import fit, held_out_languages, predict
@@ -195,6 +196,19 @@ def test_quality_of_odd_rows(spark, odd):
     assert quality_scores(odd.limit(0), labels).count() == 0
 
 
+def test_stored_vectors_are_small_and_whole(spark):
+    x = np.array([[0, 1.5, 0], [0, 0, 0], [-2, 0, 1e-30]], "<f4")
+    stored = pa.RecordBatch.from_arrays([packed(x), packed(x[:, :2])], ["content", "page"])
+    for begin in (0, 1, 3):
+        for found, full in zip(unpacked(stored.slice(begin), (3, 2)), (x, x[:, :2]), strict=True):
+            assert (found == full[begin:]).all() and found.dtype == full.dtype
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model, vectors = fit_quality(docs, labels)
+    n, size = vectors.selectExpr("count(*)", "sum(length(content) + length(page))").first()
+    # In full each row takes 4 bytes a column, which filled the executors.
+    assert n == docs.count() and size / n < 0.5 * 4 * (2 * len(model.telling) + 3 + 133)
+
+
 def test_cotraining_helps_the_weaker_view():
     r = np.random.default_rng(1)
     n = 400
