@@ -74,18 +74,22 @@ class Coder:
         steps = -(-n // lanes)
         state = np.full(lanes, LOW, np.uint64)
         words, points = [], []
-        shift, scale = np.uint64(32), np.uint64(self.scale)
+        shift, whole = np.uint64(32), np.uint64(1 << self.scale)
         room = np.uint64((LOW >> self.scale) << 32)
-        for step in range(steps - 1, -1, -1):
-            part = ids[step * lanes:(step + 1) * lanes]
-            f, b, x = self.freq[part], self.begin[part], state[:len(part)]
-            full = x >= f * room
-            words.append((x[full] & np.uint64(0xFFFFFFFF)).astype("<u4"))
-            x = np.where(full, x >> shift, x)
-            q = x // f
-            state[:len(part)] = (q << scale) + (x - q * f) + b
-            if step % every == 0:
-                points.append(state.copy())
+        stretch = every * lanes
+        for begin in range((steps - 1) // every * stretch, -1, -stretch):  # from one checkpoint back to the one before
+            part = ids[begin:begin + stretch]
+            freq, first = self.freq[part], self.begin[part]
+            most, rest = freq * room, whole - freq
+            for k in range((len(part) - 1) // lanes * lanes, -1, -lanes):
+                here = slice(k, k + lanes)
+                x = state[:len(freq[here])]
+                full = np.flatnonzero(x >= most[here])
+                high = x[full]
+                words.append(high.astype("<u4"))  # its lower half
+                x[full] = high >> shift
+                x += x // freq[here] * rest[here] + first[here]
+            points.append(state.copy())
         words.reverse()
         points.reverse()
         before = np.concatenate([[0], np.cumsum([len(w) for w in words])])[:-1:every] if steps else np.zeros(0)
@@ -114,7 +118,7 @@ class Coder:
         for k in range(0, len(out), lanes):
             x = state[:min(lanes, len(out) - k)]
             slot = x & mask
-            found = self.symbol[slot.astype(np.int64)]
+            found = self.symbol[slot.view(np.int64)]
             out[k:k + len(x)] = found
             x = self.freq[found] * (x >> bits) + slot - self.begin[found]
             empty = np.flatnonzero(x < low)
@@ -142,7 +146,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = END_ID)
             for batch in batches:
                 for part in slices(batch):
                     texts = part.column("text").cast(pa.large_binary()).to_pylist()
-                    found = [np.concatenate([enc.ids(t), end]).astype(narrow).tobytes() for t in texts]
+                    found = [np.concatenate([ids, end]).astype(narrow).tobytes() for ids in map(enc.ids, texts)]
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "ids"])
 
     size = Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
@@ -154,8 +158,12 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = END_ID)
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int64)
         for batch in batches:
-            for ids in batch.column("ids"):
-                counts += np.bincount(np.frombuffer(ids.as_buffer(), narrow), minlength=size)
+            column = batch.column("ids").cast(pa.large_binary())
+            _, offsets, data = column.buffers()
+            at = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1]
+            ids = np.frombuffer(data, np.uint8)[at[0]:at[-1]].view(narrow)
+            for k in range(0, len(ids), BLOCK_TOKENS):
+                counts += np.bincount(ids[k:k + BLOCK_TOKENS], minlength=size)
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen], pa.int64())], ["token", "n"])
 

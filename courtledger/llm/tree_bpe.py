@@ -34,6 +34,7 @@ ENTRY_BYTES = 160  # of an entry besides its contents
 FIRST_WINDOW = 64
 
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+BEYOND_LATIN_1 = re.compile(b"[\xc4-\xff]")
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
@@ -118,7 +119,8 @@ class WordBpe:
 
     def ids(self, raw: bytes) -> np.ndarray:
         """Ids of a whole text given as UTF-8."""
-        if raw.isascii() and b"<|" not in raw:
+        # Beyond Latin-1 what follows a letter may combine with one of its cases alone.
+        if b"<|" not in raw and (raw.isascii() or not BEYOND_LATIN_1.search(raw)):
             raw = raw.lower()
         return np.frombuffer(b"".join(map(self.words.__getitem__, raw.split())), self.dtype)
 

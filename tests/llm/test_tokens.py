@@ -42,6 +42,14 @@ def test_bpe_agrees_with_the_library(words):
         assert mine.decode(np.array(expected)) == library.decode(expected, skip_special_tokens=False)
 
 
+def test_words_in_either_case_are_kept_once(words):
+    mine, library = WordBpe(WORD_FILE), words[1]
+    for text, kept in (("École ÉCOLE Über uber UBER été", 4), ("T\u0308 t\u0308 é T t", 5), ("<|endoftext|> É <|ENDOFTEXT|>", 3)):
+        mine.forget()
+        assert mine.ids(text.encode()).tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(mine.words) == kept
+
+
 @pytest.mark.parametrize("letters", [["a", "b", "the", "in", "g"], ["日", "本", "語"], ["é", "t", "io"], ["!", "?", "'"], ["1", "2"]])
 def test_joins_in_text_without_blanks(words, letters):
     mine, library = words
