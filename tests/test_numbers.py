@@ -1,7 +1,8 @@
 import random
 
-from helpers import tuples
+from helpers import final_plan, tuples
 
+from courtledger.operators import numbers
 from courtledger.operators.numbers import BUCKET, complete_up_to, merged, runs, without
 
 ROWS = "team string, n bigint, other string"
@@ -64,3 +65,34 @@ def test_a_long_finished_past_costs_nothing(spark):
 def test_complete_up_to(spark):
     sets = spark.createDataFrame([("a", 0, 7), ("a", 9, 11), ("b", 1, 5), ("c", 0, 1)], SETS)
     assert sorted(tuples(complete_up_to(sets, "team"))) == [("a", 7), ("c", 1)]
+
+
+def test_buckets_do_not_meet_every_interval(spark):
+    """A key with many buckets and many intervals: they are compared where they touch, not each with each."""
+    past = spark.range(0, 400).selectExpr("'okc' AS team", f"id * {BUCKET} AS lo", f"id * {BUCKET} + 2 AS hi")
+    asked = spark.range(0, 400).selectExpr("'okc' AS _key", "id AS _at")
+    long = spark.createDataFrame([("okc", 5, 100 * BUCKET), ("okc", 1 << 40, 1 << 50)], SETS)
+    got = sorted(tuples(numbers._pieces(past.unionByName(long), asked, "team")))
+    short = [("okc", n, n * BUCKET, n * BUCKET + 2) for n in range(400)]
+    assert got == sorted(short + [("okc", n, 5, 100 * BUCKET) for n in range(100)])
+    rows = spark.createDataFrame([("okc", n * BUCKET + k, "x") for n in range(0, 400, 50) for k in (1, 2)], ROWS)
+    seen = []
+    plan = numbers.value_bytes
+
+    def noted(df):
+        seen.append(final_plan(df))
+        return plan(df)
+
+    numbers.value_bytes = noted
+    try:
+        left = without(rows, past, "team", "n")
+    finally:
+        numbers.value_bytes = plan
+    assert sorted(n for _, n, _ in tuples(left)) == [n * BUCKET + 2 for n in range(0, 400, 50)]
+    assert "_cell" in seen[0] and "NestedLoop" not in seen[0] and "Cartesian" not in seen[0]
+
+
+def test_rows_are_left_as_they_are_if_none_is_known(spark):
+    rows = spark.createDataFrame([("okc", 7, "x")], ROWS)
+    past = spark.createDataFrame([("okc", 0, 7), ("okc", 8, 9), ("cle", 7, 8)], SETS)
+    assert without(rows, past, "team", "n") is rows

@@ -1,8 +1,11 @@
+from pathlib import Path
+
 from helpers import tuples, utc
 from pyspark.sql import functions as F
 
+from courtledger.operators import sequence
 from courtledger.operators.sequence import resume_positions, running_sequence
-from courtledger.session import broadcast_if_small
+from courtledger.session import broadcast_if_small, shared_folder
 from courtledger.sources.dimensions import teams_frame
 
 
@@ -97,3 +100,25 @@ def test_resume_takes_the_newest_game_of_a_period_then_the_largest(spark):
     teams = teams_frame(spark).where(F.col("team").isin("okc", "cle", "mia"))
     got = dict(tuples(resume_positions(results, teams, periods)))
     assert got == {"okc": 4, "cle": 1, "mia": 0}
+
+
+def test_costly_input_is_in_no_executors_memory(spark, monkeypatch):
+    """It is computed once, and what is kept in between is in the shared folder and gone afterwards."""
+    runs, held, whole = spark.sparkContext.accumulator(0), [], sequence.checkpointed
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+
+    @F.udf("bigint")
+    def counted(at):
+        runs.add(1)
+        return at
+
+    def noted(df):
+        held.append(len(spark.sparkContext._jsc.getPersistentRDDs()))
+        return whole(df)
+
+    monkeypatch.setattr(sequence, "checkpointed", noted)
+    rows = spark.createDataFrame([("a", n) for n in range(20)], "team string, id bigint").withColumn("x", counted("id"))
+    got = running_sequence(rows, "team", ["id"], costly_input=True)
+    assert sorted(tuples(got)) == [("a", n, n, n + 1) for n in range(20)]
+    assert held == [before] and runs.value == 20
+    assert not list(Path(shared_folder(spark)).glob("input-*"))

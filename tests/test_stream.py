@@ -9,6 +9,7 @@ from courtledger.league import STAGE_MARKERS
 from courtledger.operators.numbers import complete_up_to
 from courtledger.operators.upsert import compact, read_latest, read_table
 from courtledger.sources.journal import read_journal, unfinished, write_journal
+from courtledger.streaming import ingest
 from courtledger.streaming.ingest import Ingestion, read_journal_stream
 
 HOUR = 3_600_000
@@ -243,3 +244,38 @@ def test_protobuf_stream_needs_sparks_jar(spark, place):
     job.install(spark)
     with pytest.raises(AnalysisException, match="spark-protobuf"):
         job.process(rows, 0)
+
+
+def test_a_batch_stores_the_numbers_it_consumed_itself(spark, place, monkeypatch):
+    """Steps are merged two by two; a state is a chain of few of them, and a batch run again changes nothing."""
+    monkeypatch.setattr(ingest, "MERGED", 2)
+    _, job = place
+    job.install(spark)
+
+    def process(batch_id, numbers):
+        full = [("okc", 0, n, payload("okc", "por", MILLIS + n * HOUR)) for n in numbers]
+        job.process(spark.createDataFrame(full, schemas.JOURNAL), batch_id)
+        return {r.slot: r["count"] for r in spark.read.parquet(job.state_path).where("lo IS NOT NULL").groupBy("slot").count().collect()}
+
+    assert process(0, [0, 4]) == {1: 2}
+    assert process(1, [2, 6]) == {1: 2, 2: 4}           # step 2 holds step 1 too
+    assert process(2, [1, 9]) == {2: 4, 3: 2}           # step 3 only what is new
+    assert process(2, [1, 9]) == {2: 4, 3: 2}           # again, as after a crash
+    assert process(3, [8]) == {2: 4, 3: 2, 4: 4}        # step 4 all of them: 0 to 2, 4, 6 and 8 to 9
+    assert process(4, [3, 4, 5]) == {4: 4, 5: 1}
+    assert _state(spark, job) == ([("okc", 9)], [("okc", 0, 7), ("okc", 8, 10)])
+    assert read_table(spark, schemas.RESULTS, job.root).count() == 11     # numbers 1 and 9 twice, in equal rows
+    assert read_latest(spark, schemas.RESULTS, job.root).count() == 9
+
+
+def test_a_state_of_one_piece_is_read_on(spark, place):
+    """As stored before there were steps: everything in the newest of two slots."""
+    folder, job = place
+    old = [("okc", 2, None, None), ("okc", None, 0, 2), ("cle", None, 0, 2)]
+    rows = [(*r, "q", 8, 9, 1) for r in old]
+    kinds = "team string, position bigint, lo bigint, hi bigint, query string, batch_id bigint, step bigint, slot int"
+    spark.createDataFrame(rows, kinds).write.partitionBy("slot").parquet(job.state_path)
+    _write(spark, folder, FIRST + SECOND)
+    _run(spark, folder, job)
+    assert _numbers(spark, job) == [("mia", "okc", 1), ("okc", "mia", 3), ("okc", "por", 4)]
+    assert _state(spark, job) == ([("mia", 1), ("okc", 4)], [("cle", 0, 2), ("mia", 0, 1), ("okc", 0, 4)])
